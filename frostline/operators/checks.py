@@ -153,6 +153,20 @@ def key_violations(df: DataFrame, keys, target: DataFrame | None = None) -> Data
     return both.filter(F.col("batch_rows") + F.col("target_rows") > 1)
 
 
+def duplicate_groups(df: DataFrame, keys, *, deleted: str) -> DataFrame:
+    """Key groups with more than one row: all rows, active ones, soft-deleted ones."""
+    gone = F.coalesce(F.col(deleted), F.lit(False))
+    return (
+        df.groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("total_records"),
+            F.count_if(~gone).alias("active_records"),
+            F.count_if(gone).alias("deleted_records"),
+        )
+        .filter(F.col("total_records") > 1)
+    )
+
+
 def rule_violations(df: DataFrame, rules: dict) -> DataFrame:
     """Rows breaking each rule (name → Column or SQL text); NULL passes, as in CHECK."""
     figures = []
@@ -221,9 +235,13 @@ def inspect_move(
         found.append(finding("RuleViolation", "blocker", broken, "n"))
     issues = [(code, "blocker", 0) for code, _ in schema_issues(source.schema, wanted)]
     report = reduce(DataFrame.unionByName, found).filter(F.col("rows") > 0)
-    if issues:
+    for code, severity, rows in issues:
         report = report.unionByName(
-            spark.createDataFrame(issues, "code string, severity string, rows bigint")
+            spark.range(1).select(
+                F.lit(code).alias("code"),
+                F.lit(severity).alias("severity"),
+                F.lit(rows).cast("bigint").alias("rows"),
+            )
         )
     stops = report.agg(F.count_if(F.col("severity").isin("blocker", "fix"))).scalar()
     return report.withColumn("may_proceed", stops == 0)

@@ -23,60 +23,66 @@ from frostline.spec import (
     invariant_text,
 )
 
-# Boundaries one comparison tree may hold; beyond it, generated code gets too large.
-TREE_LIMIT = 200
-# Boundaries per slice of the two-level lookup (128 * 128 > MAX_PARTITIONS).
-SLICE = 128
+# Boundaries one comparison tree may hold. The JVM leaves a method over 8000 bytes
+# uncompiled, which a larger tree would reach.
+TREE_LIMIT = 64
 
 
-def _tree(value: Column, boundary_at, low: int, high: int, right: bool) -> Column:
-    """Count of boundaries at or below (RIGHT) / below (LEFT) the value, by halving."""
+def _tree(value: str, boundaries, low: int, high: int, right: bool) -> str:
+    """SQL for the count of boundaries at or below (RIGHT) / below (LEFT) the value.
+
+    Halving keeps it at log2(k) comparisons a row. ``boundaries`` are SQL texts.
+    """
     if low == high:
-        return F.lit(low)
+        return str(low)
     middle = (low + high) // 2
-    boundary = boundary_at(middle)
-    beyond = value >= boundary if right else value > boundary
-    return F.when(beyond, _tree(value, boundary_at, middle + 1, high, right)).otherwise(
-        _tree(value, boundary_at, low, middle, right)
+    side = ">=" if right else ">"
+    return (
+        f"CASE WHEN {value} {side} {boundaries[middle]} "
+        f"THEN {_tree(value, boundaries, middle + 1, high, right)} "
+        f"ELSE {_tree(value, boundaries, low, middle, right)} END"
     )
 
 
+def quoted(text: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_literal(spec: PartitionSpec, value) -> str:
+    text = value.isoformat(sep=" ") if isinstance(value, datetime) else str(value)
+    return f"CAST({quoted(text)} AS {spec.kind.spark_type})"
+
+
 def partition_column(spec: PartitionSpec) -> Column:
-    """Partition number as one expression, for specs of up to TREE_LIMIT boundaries."""
+    """Partition number as one expression, for up to TREE_LIMIT boundaries."""
     count = len(spec.boundaries)
     if count > TREE_LIMIT:
         raise ValueError("too many boundaries for one expression; use with_partition_no")
-    value = F.col(spec.column)
-    tree = _tree(
-        value, lambda i: boundary_lit(spec.kind, spec.boundaries[i]), 0, count, spec.range_right
-    )
+    literals = [_sql_literal(spec, b) for b in spec.boundaries]
     # A NULL value fails every comparison, so it ends in partition 1.
-    return (tree + F.lit(1)).cast("int")
+    tree = _tree(f"`{spec.column}`", literals, 0, count, spec.range_right)
+    return F.expr(f"CAST(1 + {tree} AS INT)")
 
 
 def with_partition_no(df: DataFrame, spec: PartitionSpec, name: str = "_pno") -> DataFrame:
     """Add the partition number: 1 + count(b <= v) for RIGHT, 1 + count(b < v) for LEFT.
 
-    Many boundaries go through two trees: the first picks a slice of the boundary
-    list (a constant array), the second searches inside that slice.
+    Many boundaries become one constant array, searched by halving steps: log2(k)
+    short projections inside one generated loop, whatever the size of the list.
     """
     count = len(spec.boundaries)
     if count <= TREE_LIMIT:
         return df.withColumn(name, partition_column(spec))
-    slices = [spec.boundaries[i : i + SLICE] for i in range(0, count, SLICE)]
-    value = F.col(spec.column)
-    # Slice s starts at boundary s * SLICE; its first boundary decides between s-1 and s.
-    heads = [boundary_lit(spec.kind, s[0]) for s in slices[1:]]
-    which = _tree(value, lambda i: heads[i], 0, len(heads), spec.range_right)
-    table = F.array(*[F.array(*[boundary_lit(spec.kind, b) for b in s]) for s in slices])
-    # Past the end of the last slice ``get`` gives NULL, which sends the search left.
-    inside = _tree(value, lambda i: F.get(F.col("_slice"), F.lit(i)), 0, SLICE, spec.range_right)
-    return (
-        df.withColumn("_which", which.cast("int"))
-        .withColumn("_slice", F.get(table, F.col("_which")))
-        .withColumn(name, (F.col("_which") * SLICE + inside + 1).cast("int"))
-        .drop("_which", "_slice")
-    )
+    array = ", ".join(_sql_literal(spec, b) for b in spec.boundaries)
+    side = "<=" if spec.range_right else "<"
+    out = df.withColumn("_bounds", F.expr(f"array({array})")).withColumn("_at", F.lit(0))
+    for bit in reversed(range(count.bit_length())):
+        step = 1 << bit
+        # Past the end ``get`` gives NULL, and a NULL value compares as NULL: no step.
+        jump = f"get(_bounds, _at + {step - 1}) {side} `{spec.column}`"
+        out = out.withColumn("_at", F.expr(f"_at + IF({jump}, {step}, 0)"))
+    return out.withColumn(name, F.expr("CAST(_at + 1 AS INT)")).drop("_bounds", "_at")
 
 
 def partition_predicate(spec: PartitionSpec, number: int) -> Column:
@@ -114,12 +120,13 @@ def partition_list(spark: SparkSession, spec: PartitionSpec) -> DataFrame:
     ``boundary_value`` is the boundary whose ordinal equals the partition number,
     that is the upper bound for both sides; the last partition has none.
     """
-    texts = [*spec.texts(), None]
-    rows = [
-        (n + 1, texts[n - 1] if n else None, texts[n]) for n in range(spec.partition_count)
-    ]
-    frame = spark.createDataFrame(
-        rows, "partition_number int, lower_bound string, upper_bound string"
+    ends = [quoted(t) for t in spec.texts()]
+    rows = zip(["NULL", *ends], [*ends, "NULL"])
+    values = ", ".join(f"({n}, {low}, {high})" for n, (low, high) in enumerate(rows, 1))
+    frame = spark.sql(  # an inline table is a local relation of known size
+        "SELECT partition_number, CAST(lower_bound AS STRING) AS lower_bound, "
+        "CAST(upper_bound AS STRING) AS upper_bound "
+        f"FROM VALUES {values} AS t(partition_number, lower_bound, upper_bound)"
     )
     return frame.select(
         "partition_number",

@@ -168,12 +168,12 @@ def estimate_rows(spark, sf):
 
 
 @query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_size <= 25 AND "
-       "(contains(lower(p_name), 'steel') OR contains(lower(p_brand), 'steel') "
-       "OR contains(lower(p_type), 'steel'))")
+       "(contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'bolt') "
+       "OR contains(lower(p_type), 'bolt'))")
 def search_jobs(spark, sf):
     jobs = table(spark, sf, "part").withColumn("enabled", F.col("p_size") <= 25)
     found = fl.search_jobs(
-        jobs, True, " STEEL ", flag="enabled", columns=("p_name", "p_brand", "p_type")
+        jobs, True, " BOLT ", flag="enabled", columns=("p_name", "p_brand", "p_type")
     )
     return found.select("p_partkey", "p_name", "p_brand", "p_type")
 
