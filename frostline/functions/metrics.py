@@ -28,8 +28,7 @@ def throughput(rows: Column, seconds: Column) -> Column:
 
 def percent_complete(done: Column, total: Column) -> Column:
     """Share done in percent, at most 100; 0 where the total is unknown or zero."""
-    share = done.cast("double") / F.nullif(total, F.lit(0)) * 100
-    return F.coalesce(F.least(F.lit(100.0), share), F.lit(0.0))
+    return F.when(total > 0, F.least(F.lit(100.0), done / total * 100)).otherwise(F.lit(0.0))
 
 
 def seconds_left(done: Column, total: Column, seconds: Column) -> Column:
