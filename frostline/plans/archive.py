@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from frostline.operators.checks import guard_duplicates, reconcile
 from frostline.operators.filters import filter_from_json, raw_filter
-from frostline.operators.joins import existing_rows, new_rows
+from frostline.operators.joins import (
+    BROADCAST_ROWS,
+    existing_rows,
+    new_rows,
+    new_rows_of_batch,
+)
 from frostline.operators.ordering import global_rank
 from frostline.operators.runlog import batch_summary
 from frostline.plans.runs import (
@@ -33,10 +38,6 @@ from frostline.sources import paths
 from frostline.sources.store import Part, Snapshot, Store, VerificationFailed
 from frostline.spec import ArchiveJob
 
-# Row addresses of a bounded run are broadcast up to this many (about 16 MB), joined
-# by a shuffle beyond it.
-BROADCAST_ROWS = 100_000
-
 FILE, ROW = "_file", "_row"
 
 
@@ -67,15 +68,22 @@ def _result(job, run, method, status, started, **facts) -> RunResult:
     )
 
 
-def _load(target: Store, rows: DataFrame, job, run, facts, content=False, small=False) -> int:
-    """Write rows the target does not have, check them and commit. Returns rows written."""
+def _load(target: Store, rows: DataFrame, job, run, facts, content=False, batch=None) -> int:
+    """Write rows the target does not have, check them and commit. Returns rows written.
+
+    ``batch`` is the exact row count of a bounded run, if this is one.
+    """
     base = target.snapshot()
     if run in base.runs:
         return base.runs[run]["rows"]
     fresh = rows.select(*base.schema.names)
     if job.keys and base.parts:
-        fresh = guard_duplicates(fresh, base.read(target.spark), job.keys, job.on_duplicate)
-    written = target.write(fresh, base.spec, content, small)
+        there = base.read(target.spark)
+        if batch is not None and batch <= BROADCAST_ROWS and job.on_duplicate == "skip":
+            fresh = new_rows_of_batch(fresh, there, job.keys)
+        else:
+            fresh = guard_duplicates(fresh, there, job.keys, job.on_duplicate)
+    written = target.write(fresh, base.spec, content, small=batch is not None)
     target.verify(written, base.schema)
     target.commit(base.plus(written.parts).noting(run, {"rows": written.rows, **facts}))
     return written.rows
@@ -236,7 +244,8 @@ def _move(spark, job, run_id, content, bounded) -> RunResult:
     batches = -(-expected // job.batch_size) if bounded else 1
     facts = {"source_version": s.version, "batches": batches}
     wanted = chosen.select(*t.schema.names)
-    copied = _load(target, wanted, job, run, facts, content, small=bounded)
+    size = expected if bounded else None
+    copied = _load(target, wanted, job, run, facts, content, size)
     before = t.read(spark) if job.keys and t.parts and run not in t.runs else None
     if run not in t.runs:
         _check_counts(expected, copied, before, wanted, job.keys)
@@ -248,7 +257,7 @@ def _move(spark, job, run_id, content, bounded) -> RunResult:
         if not bounded:
             return df.filter(~F.coalesce(predicate, F.lit(False)))
         addresses = chosen.select(FILE, ROW)
-        if expected <= BROADCAST_ROWS:
+        if expected <= BROADCAST_ROWS:  # beyond it, Spark shuffles
             addresses = F.broadcast(addresses)
         return _addressed(df).join(addresses, [FILE, ROW], "left_anti")
 

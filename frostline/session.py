@@ -24,6 +24,20 @@ def local_session(cores="*", app: str = "frostline", memory: str = "8g") -> Spar
     )
 
 
+# What a large cluster should set beside its own sizes; all are standard Spark settings.
+CLUSTER_SETTINGS = {
+    # Runtime plans: split skewed joins and rebalanced writes, pack small partitions.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Size of a rebalanced write's tasks, and so of the files of a partitioned table.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # Merge a task's heartbeats into sessions before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 @functools.cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="frostline-")

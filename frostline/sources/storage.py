@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 MB = 1024 * 1024
 
 
-def data_files(spark: SparkSession, path: str) -> DataFrame:
-    """Path and length of every data file below a folder; listing runs on executors."""
+def data_files(spark: SparkSession, path) -> DataFrame:
+    """Path and length of every data file below a folder (or several); listing many
+    folders runs on executors."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

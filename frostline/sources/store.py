@@ -13,9 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections import defaultdict
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +22,7 @@ from pyspark.sql import types as T
 from frostline.operators.checks import content_marks
 from frostline.operators.ranges import with_partition_no
 from frostline.sources import paths
-from frostline.sources.storage import MB
+from frostline.sources.storage import MB, data_files
 from frostline.spec import PartitionSpec
 
 
@@ -229,10 +227,18 @@ class Store:
             raise VerificationFailed(f"sent {written.rows} rows, found {landed[0]}")
 
     def append(self, df: DataFrame, run: str | None = None, facts=None, content=False) -> int:
-        """Add rows as one commit; a run id that was committed before adds nothing."""
+        """Add rows as one commit; a run id that was committed before adds nothing.
+
+        ``facts`` may carry a ``tick`` number: then the run id names a series, and only
+        a tick beyond the last one adds rows.
+        """
         base = self.ensure(df.schema)
         if run is not None and run in base.runs:
-            return base.runs[run]["rows"]
+            tick = (facts or {}).get("tick")
+            if tick is None:
+                return base.runs[run]["rows"]
+            if tick <= base.runs[run]["tick"]:
+                return 0
         written = self.write(df.select(*base.schema.names), base.spec, content)
         self.verify(written, base.schema)
         changed = base.plus(written.parts)
@@ -242,23 +248,21 @@ class Store:
         return written.rows
 
     def sizes(self) -> DataFrame:
-        """MB per partition number, or of the whole table, from file listings."""
+        """MB per partition number (NULL if not partitioned), from one file listing."""
         parts = self.snapshot().parts
-        listed = []
-        for pno, group in _by_number(parts).items():
-            where = [loc for p in group for loc in p.locations()]
-            files = (
-                self.spark.read.format("binaryFile")
-                .option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", "*.parquet")
-                .load(where)
-            )
-            listed.append(
-                files.agg(F.round(F.coalesce(F.sum("length"), F.lit(0)) / MB, 2).alias("size_mb"))
-                .select(F.lit(pno).cast("int").alias("partition_number"), "size_mb")
-            )
-        empty = self.spark.createDataFrame([], "partition_number int, size_mb double")
-        return reduce(DataFrame.unionByName, listed, empty)
+        where = [(loc, p.pno) for p in parts for loc in p.locations()]
+        numbers = self.spark.createDataFrame(where, "location string, partition_number int")
+        if not where:
+            return numbers.select("partition_number", F.lit(0.0).alias("size_mb"))
+        files = data_files(self.spark, [loc for loc, _ in where])
+        # A location is a folder or a file; a file's own path or its folder finds it.
+        folder = F.regexp_replace("path", "/[^/]*$", "")
+        spots = files.withColumn("location", F.explode(F.array("path", folder)))
+        return (
+            spots.join(numbers, "location")
+            .groupBy("partition_number")
+            .agg(F.round(F.sum("length") / MB, 2).alias("size_mb"))
+        )
 
     def reclaim(self) -> list[str]:
         """Delete own folders no version in use needs: neither the current one nor a table
@@ -276,9 +280,3 @@ class Store:
                     removed.append(spot)
         return removed
 
-
-def _by_number(parts) -> dict:
-    groups = defaultdict(list)
-    for p in parts:
-        groups[p.pno].append(p)
-    return groups

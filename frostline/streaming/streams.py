@@ -39,14 +39,13 @@ def archive_stream(stream: DataFrame, job: ArchiveJob, checkpoint: str, interval
     origin = f"{job.name}-{zlib.crc32(checkpoint.encode()):08x}"
 
     def tick(rows: DataFrame, number: int) -> None:
-        run = f"{origin}-{number}"
         base = target.snapshot()
-        if run in base.runs:
+        if number <= base.runs.get(origin, {"tick": -1})["tick"]:
             return
         found = rows.filter(predicate).select(*base.schema.names)
         if job.keys and base.parts:
             found = guard_duplicates(found, base.read(spark), job.keys, job.on_duplicate)
-        target.append(found, run)
+        target.append(found, origin, {"tick": number})
 
     writer = stream.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     if interval is None:
