@@ -13,6 +13,9 @@ FORMATS = ("native", "unicode", "char")
 ROWS_PER_FILE = 1_000_000
 
 BAD_ROW = "_corrupt_record"
+# What a quoted empty field reads as until it is turned back into an empty text; an
+# unquoted one is NULL.
+EMPTY = "\u0001empty\u0001"
 
 
 class TooManyBadRows(Exception):
@@ -73,12 +76,13 @@ def load(
         [T.StructField(f.name, T.StringType()) if f.name in binary else f for f in schema]
     )
     rows = (
-        spark.read.schema(text.add(BAD_ROW, T.StringType()))
+        spark.read.schema(T.StructType([*text, T.StructField(BAD_ROW, T.StringType())]))
         .options(**_text_options(fmt))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_ROW)
         .option("columnPruning", "false")  # every column is parsed, whatever is read later
         .option("multiLine", "true")
+        .option("emptyValue", EMPTY)
         .csv(path)
     )
     bad = F.col(BAD_ROW).isNotNull()
@@ -86,6 +90,10 @@ def load(
     if errors > max_errors:
         raise TooManyBadRows(f"{errors} rows did not parse, {max_errors} are tolerated")
     good = rows.filter(~bad)
+    for f in text:
+        if isinstance(f.dataType, T.StringType):
+            value = F.col(f.name)
+            good = good.withColumn(f.name, F.when(value == EMPTY, F.lit("")).otherwise(value))
     for name in binary:
         good = good.withColumn(name, F.unbase64(name))
     return good.select(*schema.names)
