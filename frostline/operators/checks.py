@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,19 +107,24 @@ def _misfits(column: str, have: T.DataType, want: T.DataType) -> list:
     return [("type" if isinstance(have, T.StringType) else "range", lost)]
 
 
+def _fit_conditions(source: T.StructType, target: T.StructType) -> list:
+    """(column, issue, condition) for everything that may not fit the target."""
+    wanted = {f.name.lower(): f.dataType for f in target}
+    found = []
+    for f in source:
+        if f.name.lower() not in wanted:
+            found.append((f.name, "missing", F.lit(True)))
+            continue
+        for issue, bad in _misfits(f.name, f.dataType, wanted[f.name.lower()]):
+            found.append((f.name, issue, bad))
+    return found
+
+
 def fit_audit(df: DataFrame, target: T.StructType) -> DataFrame:
     """Rows that would not fit the target's columns, per column and issue, in one pass.
 
     A source column the target lacks counts all of its rows.
     """
-    wanted = {f.name.lower(): f.dataType for f in target}
-    checks = []
-    for f in df.schema:
-        if f.name.lower() not in wanted:
-            checks.append((f.name, "missing", F.lit(True)))
-            continue
-        for issue, bad in _misfits(f.name, f.dataType, wanted[f.name.lower()]):
-            checks.append((f.name, issue, bad))
     empty = "array<struct<column_name:string,issue:string,bad_rows:bigint>>"
     figures = [
         F.struct(
@@ -127,7 +132,7 @@ def fit_audit(df: DataFrame, target: T.StructType) -> DataFrame:
             F.lit(issue).alias("issue"),
             F.count_if(bad).alias("bad_rows"),
         )
-        for name, issue, bad in checks
+        for name, issue, bad in _fit_conditions(df.schema, target)
     ]
     found = F.array(*figures) if figures else F.array().cast(empty)
     return df.agg(F.count(F.lit(1)).alias("_n"), found.alias("_f")).select(F.inline("_f"))
@@ -167,14 +172,16 @@ def duplicate_groups(df: DataFrame, keys, *, deleted: str) -> DataFrame:
     )
 
 
+def _rule(rule) -> Column:
+    return F.expr(rule) if isinstance(rule, str) else rule
+
+
 def rule_violations(df: DataFrame, rules: dict) -> DataFrame:
     """Rows breaking each rule (name → Column or SQL text); NULL passes, as in CHECK."""
-    figures = []
-    for name, rule in rules.items():
-        condition = F.expr(rule) if isinstance(rule, str) else rule
-        figures.append(
-            F.struct(F.lit(name).alias("rule"), F.count_if(~condition).alias("violations"))
-        )
+    figures = [
+        F.struct(F.lit(name).alias("rule"), F.count_if(~_rule(rule)).alias("violations"))
+        for name, rule in rules.items()
+    ]
     return df.agg(F.array(*figures).alias("_f")).select(F.inline("_f"))
 
 
@@ -198,51 +205,46 @@ def inspect_move(
     """Everything that speaks against moving one partition, as (code, severity, rows).
 
     ``may_proceed`` is true on every row when there is no blocker and no open fix.
-    Only the rows of that partition are read on either side.
+    Only that partition is read on either side, and its rows are checked in one pass;
+    key checks, which group, are passes of their own.
     """
     part, there = (read_partition(df, spec, number) for df in (source, target))
     wanted = target_schema or target.schema
-    spark = source.sparkSession
 
-    def finding(code, severity, counted, column):
-        return counted.select(
+    def finding(code, severity, rows):
+        return F.struct(
             F.lit(code).alias("code"),
             F.lit(severity).alias("severity"),
-            F.col(column).cast("bigint").alias("rows"),
+            F.coalesce(rows, F.lit(0)).cast("bigint").alias("rows"),
         )
 
-    found = [
-        finding("NullPartitionKey", "blocker", null_keys(part, spec.column), "null_rows"),
-        finding(
-            "DuplicateKey",
-            "blocker",
-            key_violations(part, keys).agg(F.sum("batch_rows").alias("n")),
-            "n",
+    def total(conditions):
+        counts = [F.count_if(c) for c in conditions]
+        return reduce(lambda a, b: a + b, counts) if counts else F.lit(0)
+
+    misfits = [bad for _, _, bad in _fit_conditions(part.schema, wanted)]
+    broken = [~_rule(r) for r in (rules or {}).values()]
+    of_rows = [
+        finding("NullPartitionKey", "blocker", F.count_if(F.col(spec.column).isNull())),
+        finding("ValueDoesNotFit", "blocker", total(misfits)),
+        finding("RuleViolation", "blocker", total(broken)),
+        *[finding(code, "blocker", F.lit(1)) for code, _ in schema_issues(source.schema, wanted)],
+    ]
+    passes = [
+        part.agg(F.count(F.lit(1)).alias("_n"), F.array(*of_rows).alias("_f")).select(
+            F.inline("_f")
         ),
-        finding(
-            "ValueDoesNotFit",
-            "blocker",
-            fit_audit(part, wanted).agg(F.sum("bad_rows").alias("n")),
-            "n",
+        key_violations(part, keys)
+        .agg(finding("DuplicateKey", "blocker", F.sum("batch_rows")).alias("_f"))
+        .select("_f.*"),
+        residual(target, spec, number).select(
+            F.inline(F.array(finding("TargetPartitionNotEmpty", "fix", F.col("residual_rows"))))
         ),
-        finding(
-            "TargetPartitionNotEmpty", "fix", residual(target, spec, number), "residual_rows"
+        existing_rows(there, part, keys).select(
+            F.inline(F.array(finding("KeyInTarget", "warning", F.col("existing_rows"))))
         ),
-        finding("KeyInTarget", "warning", existing_rows(there, part, keys), "existing_rows"),
     ]
-    if rules:
-        broken = rule_violations(part, rules).agg(F.sum("violations").alias("n"))
-        found.append(finding("RuleViolation", "blocker", broken, "n"))
-    issues = [(code, "blocker", 0) for code, _ in schema_issues(source.schema, wanted)]
-    report = reduce(DataFrame.unionByName, found).filter(F.col("rows") > 0)
-    for code, severity, rows in issues:
-        report = report.unionByName(
-            spark.range(1).select(
-                F.lit(code).alias("code"),
-                F.lit(severity).alias("severity"),
-                F.lit(rows).cast("bigint").alias("rows"),
-            )
-        )
-    stops = report.agg(F.count_if(F.col("severity").isin("blocker", "fix"))).scalar()
-    return report.withColumn("may_proceed", stops == 0)
-
+    stops = F.count_if(F.col("severity").isin("blocker", "fix"))
+    report = reduce(DataFrame.unionByName, passes).filter(F.col("rows") > 0)
+    # A handful of findings: one window over them all.
+    return report.withColumn("may_proceed", stops.over(Window.partitionBy()) == 0)

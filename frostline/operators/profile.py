@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Row counts at which the profile gets coarser, and the sample size.
 EXACT_UP_TO = 1_000_000
@@ -59,17 +60,27 @@ def profile(df: DataFrame, columns, compare="native", approximate=False) -> Data
 
 
 def profile_bounds(df: DataFrame, columns) -> DataFrame:
-    """Minimum and maximum of each column in one pass, with no shuffle of values."""
-    figures = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            _text(F.min(c)).alias("min_value"),
-            _text(F.max(c)).alias("max_value"),
-            F.count(F.lit(1)).alias("total_rows"),
-        )
-        for c in columns
-    ]
-    return df.agg(F.array(*figures).alias("_f")).select(F.inline("_f"))
+    """Minimum and maximum of each column, with no shuffle of values.
+
+    Columns of fixed width share one pass in generated code; texts, which Spark
+    aggregates without it, go in a pass of their own. Each column is read once.
+    """
+    texts = (T.StringType, T.BinaryType)
+    wide = [c for c in columns if isinstance(df.schema[c].dataType, texts)]
+    groups = [g for g in ([c for c in columns if c not in wide], wide) if g]
+    passes = []
+    for group in groups:
+        figures = [
+            F.struct(
+                F.lit(c).alias("column_name"),
+                _text(F.min(c)).alias("min_value"),
+                _text(F.max(c)).alias("max_value"),
+                F.count(F.lit(1)).alias("total_rows"),
+            )
+            for c in group
+        ]
+        passes.append(df.agg(F.array(*figures).alias("_f")).select(F.inline("_f")))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def profile_sample(df: DataFrame, column: str, rows=SAMPLE_ROWS, seed=17, total=None):

@@ -192,7 +192,8 @@ def failure_streak(
     )
     carried = F.when(F.col("_island") == 0, F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0))
     streak = F.col("_run") + carried
-    # Windows, summary and join all share the hash of (job, segment): one shuffle of rows.
+    # Windows, summary and join all use the hash of (job, segment); the summary's own pass
+    # carries the few columns it needs.
     return (
         local.join(carry, [job, "_seg"], "left")
         .withColumn("streak", streak.cast("bigint"))

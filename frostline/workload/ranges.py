@@ -255,3 +255,12 @@ def residual_rows(spark, sf):
 def table_inventory(spark, sf):
     frames = {name: table(spark, sf, name) for name in TABLES}
     return rg.table_inventory(frames, {"orders": by_year()})
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS row_count, "
+    f"count(*) > 0 AS archivable FROM {t}" for t in TABLES if t not in ("orders", "lineitem")))
+def unpartitioned_tables(spark, sf):
+    frames = {name: table(spark, sf, name) for name in TABLES}
+    specs = {"orders": by_year(), "lineitem": by_year(column="l_shipdate")}
+    return rg.unpartitioned_tables(frames, specs)
