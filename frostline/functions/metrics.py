@@ -37,11 +37,19 @@ def seconds_left(done: Column, total: Column, seconds: Column) -> Column:
     return F.when(rate > 0, (total - done) / rate)
 
 
+def _text_field(document: Column, path: str) -> Column:
+    """A field of a parsed JSON document, if it is a text."""
+    kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(document, path, "string"))
+
+
 def audit_text(result: Column) -> Column:
-    """AuditMarkdown from a result that is JSON, JSON quoted as a string, or null."""
-    field = "$.AuditMarkdown"
-    unquoted = F.get_json_object(F.trim(result), "$")
-    found = F.coalesce(
-        F.get_json_object(F.trim(result), field), F.get_json_object(unquoted, field)
-    )
+    """AuditMarkdown from a result that is JSON, JSON quoted as a string, or null.
+
+    Text that is no JSON, another kind of value and blank text give NULL.
+    """
+    document = F.try_parse_json(F.trim(result))
+    inner = F.try_parse_json(_text_field(document, "$"))
+    plain, quoted = (_text_field(d, "$.AuditMarkdown") for d in (document, inner))
+    found = F.coalesce(plain, quoted)
     return F.when(F.trim(found) != "", found)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, time, timedelta
 from decimal import Decimal, InvalidOperation
 from functools import reduce
 
@@ -57,14 +57,36 @@ def _number(text, dtype: T.DataType) -> Column | None:
     return F.lit(float(number))
 
 
-def _moment(text, dtype: T.DataType) -> Column | None:
+def _moment(text) -> datetime | None:
+    if isinstance(text, datetime):
+        return text
     try:
-        value = text if isinstance(text, datetime) else datetime.fromisoformat(str(text).strip())
+        return datetime.fromisoformat(str(text).strip())
     except ValueError:
         return None
-    # Dates compare as timestamps, so '< 2001-08-01 12:00' keeps 2001-08-01.
+
+
+def _at(moment: datetime, dtype: T.DataType) -> Column:
     kind = "timestamp" if isinstance(dtype, T.TimestampType) else "timestamp_ntz"
-    return F.lit(value.isoformat(sep=" ")).cast(kind)
+    return F.lit(moment.isoformat(sep=" ")).cast(kind)
+
+
+def _time_compare(column: Column, operator: str, moment: datetime, dtype) -> Column:
+    """Compare a date or time column with a moment.
+
+    For a date column the moment becomes the date that decides the same way, so the
+    column is compared as it is stored and the filter reaches the scan.
+    """
+    if isinstance(dtype, T.DateType):
+        day = moment.date()
+        if operator in ("<", ">=") and moment.time() != time.min:
+            day += timedelta(days=1)
+        edge = F.lit(day)
+    else:
+        edge = _at(moment, dtype)
+    return {
+        "<": column < edge, "<=": column <= edge, ">": column > edge, ">=": column >= edge
+    }[operator]
 
 
 def _blank(text) -> bool:
@@ -79,14 +101,17 @@ def _date_condition(c: Condition, dtype, as_of) -> Column | None:
             return None
         if as_of is None:
             raise ValueError("RelativeDays needs as_of")
-        return column <= _moment(as_of, dtype) - F.make_dt_interval(F.lit(int(days)))
-    start = _moment(c.value, dtype)
+        return _time_compare(column, "<=", as_of - timedelta(days=int(days)), dtype)
+    start = _moment(c.value)
     if start is None:
         return None
     if c.operator == "DateRange":
-        end = None if _blank(c.value_end) else _moment(c.value_end, dtype)
-        return None if end is None else column.between(start, end)
-    return {"LessThan": column < start, "GreaterThan": column > start}.get(c.operator)
+        end = None if _blank(c.value_end) else _moment(c.value_end)
+        if end is None:
+            return None
+        return _time_compare(column, ">=", start, dtype) & _time_compare(column, "<=", end, dtype)
+    operator = {"LessThan": "<", "GreaterThan": ">"}.get(c.operator)
+    return None if operator is None else _time_compare(column, operator, start, dtype)
 
 
 def _number_condition(c: Condition, dtype) -> Column | None:
@@ -241,7 +266,7 @@ def active(tasks: DataFrame, *, status, statuses, deleted, owner=None, owner_col
 def due_jobs(jobs: DataFrame, now: datetime, *, enabled, next_run, deleted=None) -> DataFrame:
     """Enabled jobs whose next run has come, oldest first."""
     due = jobs.filter(F.col(enabled)).filter(
-        F.col(next_run) <= _moment(now, jobs.schema[next_run].dataType)
+        F.col(next_run) <= _at(now, jobs.schema[next_run].dataType)
     )
     if deleted is not None:
         due = due.filter(~F.coalesce(F.col(deleted), F.lit(False)))

@@ -346,7 +346,17 @@ def safety(df: DataFrame, spec: PartitionSpec, key=None) -> DataFrame:
             "warning"
         ),
     )
-    return report if key is None else report.filter(F.col("boundary_key") == key)
+    if key is None:
+        return report
+    if str(key).isdigit() and 1 <= int(key) <= spec.partition_count:
+        return report.filter(F.col("boundary_key") == key)
+    return df.sparkSession.range(1).select(
+        F.lit(key).alias("boundary_key"),
+        F.lit(0).cast("bigint").alias("row_count"),
+        F.lit(False).alias("has_data"),
+        F.lit(False).alias("needs_staging"),
+        F.lit("no such partition; it may have been merged").alias("warning"),
+    )
 
 
 def partitions_to_archive(df: DataFrame, spec: PartitionSpec, condition) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frostline.functions.metrics import job_time
+from frostline.functions.metrics import audit_text, job_time
 from frostline.operators.ordering import segment_of
 
 # Row counts used when none (or a non-positive one) is given, and the
@@ -124,6 +124,16 @@ def max_retry(history: DataFrame, *, job, states) -> DataFrame:
     )
 
 
+def latest_audit(history: DataFrame, *, job, states) -> DataFrame:
+    """Audit text of each job: from the newest state whose result has one."""
+    told = (
+        history.select(job, F.explode(states).alias("_s"))
+        .withColumn("_audit", audit_text(F.try_element_at("_s.data", F.lit("Result"))))
+        .filter(F.col("_audit").isNotNull())
+    )
+    return told.groupBy(job).agg(F.max_by("_audit", "_s.created_at").alias("audit"))
+
+
 def ordered_concat(df: DataFrame, group, order: str, column: str, separator=", ") -> DataFrame:
     """Names of each group in order, joined to one text.
 
@@ -156,6 +166,18 @@ def latest_log(logs: DataFrame, *, task, ts, entry) -> DataFrame:
     return latest_per(logs, task, ts, (entry,))
 
 
+def config_stages(configs, tasks, *, key, task_key, ts, tie, stage, task_stage) -> DataFrame:
+    """Stage of each configuration: that of its latest task, else its own."""
+    newest = latest_per(tasks.select(task_key, ts, tie, task_stage), task_key, ts, (tie,)).select(
+        F.col(task_key).alias("_task_key"), F.col(task_stage).alias("_stage"), F.col(tie)
+    )
+    return (
+        configs.join(newest, F.col(key) == F.col("_task_key"), "left")
+        .withColumn(stage, F.coalesce("_stage", F.col(stage)))
+        .select(*configs.columns, F.col(tie).alias("last_task"))
+    )
+
+
 def failure_streak(
     runs: DataFrame, max_failures: int, *, job, ts, tie, status, failed, resets, segment=None
 ) -> DataFrame:

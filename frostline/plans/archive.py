@@ -209,7 +209,8 @@ def archive_bounded(spark: SparkSession, job: ArchiveJob, run_id=None, content=F
 
 def _pick(rows: DataFrame, job: ArchiveJob) -> DataFrame:
     """The first ``max_rows`` rows by key; the row address makes the order total."""
-    order = list(job.keys) or ([job.filter_column] if job.filter_column else [])
+    fallback = (job.filter_column,) if job.filter_column else ()
+    order = job.order_by or job.keys or fallback
     return global_rank(rows, [*order, FILE, ROW], limit=job.max_rows)
 
 

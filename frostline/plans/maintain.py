@@ -17,16 +17,16 @@ class Refused(Exception):
 
 
 def to_partitioned(spark: SparkSession, path: str, spec: PartitionSpec, content=False) -> bool:
-    """Rewrite a table by partition; False if it is partitioned that way already.
+    """Rewrite a table by partition; False if it is partitioned by that column already.
 
     A column declared NOT NULL must hold no NULL.
     """
     store = Store(spark, path)
     base = store.snapshot()
     if base.spec is not None:
-        if base.spec == spec:
+        if base.spec.column == spec.column:
             return False
-        raise Refused("the table is partitioned by another function")
+        raise Refused("the table is partitioned by another column")
     rows = base.read(spark)
     if not spec.nullable:
         found = null_keys(rows, spec.column).first()[0]
@@ -41,6 +41,16 @@ def to_partitioned(spark: SparkSession, path: str, spec: PartitionSpec, content=
     return True
 
 
+def sync_boundaries(spark: SparkSession, path: str, wanted: PartitionSpec) -> list:
+    """Partition a table if it is not yet, then add the boundaries it lacks. Returns those."""
+    if to_partitioned(spark, path, wanted):
+        return []
+    missing = Store(spark, path).snapshot().spec.missing(wanted.boundaries)
+    if missing:
+        apply_split(spark, path, missing)
+    return missing
+
+
 def apply_split(spark: SparkSession, path: str, new) -> PartitionSpec:
     """Add boundaries. Only partitions they cut are written again; others get a new number."""
     store = Store(spark, path)

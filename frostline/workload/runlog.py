@@ -271,7 +271,7 @@ def merged_job_list(spark, sf):
 
 
 @query("SELECT o_orderkey, TRY_CAST(o_orderkey AS INTEGER) AS as_int, "
-       "CAST(NULL AS BIGINT) AS rejected, date_trunc('day', o_orderdate)::DATE AS as_date, "
+       "TRUE AS rejected, date_trunc('day', o_orderdate)::DATE AS as_date, "
        "o_orderdate AS as_time, "
        "'0000abcd-0000-4000-8000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS as_guid "
        "FROM orders")
@@ -282,7 +282,7 @@ def parse_boundaries(spark, sf):
     return table(spark, sf, "orders").select(
         "o_orderkey",
         parse(F.concat(F.lit(" "), key), ValueKind.INT).alias("as_int"),
-        parse(F.col("o_orderpriority"), ValueKind.BIGINT).alias("rejected"),
+        parse(F.col("o_orderpriority"), ValueKind.BIGINT).isNull().alias("rejected"),
         parse(F.date_format("o_orderdate", "yyyy-MM-dd"), ValueKind.DATE).alias("as_date"),
         parse(F.col("o_orderdate").cast("string"), ValueKind.DATETIME2).alias("as_time"),
         parse(guid, ValueKind.GUID).alias("as_guid"),
@@ -325,6 +325,34 @@ def audit_texts(spark, sf):
     )
 
 
+@query("SELECT user_id, arg_max('run ' || event_id, ts) AS audit FROM events "
+       "WHERE event_type IN ('purchase', 'view') GROUP BY user_id")
+def latest_audit(spark, sf):
+    kind = F.col("event_type")
+    told = F.to_json(F.struct(F.concat(F.lit("run "), "event_id").alias("AuditMarkdown")))
+    result = F.when(kind.isin("purchase", "view"), told).otherwise(F.lit("null"))
+    state = F.struct(
+        kind.alias("name"),
+        F.col("ts").alias("created_at"),
+        F.create_map(F.lit("Result"), result).alias("data"),
+    )
+    history = table(spark, sf, "events").withColumn("states", F.array(state))
+    return rl.latest_audit(history, job="user_id", states="states")
+
+
+@query("SELECT c_custkey, coalesce(t.event_type, 'draft') AS stage FROM customer LEFT JOIN ("
+       "SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
+       "ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1) t "
+       "ON c_custkey = t.user_id")
+def config_stages(spark, sf):
+    configs = table(spark, sf, "customer").select("c_custkey", F.lit("draft").alias("stage"))
+    found = rl.config_stages(
+        configs, table(spark, sf, "events"), key="c_custkey", task_key="user_id", ts="ts",
+        tie="event_id", stage="stage", task_stage="event_type",
+    )
+    return found.select("c_custkey", "stage")
+
+
 STOP = "TIMESTAMP '2024-01-15'"
 GAP = f"greatest(CAST(0 AS DOUBLE), date_diff('microsecond', ts, {STOP}) / 1000000.0)"
 

@@ -117,6 +117,12 @@ def test_bounded_runs_in_key_order(spark, job):
     assert set(ids(spark, job.target)) == OLD
 
 
+def test_bounded_takes_the_given_order(spark, job):
+    ar.archive_bounded(spark, replace(job, keys=("s",), order_by=("d", "id")))
+    assert ids(spark, job.target) == sorted(OLD)[:40]
+    check_conserved(spark, job)
+
+
 def test_bounded_copy_goes_on_where_it_stopped(spark, job):
     copy = replace(job, delete_source=False)
     rows = [ar.archive_bounded(spark, copy).rows for _ in range(4)]

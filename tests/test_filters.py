@@ -31,6 +31,30 @@ def test_relative_days_takes_the_edge(rows):
     assert ids(rows, Condition("d", "RelativeDays", "10")) == [1, 2]
 
 
+@pytest.mark.parametrize(
+    "operator, value, end, want",
+    [
+        ("LessThan", "2024-01-21", None, [1]),
+        ("LessThan", "2024-01-21 12:00:00", None, [1, 2]),
+        ("GreaterThan", "2024-01-01", None, [2]),
+        ("GreaterThan", "2024-01-01 12:00:00", None, [2]),
+        ("DateRange", "2024-01-01 12:00:00", "2024-01-21 00:00:00", [2]),
+        ("DateRange", "2024-01-01", "2024-01-20 23:59:59", [1]),
+    ],
+)
+def test_dates_compare_like_times(rows, operator, value, end, want):
+    for column in ("d", "t"):  # the times are all midnight
+        assert ids(rows, Condition(column, operator, value, end)) == want
+
+
+def test_date_filter_reaches_the_scan(spark, plan, tmp_path):
+    path = str(tmp_path / "d")
+    spark.sql("SELECT DATE'2024-01-01' AS d").write.parquet(path)
+    df = spark.read.parquet(path)
+    where = fl.compile_filter([Condition("d", "RelativeDays", "3")], df.schema, NOW)
+    assert "LessThanOrEqual(d,2024-01-28)" in plan(df.filter(where))
+
+
 def test_text_matches_literally(rows):
     assert ids(rows, Condition("s", "Contains", "%_")) == [1]
     assert ids(rows, Condition("s", "StartsWith", "50_")) == []

@@ -31,8 +31,16 @@ def test_convert_once(spark, store):
     assert mt.to_partitioned(spark, store.path, SPEC)
     assert layout(store) == span(0, 10, 20, 30, 40)
     assert not mt.to_partitioned(spark, store.path, SPEC)
+    assert not mt.to_partitioned(spark, store.path, SPEC.merge(10))
     with pytest.raises(mt.Refused):
-        mt.to_partitioned(spark, store.path, SPEC.merge(10))
+        mt.to_partitioned(spark, store.path, PartitionSpec("v", ValueKind.STRING, ("m",)))
+
+
+def test_sync_converts_then_adds_what_is_missing(spark, store):
+    assert mt.sync_boundaries(spark, store.path, SPEC) == []
+    assert mt.sync_boundaries(spark, store.path, SPEC) == []
+    assert mt.sync_boundaries(spark, store.path, SPEC.split([25])) == [25]
+    assert layout(store) == span(0, 10, 20, 25, 30, 40)
 
 
 def test_null_keys_block_a_not_null_column(spark, tmp_path):

@@ -137,3 +137,11 @@ def test_unknown_partition_has_no_rows(spark):
     spec = PartitionSpec("k", ValueKind.INT, (10,))
     assert rg.find_partition(df, spec, "9").count() == 0
     assert rg.find_partition(df, spec, "1").first().row_count == 1
+
+
+def test_safety_of_an_unknown_key(spark):
+    df = spark.createDataFrame([(5,)], "k int")
+    spec = PartitionSpec("k", ValueKind.INT, (10,))
+    row = rg.safety(df, spec, "0009").first()
+    assert (row.row_count, row.has_data) == (0, False) and "no such partition" in row.warning
+    assert rg.safety(df, spec, "0001").first().needs_staging
