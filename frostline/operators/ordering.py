@@ -86,12 +86,16 @@ def global_rank(df: DataFrame, order, limit=None, unique=True, slices=None, name
 
     Rows are spread by ranges of the key, sorted there and written once with their
     place; the row count per range (one row each) then gives every range its offset.
+    ``order`` holds names, or columns such as ``F.desc("ts")``. With a limit, and a name in
+    front, only rows that can be among the first ones are ranked.
+
     With ``unique=False`` rows may tie: a random tie-break, written before the shuffle,
     spreads even a third of the table under one key over many ranges.
     """
     order = list(order)
     spark = df.sparkSession
-    rows = df if limit is None else _narrow_to_head(df, order[0], limit)
+    narrow = limit is not None and isinstance(order[0], str)
+    rows = _narrow_to_head(df, order[0], limit) if narrow else df
     sort = list(order)
     if not unique:
         rows = write_scratch(rows.withColumn("_tie", F.rand(7)), "ties")

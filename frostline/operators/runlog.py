@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline.functions.metrics import audit_text, job_time
-from frostline.operators.ordering import segment_of
+from frostline.operators.ordering import global_rank, segment_of
 
 # Row counts used when none (or a non-positive one) is given, and the
 # heartbeat time-out.
@@ -227,8 +227,20 @@ def failure_streak(
 # Lists.
 
 
+# Up to here the head of a list is merged in one task; a deeper slice is ranked over all.
+DEEP = 100_000
+
+
+def _slice(df: DataFrame, order, offset: int, size: int) -> DataFrame:
+    """Rows offset + 1 … offset + size of an ordered list. The order should be total."""
+    if offset + size <= DEEP:
+        return df.orderBy(*order).offset(offset).limit(size)
+    ranked = global_rank(df, order, limit=offset + size, name="_rank")
+    return ranked.filter(F.col("_rank") > offset).orderBy("_rank").drop("_rank")
+
+
 def _newest(df: DataFrame, ts, tie, n, default) -> DataFrame:
-    return df.orderBy(F.desc(ts), F.desc(tie)).limit(n if n and n > 0 else default)
+    return _slice(df, [F.desc(ts), F.desc(tie)], 0, n if n and n > 0 else default)
 
 
 def recent(tasks, n=0, *, ts, tie, owner=None, owner_column=None, deleted=None) -> DataFrame:
@@ -249,16 +261,14 @@ def logs_since(logs, task, since=None, n=0, *, task_column, ts, entry) -> DataFr
     found = logs.filter(F.col(task_column) == F.lit(task))
     if since is not None:
         found = found.filter(F.col(ts) >= _stamp(logs, ts, since))
-    return found.orderBy(ts, entry).limit(n if n and n > 0 else LOGS_DEFAULT)
+    return _slice(found, [ts, entry], 0, n if n and n > 0 else LOGS_DEFAULT)
 
 
 def page(df: DataFrame, order, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of an ordered list, with the total row count on each row."""
     number, size = max(1, number), max(1, size)
     total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total_rows", total)
-    )
+    return _slice(df, order, (number - 1) * size, size).withColumn("total_rows", total)
 
 
 def stale(tasks, now: datetime, timeout=HEARTBEAT_TIMEOUT, *, status, monitored, heartbeat):
@@ -279,9 +289,5 @@ def merged_jobs(parts, page_index: int, size: int, tie="job_id") -> DataFrame:
     for missing in [t for t in times if t not in merged.columns]:
         merged = merged.withColumn(missing, F.lit(None).cast(T.TimestampNTZType()))
     index, size = max(0, page_index), max(1, size)
-    return (
-        merged.withColumn("sort_time", job_time(*[F.col(t) for t in times]))
-        .orderBy(F.desc("sort_time"), F.desc(tie))
-        .offset(index * size)
-        .limit(size)
-    )
+    timed = merged.withColumn("sort_time", job_time(*[F.col(t) for t in times]))
+    return _slice(timed, [F.desc("sort_time"), F.desc(tie)], index * size, size)

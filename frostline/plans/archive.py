@@ -9,8 +9,8 @@ up where it stopped.
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +126,13 @@ def _addressed(df: DataFrame) -> DataFrame:
 
 def _hits_per_file(addressed: DataFrame) -> dict[str, int]:
     """Matching rows per data file. The driver knows the file list of a scan anyway."""
-    return {r[0]: r[1] for r in addressed.groupBy(FILE).count().collect()}
+    return {_path(r[0]): r[1] for r in addressed.groupBy(FILE).count().collect()}
+
+
+def _path(address: str) -> str:
+    """File address (an encoded URI) as the path text Hadoop uses, file:/x if local."""
+    text = unquote(address)
+    return "file:/" + text.removeprefix("file:").lstrip("/") if text.startswith("file:") else text
 
 
 def _cut_out(store: Store, base: Snapshot, hits: dict[str, int], rest, run, facts) -> None:
@@ -138,7 +144,7 @@ def _cut_out(store: Store, base: Snapshot, hits: dict[str, int], rest, run, fact
     spark = store.spark
     touched = _parts_of_files(base, hits)
     total = {
-        r[0]: r[1]
+        _path(r[0]): r[1]
         for r in spark.read.schema(base.schema)
         .parquet(*hits)
         .groupBy(F.col("_metadata.file_path"))
@@ -155,7 +161,7 @@ def _cut_out(store: Store, base: Snapshot, hits: dict[str, int], rest, run, fact
             raise VerificationFailed(f"{wanted} rows were to stay, {written.rows} would")
         store.verify(written, base.schema)
         added = written.parts
-    changed = base.without(touched).plus((*_shrunk(spark, touched, hits), *added))
+    changed = base.without(touched).plus((*_shrunk(spark, base, touched, hits), *added))
     store.commit(changed.noting(run, facts))
 
 
@@ -169,25 +175,22 @@ def _parts_of_files(base: Snapshot, files) -> list[Part]:
             owners.update(dict.fromkeys(part.files, part))
     found: dict[Part, None] = {}
     for f in files:
-        owner = owners.get(f) or owners.get(_uri(f.rsplit("/", 1)[0])) or owners.get(_uri(f))
-        if owner is None:
+        where = f
+        while where not in owners and "/" in where:
+            where = where.rsplit("/", 1)[0]
+        if where not in owners:
             raise ValueError(f"{f} belongs to no part of the table")
-        found[owner] = None
+        found[owners[where]] = None
     return list(found)
 
 
-def _uri(path: str) -> str:
-    """One spelling for local paths: file:/x, as Hadoop qualifies them."""
-    return "file:/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
-
-
-def _shrunk(spark, touched, hits) -> list[Part]:
+def _shrunk(spark, base: Snapshot, touched, hits) -> list[Part]:
     """What is left of the touched parts once the hit files are gone."""
     left = []
-    gone = {_uri(f) for f in hits}
     for part in touched:
-        files = part.files or spark.read.parquet(part.path).inputFiles()
-        kept = tuple(_uri(f) for f in files if _uri(f) not in gone)
+        listed = spark.read.schema(base.schema).parquet(part.path).inputFiles
+        files = part.files or map(_path, listed())
+        kept = tuple(f for f in files if f not in hits)
         if kept:
             left.append(Part(part.path, part.pno, kept))
     return left
@@ -291,7 +294,7 @@ def stage_partition(spark: SparkSession, job: ArchiveJob, number: int) -> str |
     parts = s.of(number)
     if not parts:
         return None
-    stamp = datetime.now().strftime("%Y%m%d%H%M%S%f")
+    stamp = utc_now().strftime("%Y%m%d%H%M%S%f")
     where = f"{_staging_root(job)}/p{number:05d}-{stamp}-{new_run_id()}"
     held = tuple(replace(p, pno=None) for p in parts)
     Store(spark, where).commit(Snapshot(0, s.schema, None, held))
@@ -323,7 +326,7 @@ def archive_partition(spark: SparkSession, job: ArchiveJob, number: int, content
     staged = staging.snapshot()
     _detach(source, staged)
 
-    rows = staged.read(spark)
+    rows = staged.read(spark).drop(*job.exclude)
     t = target.ensure(rows.schema)
     expected = rows.count()
     copied = _load(target, rows, job, run, {"partition": number}, content)

@@ -232,20 +232,29 @@ class Store:
         ``facts`` may carry a ``tick`` number: then the run id names a series, and only
         a tick beyond the last one adds rows.
         """
-        base = self.ensure(df.schema)
-        if run is not None and run in base.runs:
-            tick = (facts or {}).get("tick")
-            if tick is None:
-                return base.runs[run]["rows"]
-            if tick <= base.runs[run]["tick"]:
-                return 0
-        written = self.write(df.select(*base.schema.names), base.spec, content)
-        self.verify(written, base.schema)
-        changed = base.plus(written.parts)
-        if run is not None:
-            changed = changed.noting(run, {"rows": written.rows, **(facts or {})})
-        self.commit(changed)
-        return written.rows
+        base, written = self.ensure(df.schema), None
+        while True:
+            if run is not None and run in base.runs:
+                tick = (facts or {}).get("tick")
+                if tick is None:
+                    return base.runs[run]["rows"]
+                if tick <= base.runs[run]["tick"]:
+                    return 0
+            if written is None:
+                written = self.write(df.select(*base.schema.names), base.spec, content)
+                self.verify(written, base.schema)
+            changed = base.plus(written.parts)
+            if run is not None:
+                changed = changed.noting(run, {"rows": written.rows, **(facts or {})})
+            try:
+                self.commit(changed)
+                return written.rows
+            except CommitConflict:
+                # Added rows fit any later version of the same layout.
+                later = self.snapshot()
+                if later.spec != base.spec or later.schema != base.schema:
+                    raise
+                base = later
 
     def sizes(self) -> DataFrame:
         """MB per partition number (NULL if not partitioned), from one file listing."""

@@ -295,3 +295,15 @@ def test_streak_comes_from_the_run_log(spark, job, tmp_path):
         status="status", failed=FAILED, resets=(SUCCESS, SKIPPED),
     )
     assert sorted((r.streak, r.disabled) for r in streaks.collect()) == [(1, False), (2, True)]
+
+
+def test_odd_paths(spark, tmp_path):
+    """Blanks and percent signs in a path survive the detour through file addresses."""
+    odd = tmp_path / "a b%20c"
+    source = Store(spark, str(odd / "source"))
+    source.append(spark.range(20).withColumnRenamed("id", "k"))
+    job = ArchiveJob("j", source.path, str(odd / "target"), filter_column="k", where="< 5",
+                     batch_size=2, max_rows=3)
+    assert ar.archive_bounded(spark, job).rows == 3
+    assert ar.archive_move(spark, job).rows == 2
+    assert source.read().count() == 15 and Store(spark, job.target).read().count() == 5

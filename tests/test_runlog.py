@@ -89,3 +89,12 @@ def test_config_stage_falls_back(spark):
         task_stage="st",
     )
     assert sorted(map(tuple, got.collect())) == [(1, "Running", 11), (2, "Draft", None)]
+
+
+def test_deep_page_equals_shallow_page(spark, monkeypatch):
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("v")).repartition(4)
+    order = [F.desc("v"), "id"]
+    shallow = [tuple(r) for r in rl.page(df, order, 6, 40).collect()]
+    monkeypatch.setattr(rl, "DEEP", 10)
+    deep = [tuple(r) for r in rl.page(df, order, 6, 40).collect()]
+    assert deep == shallow and len(deep) == 40

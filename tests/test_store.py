@@ -123,3 +123,20 @@ def test_adopted_files_are_never_removed(spark, tmp_path):
     store.commit(store.snapshot().without(store.snapshot().parts))
     store.reclaim()
     assert spark.read.parquet(str(tmp_path / "given")).count() == 5
+
+
+def test_append_goes_on_after_another_writer(spark, where, monkeypatch):
+    store = Store(spark, where)
+    store.append(numbers(spark, 3))
+    real, calls = Store.verify, []
+
+    def slow(self, *args):
+        if not calls:
+            calls.append(1)
+            store.append(numbers(spark, 2, 50), "other")  # gets in between
+        return real(self, *args)
+
+    monkeypatch.setattr(Store, "verify", slow)
+    store.append(numbers(spark, 4, 100), "mine")
+    assert keys(store.read()) == [0, 1, 2, 50, 51, 100, 101, 102, 103]
+    assert set(store.snapshot().runs) == {"other", "mine"}
