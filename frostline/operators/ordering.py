@@ -100,7 +100,9 @@ def global_rank(df: DataFrame, order, limit=None, unique=True, slices=None, name
     if not unique:
         rows = write_scratch(rows.withColumn("_tie", F.rand(7)), "ties")
         sort.append("_tie")
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:
+        cores = spark.sparkContext.defaultParallelism
+        slices = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = write_scratch(
         rows.repartitionByRange(slices, *sort)
         .sortWithinPartitions(*sort)

@@ -156,7 +156,7 @@ def partition_detail(df: DataFrame, spec: PartitionSpec, sizes: DataFrame | None
     detail = _counted(df, spec)
     if sizes is None:
         return detail
-    return detail.join(F.broadcast(sizes), "partition_number", "left").withColumn(
+    return detail.join(sizes, "partition_number", "left").withColumn(
         "size_mb", F.coalesce("size_mb", F.lit(0.0))
     )
 

@@ -35,7 +35,7 @@ from frostline.plans.runs import (
     utc_now,
 )
 from frostline.sources import paths
-from frostline.sources.store import Part, Snapshot, Store, VerificationFailed
+from frostline.sources.store import Part, Snapshot, Store, VerificationFailed, conform
 from frostline.spec import ArchiveJob
 
 FILE, ROW = "_file", "_row"
@@ -68,15 +68,18 @@ def _result(job, run, method, status, started, **facts) -> RunResult:
     )
 
 
-def _load(target: Store, rows: DataFrame, job, run, facts, content=False, batch=None) -> int:
+def _load(
+    target: Store, rows: DataFrame, job, run, facts, content=False, batch=None, source=None
+) -> int:
     """Write rows the target does not have, check them and commit. Returns rows written.
 
-    ``batch`` is the exact row count of a bounded run, if this is one.
+    ``batch`` is the exact row count of a bounded run, if this is one. ``source`` must
+    still be at the version in ``facts`` when the rows become visible.
     """
     base = target.snapshot()
     if run in base.runs:
         return base.runs[run]["rows"]
-    fresh = rows.select(*base.schema.names)
+    fresh = conform(rows, base.schema)
     if job.keys and base.parts:
         there = base.read(target.spark)
         if batch is not None and batch <= BROADCAST_ROWS and job.on_duplicate == "skip":
@@ -85,6 +88,8 @@ def _load(target: Store, rows: DataFrame, job, run, facts, content=False, batch=
             fresh = guard_duplicates(fresh, there, job.keys, job.on_duplicate)
     written = target.write(fresh, base.spec, content, small=batch is not None)
     target.verify(written, base.schema)
+    if source is not None and source.versions()[-1] != facts["source_version"]:
+        raise SourceChanged(f"{job.source} changed while its rows were copied")
     target.commit(base.plus(written.parts).noting(run, {"rows": written.rows, **facts}))
     return written.rows
 
@@ -214,7 +219,8 @@ def _pick(rows: DataFrame, job: ArchiveJob) -> DataFrame:
     """The first ``max_rows`` rows by key; the row address makes the order total."""
     fallback = (job.filter_column,) if job.filter_column else ()
     order = job.order_by or job.keys or fallback
-    return global_rank(rows, [*order, FILE, ROW], limit=job.max_rows)
+    first = global_rank(rows, [*order, FILE, ROW], limit=job.max_rows, name="_rank")
+    return first.drop("_rank")
 
 
 def _move(spark, job, run_id, content, bounded) -> RunResult:
@@ -247,9 +253,10 @@ def _move(spark, job, run_id, content, bounded) -> RunResult:
 
     batches = -(-expected // job.batch_size) if bounded else 1
     facts = {"source_version": s.version, "batches": batches}
-    wanted = chosen.select(*t.schema.names)
-    size = expected if bounded else None
-    copied = _load(target, wanted, job, run, facts, content, size)
+    wanted = chosen.drop(FILE, ROW, *job.exclude)
+    copied = _load(
+        target, wanted, job, run, facts, content, expected if bounded else None, source
+    )
     before = t.read(spark) if job.keys and t.parts and run not in t.runs else None
     if run not in t.runs:
         _check_counts(expected, copied, before, wanted, job.keys)

@@ -34,6 +34,26 @@ class VerificationFailed(Exception):
     """What landed on disk is not what was sent."""
 
 
+class SchemaMismatch(Exception):
+    """Rows do not have the columns of the table they are meant for."""
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows in the table's column order; refuses missing, extra and differently typed ones.
+
+    Leaving a column out is the caller's decision, never a side effect.
+    """
+    given = {f.name.lower(): f for f in df.schema}
+    wanted = {f.name.lower(): f for f in schema}
+    if given.keys() != wanted.keys():
+        raise SchemaMismatch(f"columns {sorted(given.keys() ^ wanted.keys())} are on one side only")
+    for name, field_ in wanted.items():
+        if given[name].dataType != field_.dataType:
+            have = given[name].dataType.simpleString()
+            raise SchemaMismatch(f"{name} is {have}, not {field_.dataType.simpleString()}")
+    return df.select(*[F.col(given[n].name).alias(f.name) for n, f in wanted.items()])
+
+
 @dataclass(frozen=True)
 class Part:
     """A folder of the table, or some files of it; ``pno`` only in partitioned tables."""
@@ -241,7 +261,7 @@ class Store:
                 if tick <= base.runs[run]["tick"]:
                     return 0
             if written is None:
-                written = self.write(df.select(*base.schema.names), base.spec, content)
+                written = self.write(conform(df, base.schema), base.spec, content)
                 self.verify(written, base.schema)
             changed = base.plus(written.parts)
             if run is not None:

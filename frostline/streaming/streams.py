@@ -42,7 +42,7 @@ def archive_stream(stream: DataFrame, job: ArchiveJob, checkpoint: str, interval
         base = target.snapshot()
         if number <= base.runs.get(origin, {"tick": -1})["tick"]:
             return
-        found = rows.filter(predicate).select(*base.schema.names)
+        found = rows.filter(predicate).drop(*job.exclude)
         if job.keys and base.parts:
             found = guard_duplicates(found, base.read(spark), job.keys, job.on_duplicate)
         target.append(found, origin, {"tick": number})

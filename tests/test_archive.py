@@ -10,7 +10,7 @@ from frostline.operators.checks import DuplicateRows
 from frostline.plans import archive as ar
 from frostline.plans.maintain import to_partitioned
 from frostline.plans.runs import FAILED, SKIPPED, SUCCESS, RunLog
-from frostline.sources.store import Store, VerificationFailed
+from frostline.sources.store import SchemaMismatch, Store, VerificationFailed
 from frostline.spec import ArchiveJob, PartitionSpec, ValueKind
 
 START = datetime(2024, 1, 1)
@@ -307,3 +307,33 @@ def test_odd_paths(spark, tmp_path):
     assert ar.archive_bounded(spark, job).rows == 3
     assert ar.archive_move(spark, job).rows == 2
     assert source.read().count() == 15 and Store(spark, job.target).read().count() == 5
+
+
+@pytest.mark.parametrize(
+    "schema", ["id bigint, d timestamp_ntz", "id int, d timestamp_ntz, s string",
+               "id bigint, d timestamp_ntz, s string, extra int"],
+)
+@pytest.mark.parametrize("run", [ar.archive_move, ar.archive_bounded, ar.archive_copy])
+def test_other_columns_in_the_target_stop_a_run(spark, job, run, schema):
+    Store(spark, job.target).create(spark.createDataFrame([], schema).schema)
+    with pytest.raises(SchemaMismatch):
+        run(spark, job)
+    assert len(ids(spark, job.source)) == TOTAL and ids(spark, job.target) == []
+
+
+def test_source_changed_during_the_copy(spark, job, monkeypatch):
+    """Nothing becomes visible when another writer touched the source meanwhile."""
+    extra = spark.createDataFrame([(1000, START, "late")], "id bigint, d timestamp_ntz, s string")
+    real, calls = Store.verify, []
+
+    def slow(self, *args):
+        if not calls:
+            calls.append(1)
+            Store(spark, job.source).append(extra)
+        return real(self, *args)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Store, "verify", slow)
+        with pytest.raises(ar.SourceChanged):
+            ar.archive_move(spark, replace(job, keys=()))
+    assert ids(spark, job.target) == [] and len(ids(spark, job.source)) == TOTAL + 1
