@@ -337,3 +337,23 @@ def test_source_changed_during_the_copy(spark, job, monkeypatch):
         with pytest.raises(ar.SourceChanged):
             ar.archive_move(spark, replace(job, keys=()))
     assert ids(spark, job.target) == [] and len(ids(spark, job.source)) == TOTAL + 1
+
+
+@pytest.mark.parametrize("run", [ar.archive_move, ar.archive_bounded])
+def test_rows_move_between_partitioned_tables(spark, parted, run):
+    """Partitions not touched keep their folders, and every row stays in its partition."""
+    spec = PartitionSpec("id", ValueKind.BIGINT, (50, 250))
+    Store(spark, parted.target).create(Store(spark, parted.source).snapshot().schema, spec)
+    before = {p.pno: p for p in Store(spark, parted.source).snapshot().parts}
+    run(spark, replace(parted, order_by=("id",)))
+    run(spark, replace(parted, order_by=("id",)))
+    _, target = check_conserved(spark, parted)
+    assert target == (sorted(OLD) if run is ar.archive_move else sorted(OLD)[:80])
+    for path in (parted.source, parted.target):
+        snap = Store(spark, path).snapshot()
+        for n in range(1, 4):
+            low, high = snap.spec.bounds(n)
+            for r in snap.read(spark, n).collect():
+                assert (low is None or r.id >= low) and (high is None or r.id < high)
+    after = Store(spark, parted.source).snapshot().parts
+    assert before[2] in after and before[3] in after and before[1] not in after
