@@ -9,18 +9,18 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from frostline.llm.common import whole_text
+from frostline.llm.common import text_slices, whole_text
 from frostline.llm.pretokens import Pieces
 
-CACHE_PIECES = 500_000
-BATCH_CHARS = 2_000_000
+CACHE_PIECES = 300_000
+BATCH_CHARS = 500_000
 
 
 @functools.cache
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
 
     def run(batches):
         cache = PieceCache(merged_pieces(path))
-        for batch in batches:
+        for batch in text_slices(batches, "_text"):
             table = pa.Table.from_batches([batch])
             texts = table["_text"].to_pylist()
             encoded = list(encode_texts(texts, cache))
@@ -239,38 +239,36 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep..., ids, decoded): the bytes that the ids stand for; no ids give no bytes."""
+    """(keep..., decoded): the bytes that the ids stand for; no ids give no bytes."""
 
-    def run(batches):
-        tokens = token_bytes(path)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            columns = {c: table[c] for c in keep}
-            raw = table["ids"].to_pylist()
-            columns["ids"] = table["ids"]
-            columns["decoded"] = pa.array(
-                [decode_ids(np.frombuffer(x, "<u4"), tokens) if x else b"" for x in raw], pa.binary()
-            )
-            yield from pa.table(columns).to_batches()
+    def values(ids):
+        return {"decoded": pa.array([decode_ids(x, token_bytes(path)) for x in ids], pa.binary())}
 
-    rows = encoded.select(*keep, "ids")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("ids").schema)
-    return rows.mapInArrow(run, f"{kinds}, ids binary, decoded binary".lstrip(", "))
+    return _per_row(encoded, keep, values, "decoded binary")
 
 
 def digests(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., n_tokens, ids_sha256, decoded_sha256) of encoded rows and what they decode to."""
-    decoded = decode(encoded, path, keep)
 
-    @F.pandas_udf("string")
-    def listed(ids):
-        import hashlib
+    def values(ids):
+        tokens = token_bytes(path)
+        names = [",".join(map(str, x.tolist())).encode() for x in ids]
+        return {
+            "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in names], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(decode_ids(x, tokens)).hexdigest() for x in ids], pa.string()),
+        }
+
+    return _per_row(encoded, keep, values, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
 
-        return ids.map(lambda x: hashlib.sha256(",".join(map(str, np.frombuffer(x, "<u4").tolist())).encode()).hexdigest())
+def _per_row(encoded: DataFrame, keep: tuple[str, ...], values, kinds: str) -> DataFrame:
+    def run(batches):
+        for batch in text_slices(batches, "ids"):
+            table = pa.Table.from_batches([batch])
+            ids = [np.frombuffer(x or b"", "<u4") for x in table["ids"].to_pylist()]
+            yield from pa.table({c: table[c] for c in keep} | values(ids)).to_batches()
 
-    return decoded.select(
-        *keep,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        listed("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    rows = encoded.select(*keep, "ids")
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("ids").schema]
+    return rows.mapInArrow(run, ", ".join([*own, kinds]))

@@ -31,3 +31,23 @@ def parallelism(spark: SparkSession) -> int:
         spark.sparkContext.defaultParallelism,
         int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
+
+
+SLICE_CHARS = 2_000_000
+
+
+def text_slices(batches, column: str = "text", chars: int = SLICE_CHARS):
+    """Parts of Arrow batches with about ``chars`` bytes of text each, so that what a task
+    holds at once doesn't depend on how many rows Spark puts into a batch."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        first = held = 0
+        for i, size in enumerate(sizes):
+            if i > first and held + size > chars:
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += size
+        if first < len(sizes):
+            yield batch.slice(first)
