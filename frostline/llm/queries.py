@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, mixing, token_files, topk_bitsliced
+from frostline.llm import bpe, mixing, near_dup, quality_rules, token_files, topk_bitsliced
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -24,6 +24,53 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_from_files(spark, docs, vocabulary("byte_bpe_50k.json"), out)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_rules.trusted_documents(table(spark, sf_dir, "labels"))
+    return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE
+      WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3),
+                                        lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM docs
+), shingles AS (
+  SELECT doc_id, hash(unnest(s)) AS h FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT a, b FROM both_ways
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+), smallest AS (
+  SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
+  least(s.doc_id, coalesce(m.other, s.doc_id)) AS component_id,
+  s.doc_id = least(s.doc_id, coalesce(m.other, s.doc_id)) AS kept
+FROM sets s LEFT JOIN smallest m ON m.doc_id = s.doc_id
+"""
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -103,10 +150,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_near_duplicates": op5_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_bitsliced_topk": op10_bitsliced_topk,
 }
 
-ORACLE = {"op8_mix_sources": OP8_SQL, "op10_bitsliced_topk": OP10_SQL}
+ORACLE = {"op5_near_duplicates": OP5_SQL, "op8_mix_sources": OP8_SQL, "op10_bitsliced_topk": OP10_SQL}
