@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, mixing, near_dup, quality_rules, token_files, topk_bitsliced
+from frostline.llm import bpe, mixing, near_dup, quality_rules, secret_scan, token_files, topk_bitsliced
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -24,6 +24,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents_from_files(spark, docs, vocabulary("byte_bpe_50k.json"), out)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_documents(table(spark, sf_dir, "labels"))
     return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
@@ -150,6 +154,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
