@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, mixing, near_dup, quality_rules, secret_scan, token_files, topk_bitsliced
+from frostline.llm import bpe, factorisation, mixing, near_dup, quality_rules, secret_scan, token_files, topk_bitsliced
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -75,6 +75,10 @@ FROM sets s LEFT JOIN smallest m ON m.doc_id = s.doc_id
 """
 
 
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -158,6 +162,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_factorisation_machine": op7_factorisation_machine,
     "op8_mix_sources": op8_mix_sources,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_bitsliced_topk": op10_bitsliced_topk,
