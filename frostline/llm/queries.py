@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, factorisation, mixing, near_dup, quality_rules, secret_scan, token_files, topk_bitsliced
+from frostline.llm import bpe, factorisation, mixing, near_dup, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -75,6 +75,58 @@ FROM sets s LEFT JOIN smallest m ON m.doc_id = s.doc_id
 """
 
 
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", url_lists.fetch_day(F.col("page_id")))
+    judged = url_lists.evaluate(captures, url_lists.list_history(pages), keep=("page_id", "fetched"))
+    return judged.withColumn("fetched", F.col("fetched").cast("string"))
+
+
+OP6_SQL = r"""
+WITH named AS (
+  SELECT page_id, DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS day,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'),
+                lambda s: s <> '')[1:2] AS parts
+  FROM pages
+), keys AS (
+  SELECT DISTINCT 'host' AS kind, host AS key FROM named WHERE host IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT 'domain', regexp_replace(host, '^[^.]+\.', '') FROM named
+  WHERE len(string_split(regexp_replace(host, '^[^.]+\.', ''), '.')) >= 3
+  UNION ALL
+  SELECT DISTINCT 'prefix', host || '/' || parts[1] FROM named WHERE host IS NOT NULL AND len(parts) > 0
+), drawn AS (
+  SELECT *, CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) AS d FROM keys
+), rules(kind, every, within, later, action, verdict) AS (VALUES
+  ('host', 3, 200, 0, 'add', 'block'), ('host', 6, 200, 40, 'remove', 'block'),
+  ('host', 12, 200, 80, 'add', 'allow'), ('domain', 5, 150, 0, 'add', 'block'),
+  ('domain', 10, 150, 60, 'remove', 'block'), ('prefix', 7, 250, 0, 'add', 'allow'),
+  ('prefix', 14, 250, 30, 'add', 'block')
+), events AS (
+  SELECT d.kind, d.key, DATE '2024-01-01' + CAST(d.d % r.within + r.later AS INTEGER) AS day, r.action, r.verdict
+  FROM drawn d JOIN rules r ON d.kind = r.kind AND d.d % r.every = 0
+), matches AS (
+  SELECT n.page_id, n.day AS fetched, e.kind, e.key, e.day, e.action, e.verdict,
+    CASE e.kind WHEN 'domain' THEN len(string_split(e.key, '.')) WHEN 'host' THEN 1000
+      ELSE 999 + len(string_split(e.key, '/')) END AS weight,
+    row_number() OVER (PARTITION BY n.page_id, e.kind, e.key ORDER BY e.day DESC) AS latest
+  FROM named n JOIN events e ON e.day <= n.day AND (
+       e.kind = 'host' AND e.key = n.host
+    OR e.kind = 'domain' AND (e.key = n.host OR ends_with(n.host, '.' || e.key))
+    OR e.kind = 'prefix' AND (e.key = n.host || '/' || n.parts[1]
+                              OR e.key = n.host || '/' || n.parts[1] || '/' || n.parts[2]))
+), active AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY weight DESC) AS best,
+    count(*) OVER (PARTITION BY page_id) AS n_active
+  FROM matches WHERE latest = 1 AND action = 'add'
+)
+SELECT n.page_id, CAST(n.day AS VARCHAR) AS fetched, n.host, coalesce(a.n_active, 0) AS n_active,
+  a.kind || ':' || a.key AS rule, coalesce(a.verdict = 'block', false) AS blocked
+FROM named n LEFT JOIN active a ON a.page_id = n.page_id AND a.best = 1
+"""
+
+
 def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -162,10 +214,16 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_url_lists": op6_url_lists,
     "op7_factorisation_machine": op7_factorisation_machine,
     "op8_mix_sources": op8_mix_sources,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_bitsliced_topk": op10_bitsliced_topk,
 }
 
-ORACLE = {"op5_near_duplicates": OP5_SQL, "op8_mix_sources": OP8_SQL, "op10_bitsliced_topk": OP10_SQL}
+ORACLE = {
+    "op5_near_duplicates": OP5_SQL,
+    "op6_url_lists": OP6_SQL,
+    "op8_mix_sources": OP8_SQL,
+    "op10_bitsliced_topk": OP10_SQL,
+}
