@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, factorisation, mixing, near_dup, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists
+from frostline.llm import bpe, factorisation, mixing, near_dup, pii, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -33,6 +33,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(pii.find_personal_data(docs, pii.train(docs)))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -212,6 +217,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_personal_data": op3_personal_data,
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_url_lists": op6_url_lists,
