@@ -18,7 +18,7 @@ from frostline.session import write_scratch
 
 WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
 MAX_EPOCHS = 3
-RANGE_ROWS = 10_000
+RANGE_ROWS = 1_000
 MARKS = "#*$%&|<>!"
 
 
@@ -40,8 +40,8 @@ def uniform(text: Column, seed: int) -> Column:
 def keyed(docs: DataFrame, seed: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, key) of every document."""
     text = whole_text()
-    sized = docs.select("doc_id", "source", text.alias("text"), word_count(text).alias("size"), *extra)
-    key = -F.log(uniform(F.col("text"), seed)) / quality_weight(F.col("text"), F.col("size"))
+    sized = docs.select("doc_id", "source", text.alias("_text"), word_count(text).alias("size"), *extra)
+    key = -F.log(uniform(F.col("_text"), seed)) / quality_weight(F.col("_text"), F.col("size"))
     return sized.select("doc_id", "source", "size", key.alias("key"), *extra)
 
 
@@ -83,31 +83,18 @@ def source_targets(keys: DataFrame, weights: tuple[int, ...], most: int) -> Data
     )
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    most: int = MAX_EPOCHS,
-    seed: int = 1,
-    extra: tuple[str, ...] = (),
-) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, + extra) of every document.
+def plan_mix(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
+    """One row per source: its target, its epochs, and the last key taken once more.
 
-    ``taken`` is the number of words the mix takes of the document, repeats counted: its
-    size times the complete epochs, and once more if it is among the first in key order.
-    The document in which the budget ends is taken whole if that brings the source nearer
-    to its target, so a source ends within half a document of it. A null text has size 0
-    and is never taken; a null source is a source of its own, last in order; equal rows
-    draw equal keys and are taken in any order. An empty table gives no rows.
+    A document is taken once more if its key range ``at`` lies before ``end_at``, or in it
+    with a key up to ``last_key``.
     """
-    keys = write_scratch(keyed(docs, seed, extra), "mix-keys")
     sources = write_scratch(source_targets(keys, weights, most), "mix-sources")
-    same = keys["source"].eqNullSafe(sources["source"])
-    # -expm1(-key) maps keys onto (0, 1) without changing their order
-    at = F.floor(-F.expm1(-F.col("key")) * F.col("ranges")).cast("long")
-    placed = keys.join(sources, same).select(
-        keys["doc_id"], keys["source"], "size", "key", "source_size", "target", "epochs", "rest", at.alias("at"), *extra
+    # sources come with a size of one row each, so Spark sends them to the keys, not back
+    placed = keys.where("size > 0").join(sources, keys["source"].eqNullSafe(sources["source"])).select(
+        keys["source"], "size", "key", "rest", range_of(F.col("key"), F.col("ranges")).alias("at")
     )
-    sums = placed.where("size > 0").groupBy("source", "at").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    sums = placed.groupBy("source", "at").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     so_far = Window.partitionBy("source").orderBy("at")
     sums = sums.withColumn("before", F.sum("words").over(so_far) - F.col("words"))
     # the last range that starts before the budget is spent
@@ -117,18 +104,53 @@ def mix(
         .agg(F.max(F.struct("at", "before")).alias("end"))
         .select("end_source", F.col("end.at").alias("end_at"), F.col("end.before").alias("before"))
     )
-    marked = placed.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
-    # without an end the epochs are all there is
-    inside = F.coalesce(F.col("at") < F.col("end_at"), F.lit(False))
-    fixed = F.col("end_at").isNull() | (F.col("at") != F.col("end_at")) | (F.col("size") == 0)
-    once = F.col("size") * F.col("epochs")
-    out = ("doc_id", "size", "source_size", "target")
-    settled = marked.where(fixed).select(
-        *out, (once + F.when(inside, F.col("size")).otherwise(0)).cast("long").alias("taken"), *extra
-    )
-    run = Window.partitionBy("source").orderBy("key", F.asc_nulls_last("doc_id")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = write_scratch(ends, "mix-ends")
+    inside = placed.join(ends, F.col("source").eqNullSafe(F.col("end_source")) & (F.col("at") == F.col("end_at")))
+    run = Window.partitionBy("end_source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     middle = 2 * (F.col("before") + F.sum("size").over(run)) - F.col("size")
-    boundary = marked.where(~fixed).withColumn("in", middle < 2 * F.col("rest")).select(
-        *out, (once + F.when(F.col("in"), F.col("size")).otherwise(0)).cast("long").alias("taken"), *extra
+    last = (
+        inside.withColumn("in", middle < 2 * F.col("rest"))
+        .groupBy(F.col("end_source").alias("last_source"))
+        .agg(F.max(F.when(F.col("in"), F.col("key"))).alias("last_key"))
     )
-    return settled.unionByName(boundary)
+    whole = sources.join(ends.drop("before"), F.col("source").eqNullSafe(F.col("end_source")), "left")
+    whole = whole.join(last, F.col("source").eqNullSafe(F.col("last_source")), "left")
+    names = ("source_size", "target", "epochs", "ranges", "end_at", "last_key")
+    return write_scratch(whole.select(F.col("source").alias("plan_source"), *names), "mix-plan")
+
+
+def range_of(key: Column, ranges: Column) -> Column:
+    """-expm1(-key) maps keys onto (0, 1) without changing their order."""
+    return F.floor(-F.expm1(-key) * ranges).cast("long")
+
+
+def times_taken(keys: DataFrame, plan: DataFrame) -> DataFrame:
+    """``keys`` with source_size, target, and how often each document is taken."""
+    at = range_of(F.col("key"), F.col("ranges"))
+    more = (at < F.col("end_at")) | ((at == F.col("end_at")) & (F.col("key") <= F.col("last_key")))
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0)
+    joined = keys.join(plan, keys["source"].eqNullSafe(plan["plan_source"]))
+    return joined.select(*keys.columns, "source_size", "target", times.cast("long").alias("times"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: int = 1) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document.
+
+    ``taken`` is the number of words the mix takes of the document, repeats counted: its
+    size times the complete epochs, and once more if it is among the first in key order.
+    The document in which the budget ends is taken whole if that brings the source nearer
+    to its target, so a source ends within half a document of it. A null text has size 0
+    and is never taken; a null source is a source of its own, last in order; equal rows
+    draw equal keys and are taken alike. An empty table gives no rows.
+    """
+    keys = write_scratch(keyed(docs, seed), "mix-keys")
+    taken = (F.col("size") * F.col("times")).cast("long").alias("taken")
+    return times_taken(keys, plan_mix(keys, weights, most)).select("doc_id", "size", "source_size", "target", taken)
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: int = 1) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them."""
+    plan = plan_mix(write_scratch(keyed(docs, seed), "mix-keys"), weights, most)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    rows = times_taken(keyed(docs, seed, others), plan).where("times > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_n")).drop("_n")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import text_slices, whole_text
+from frostline.llm.common import BLANKS, text_slices, whole_text
 from frostline.llm.components import components
 from frostline.llm.shingles import band_keys, jaccard_at_least, shingle_sets, sketches
 from frostline.session import write_scratch
@@ -197,23 +197,18 @@ def linked_by_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(named("x"), "x").join(named("y"), "y").mapInArrow(_compare_blocks, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
-
-    A document's set holds its distinct shingles of five words; shorter texts have their
-    whole sequence as one. ``component_id`` is the smallest id of the documents that chains
-    of links reach. A null or blank text has an empty set and is linked with nothing. Rows
-    without an id take part by their text; they are kept only where no document of the
-    group has an id, and repeated rows are kept or not together. An empty table gives no
-    rows.
-    """
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all documents described, nodes with their component)."""
     described = write_scratch(describe(docs), "nd-docs")
     nodes = (
         described.where("content IS NOT NULL")
         .groupBy("content")
         .agg(
             F.min("doc_id").alias("id"),
-            F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "bands"), F.struct("doc_id", "text_hash")).alias("r"),
+            F.min_by(
+                F.struct("doc_id", "text_hash", "n_shingles", "bands"),
+                F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"),
+            ).alias("r"),
         )
         .select("content", "id", "r.text_hash", F.col("r.doc_id").alias("row_id"), F.col("r.n_shingles").alias("n"), "r.bands")
     )
@@ -225,7 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = write_scratch(every.join(shared.where("members > 1"), "bucket"), "nd-buckets")
 
     needed = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
-    key = [F.coalesce("row_id", F.lit(-1)).alias("row_id"), F.col("row_id").isNull().alias("no_id"), "text_hash"]
+    key = _row_key("row_id")
     row = docs.select(F.col("doc_id").cast("long").alias("row_id"), whole_text().alias("text"))
     row = row.withColumn("text_hash", F.xxhash64("text")).select(*key, "text")
     texts = write_scratch(
@@ -251,9 +246,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     most = linked_by_blocks(rest.where(F.col("members") > SMALL), texts)
     final = components(links.union(more).union(most), "nd-final")
 
-    found = nodes.select("content", "node", "id").join(final, "node", "left").withColumn(
+    found = nodes.select("content", "node", "id", "row_id", "text_hash").join(final, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node")
     )
+    return described, found
+
+
+def _row_key(doc_id: str) -> list:
+    """Rows that agree in these columns hold the same id and text."""
+    return [F.coalesce(doc_id, F.lit(-1)).alias("row_id"), F.col(doc_id).isNull().alias("no_id"), "text_hash"]
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document.
+
+    A document's set holds its distinct shingles of five words; shorter texts have their
+    whole sequence as one. ``component_id`` is the smallest id of the documents that chains
+    of links reach. A null or blank text has an empty set and is linked with nothing. Rows
+    without an id take part by their text; they are kept only where no document of the
+    group has an id, and repeated rows are kept or not together. An empty table gives no
+    rows.
+    """
+    described, found = _grouped(docs)
     smallest = found.groupBy("comp").agg(F.min("id").alias("component_id"))
     grouped = found.join(smallest, "comp").select("content", "component_id")
     # one row per content: as many documents as there are copies may meet it
@@ -265,3 +279,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id, or text hash without ids.
+
+    Rows without words are in no group and stay.
+    """
+    _, found = _grouped(docs)
+    first = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "text_hash")).alias("r")
+    chosen = found.groupBy("comp").agg(first).select("r.row_id", "r.text_hash").select(*_row_key("row_id"))
+    rows = docs.withColumn("text_hash", F.xxhash64(whole_text())).withColumn("_id", F.col("doc_id").cast("long"))
+    blank = F.length(F.translate(whole_text(), BLANKS, "")) == 0
+    names = docs.columns
+    keyed = rows.where(~blank).select(*[F.col(c).alias(f"d_{c}") for c in names], *_row_key("_id"))
+    keys = ["row_id", "no_id", "text_hash"]
+    kept = keyed.join(chosen, keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*[F.col(f"d_{c}").alias(c) for c in names]).union(docs.where(blank))
