@@ -84,6 +84,36 @@ def guard_duplicates(source: DataFrame, target: DataFrame, keys, mode: str) -> D
     return source
 
 
+class RepeatedKeys(Exception):
+    """Keys that should be unique are held by several rows of the batch."""
+
+
+def require_unique(df: DataFrame, keys) -> None:
+    """Fails if any key without NULLs is held by more than one row."""
+    per_key = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if not per_key.filter(F.col("_n") > 1).isEmpty():
+        raise RepeatedKeys(f"{list(keys)} are not unique; use on_duplicate='append'")
+
+
+def same_rows(df: DataFrame, target: DataFrame, keys, columns, how="left_semi") -> DataFrame:
+    """Rows that the target holds with the very same values in ``columns`` (or lacks: anti).
+
+    The target is narrowed to the batch's keys first; those join as SQL ``=``, all other
+    columns null-safe.
+    """
+    known = key_lookup(target.select(*columns), df, keys, "left_semi")
+    known = known.select(*[F.col(c).alias(f"_t_{c}") for c in columns])
+    same = [F.col(k) == F.col(f"_t_{k}") for k in keys]
+    same += [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in columns if c not in keys]
+    return df.join(known, reduce(lambda a, b: a & b, same), how)
+
+
+def conflicts(df: DataFrame, target: DataFrame, keys, columns) -> DataFrame:
+    """Rows whose key the target holds, but not with the same content."""
+    unlike = same_rows(df, target, keys, columns, "left_anti")
+    return key_lookup(unlike, target, keys, "left_semi")
+
+
 def _misfits(column: str, have: T.DataType, want: T.DataType) -> list:
     """(issue, condition) pairs for values that would not fit the target type."""
     value = F.col(column)
@@ -98,7 +128,16 @@ def _misfits(column: str, have: T.DataType, want: T.DataType) -> list:
         source_text = isinstance(have, T.StringType)
         wide = value.try_cast("double") if source_text else value
         overflow = lost & wide.isNotNull() if source_text else lost
-        rounded = fitted.isNotNull() & (fitted.cast("double") != wide.cast("double"))
+        # as many digits behind the point as the target's digits before it leave room for
+        digits = 38 - (want.precision - want.scale)
+        exact = value.try_cast(T.DecimalType(38, digits)) if source_text else value
+        if isinstance(have, (T.DoubleType, T.FloatType)):
+            changed = fitted.cast("double") != value.cast("double")
+        elif isinstance(have, T.DecimalType) and have.scale <= want.scale:
+            changed = F.lit(False)  # only the range can fail
+        else:
+            changed = exact != F.round(exact, want.scale)
+        rounded = fitted.isNotNull() & changed
         found = [("precision", overflow), ("scale", rounded)]
         return found + ([("type", lost & wide.isNull())] if source_text else [])
     if isinstance(want, T.IntegralType) and isinstance(have, T.FractionalType):

@@ -15,11 +15,16 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.operators.checks import guard_duplicates, reconcile
+from frostline.operators.checks import (
+    conflicts,
+    guard_duplicates,
+    reconcile,
+    require_unique,
+    same_rows,
+)
 from frostline.operators.filters import filter_from_json, raw_filter
 from frostline.operators.joins import (
     BROADCAST_ROWS,
-    existing_rows,
     new_rows,
     new_rows_of_batch,
 )
@@ -34,6 +39,7 @@ from frostline.plans.runs import (
     new_run_id,
     utc_now,
 )
+from frostline.session import write_scratch
 from frostline.sources import paths
 from frostline.sources.store import Part, Snapshot, Store, VerificationFailed, conform
 from frostline.spec import ArchiveJob
@@ -45,6 +51,10 @@ class SourceChanged(Exception):
     """The source has moved on since the run copied its rows; start a new run."""
 
 
+class ConflictingRows(Exception):
+    """The target holds rows of the batch's keys with other content."""
+
+
 def job_predicate(job: ArchiveJob, schema) -> Column:
     """Stored filter and raw predicate of a job, joined by AND. One must be given."""
     parts = []
@@ -69,20 +79,24 @@ def _result(job, run, method, status, started, **facts) -> RunResult:
 
 
 def _load(
-    target: Store, rows: DataFrame, job, run, facts, content=False, batch=None, source=None
+    target: Store, rows: DataFrame, job, run, facts, content=False, batch=None, source=None,
+    moving=False,
 ) -> int:
     """Write rows the target does not have, check them and commit. Returns rows written.
 
     ``batch`` is the exact row count of a bounded run, if this is one. ``source`` must
-    still be at the version in ``facts`` when the rows become visible.
+    still be at the version in ``facts`` when the rows become visible. A move leaves out
+    only rows that the target holds with the same content, a copy those of known keys.
     """
     base = target.snapshot()
     if run in base.runs:
         return base.runs[run]["rows"]
     fresh = conform(rows, base.schema)
-    if job.keys and base.parts:
+    if job.keys and base.parts and job.on_duplicate != "append":
         there = base.read(target.spark)
-        if batch is not None and batch <= BROADCAST_ROWS and job.on_duplicate == "skip":
+        if moving and job.on_duplicate == "skip":
+            fresh = same_rows(fresh, there, job.keys, base.schema.names, "left_anti")
+        elif batch is not None and batch <= BROADCAST_ROWS and job.on_duplicate == "skip":
             fresh = new_rows_of_batch(fresh, there, job.keys)
         else:
             fresh = guard_duplicates(fresh, there, job.keys, job.on_duplicate)
@@ -95,10 +109,13 @@ def _load(
 
 
 def _check_counts(expected: int, copied: int, before: DataFrame | None, rows, keys) -> None:
-    """Every expected row was copied now or was in the target before."""
+    """Every expected row was copied now, or the target held the same row before."""
     if copied == expected:
         return
-    there = 0 if before is None else existing_rows(before, rows, keys).first()[0]
+    there = 0
+    if before is not None:
+        batch = conform(rows, before.schema)
+        there = same_rows(batch, before, keys, before.columns).count()
     outcome, fine = reconcile(expected, there, copied)
     if not fine:
         raise VerificationFailed(
@@ -113,8 +130,23 @@ def archive_copy(spark: SparkSession, job: ArchiveJob, run_id=None, content=Fals
     s = source.snapshot()
     rows = s.read(spark).filter(job_predicate(job, s.schema)).drop(*job.exclude)
     target.ensure(rows.schema)
+    left = _conflicts(rows, target.snapshot(), job, run)
+    odd = 0 if left is None else left.count()
     copied = _load(target, rows, job, run, {"source_version": s.version}, content)
-    return _result(job, run, "copy", SUCCESS if copied else SKIPPED, started, rows=copied)
+    status = SUCCESS if copied else SKIPPED
+    return _result(job, run, "copy", status, started, rows=copied, conflicts=odd)
+
+
+def _conflicts(rows: DataFrame, t: Snapshot, job: ArchiveJob, run) -> DataFrame | None:
+    """Rows whose key the target has with other content; None if there can be none.
+
+    They are never written nor cut out. A run that is taken up again finds the same ones:
+    what it has written itself is the same as in the source.
+    """
+    if not job.keys or not t.parts or job.on_duplicate != "skip":
+        return None
+    there = t.read(rows.sparkSession)
+    return conflicts(rows, there, job.keys, t.schema.names)
 
 
 # Moves.
@@ -217,6 +249,8 @@ def archive_bounded(spark: SparkSession, job: ArchiveJob, run_id=None, content=F
 
 def _pick(rows: DataFrame, job: ArchiveJob) -> DataFrame:
     """The first ``max_rows`` rows by key; the row address makes the order total."""
+    if job.max_rows is None:
+        return rows
     fallback = (job.filter_column,) if job.filter_column else ()
     order = job.order_by or job.keys or fallback
     first = global_rank(rows, [*order, FILE, ROW], limit=job.max_rows, name="_rank")
@@ -240,37 +274,48 @@ def _move(spark, job, run_id, content, bounded) -> RunResult:
 
     predicate = job_predicate(job, s.schema)
     chosen = _addressed(s.read(spark)).filter(predicate)
+    if bounded and not job.delete_source:
+        if not job.keys:
+            raise ValueError("a bounded copy needs keys to know what was copied")
+        chosen = new_rows(chosen, t.read(spark), job.keys)
+        left = None
+    else:
+        if job.keys and job.on_duplicate == "skip":
+            require_unique(chosen, job.keys)
+        left = _conflicts(chosen, t, job, run)
+    odd = 0
+    if left is not None:
+        left = write_scratch(left.select(FILE, ROW), "conflicts")
+        odd = left.count()
+        if odd:
+            chosen = chosen.join(left, [FILE, ROW], "left_anti")
+    matching = chosen
     if bounded:
-        if not job.delete_source:
-            if not job.keys:
-                raise ValueError("a bounded copy needs keys to know what was copied")
-            chosen = new_rows(chosen, t.read(spark), job.keys)
         chosen = _pick(chosen, job)
     hits = _hits_per_file(chosen)
     expected = sum(hits.values())
+    rest = matching.count() - expected if bounded and job.max_rows is not None else 0
     if not expected:
-        return _result(job, run, method, SKIPPED, started)
+        return _result(job, run, method, SKIPPED, started, conflicts=odd)
 
     batches = -(-expected // job.batch_size) if bounded else 1
     facts = {"source_version": s.version, "batches": batches}
     wanted = chosen.drop(FILE, ROW, *job.exclude)
     copied = _load(
-        target, wanted, job, run, facts, content, expected if bounded else None, source
+        target, wanted, job, run, facts, content, expected if bounded else None, source,
+        moving=job.delete_source or not bounded,
     )
     before = t.read(spark) if job.keys and t.parts and run not in t.runs else None
     if run not in t.runs:
         _check_counts(expected, copied, before, wanted, job.keys)
-    done = {"rows": expected, "batches": batches}
+    done = {"rows": expected, "batches": batches, "conflicts": odd, "rows_left": rest}
     if bounded and not job.delete_source:
         return _result(job, run, method, SUCCESS, started, **done)
 
     def others(df: DataFrame) -> DataFrame:
-        if not bounded:
-            return df.filter(~F.coalesce(predicate, F.lit(False)))
-        addresses = chosen.select(FILE, ROW)
-        if expected <= BROADCAST_ROWS:  # beyond it, Spark shuffles
-            addresses = F.broadcast(addresses)
-        return _addressed(df).join(addresses, [FILE, ROW], "left_anti")
+        if odd or (bounded and job.max_rows is not None):
+            return _addressed(df).join(chosen.select(FILE, ROW), [FILE, ROW], "left_anti")
+        return df.filter(~F.coalesce(predicate, F.lit(False)))
 
     _cut_out(source, s, hits, others, run, done)
     return _result(job, run, method, SUCCESS, started, **done)
@@ -336,7 +381,14 @@ def archive_partition(spark: SparkSession, job: ArchiveJob, number: int, content
     rows = staged.read(spark).drop(*job.exclude)
     t = target.ensure(rows.schema)
     expected = rows.count()
-    copied = _load(target, rows, job, run, {"partition": number}, content)
+    if run not in t.runs:
+        left = _conflicts(rows, t, job, run)
+        odd = 0 if left is None else left.count()
+        if odd:  # staged rows are never given up, so the run fails and can be resumed
+            raise ConflictingRows(f"{odd} rows of partition {number} differ from the target's")
+        if job.keys and job.on_duplicate == "skip":
+            require_unique(rows, job.keys)
+    copied = _load(target, rows, job, run, {"partition": number}, content, moving=True)
     if run not in t.runs:
         before = t.read(spark) if job.keys and t.parts else None
         _check_counts(expected, copied, before, rows, job.keys)
@@ -359,7 +411,7 @@ def run_job(spark: SparkSession, job: ArchiveJob, log: RunLog | None = None, run
         try:
             result = archive_bounded(spark, job, run)
         except Exception as error:  # one bad job must not stop the others
-            text = str(error)[:2000]
+            text = str(error)
             result = _result(job, run, "bounded", FAILED, started, message=text)
     if log is not None:
         log.append([result])

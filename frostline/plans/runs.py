@@ -15,7 +15,8 @@ SUCCESS, FAILED, SKIPPED = 2, 3, 4
 SCHEMA = (
     "run_id string, job string, source string, target string, partition_no int, "
     "method string, status int, rows bigint, batches bigint, started_at timestamp_ntz, "
-    "finished_at timestamp_ntz, duration_seconds double, throughput double, message string"
+    "finished_at timestamp_ntz, duration_seconds double, throughput double, message string, "
+    "conflicts bigint, rows_left bigint"
 )
 
 
@@ -29,7 +30,11 @@ def new_run_id() -> str:
 
 @dataclass(frozen=True)
 class RunResult:
-    """What a run did. ``batches`` counts bounded batches; a resumed run repeats its facts."""
+    """What a run did. ``batches`` counts bounded batches; a resumed run repeats its facts.
+
+    ``conflicts`` are rows left where they were because the target has their key with other
+    content, ``rows_left`` matching rows that a bounded run did not take.
+    """
 
     run_id: str
     job: str
@@ -43,6 +48,8 @@ class RunResult:
     started_at: datetime | None = None
     finished_at: datetime | None = None
     message: str | None = None
+    conflicts: int = 0
+    rows_left: int = 0
 
     @property
     def succeeded(self) -> bool:

@@ -262,7 +262,14 @@ class ArchiveJob:
     """One archive job. ``where`` is a raw predicate, ``filters`` a stored definition.
 
     A bounded run takes rows in order of ``order_by``, else of the keys, else of the
-    filter column. An order that follows the files (time, as a rule) touches fewer.
+    filter column. An order that follows the files (time, as a rule) touches fewer. Without
+    ``max_rows`` it takes all.
+
+    ``on_duplicate`` says what keys are for. 'skip': they are unique; a row that is in the
+    target already is not written again, and a row whose key is there with other content is
+    left in the source and counted. 'fail': a known key fails the run. 'append': keys order
+    the rows at most; exactly the rows written leave the source, and the run id alone tells
+    a repeated run.
     """
 
     name: str
@@ -273,7 +280,7 @@ class ArchiveJob:
     filters: str | None = None
     keys: tuple[str, ...] = ()
     batch_size: int = 5_000
-    max_rows: int = 50_000
+    max_rows: int | None = None
     delete_source: bool = True
     on_duplicate: str = "skip"
     max_failures: int = 5
@@ -288,12 +295,12 @@ class ArchiveJob:
                 raise ValueError(f"{label} must not be blank")
         if self.batch_size <= 0:
             raise ValueError("batch_size must be positive")
-        if self.max_rows < self.batch_size:
+        if self.max_rows is not None and self.max_rows < self.batch_size:
             raise ValueError("max_rows must not be below batch_size")
         if self.max_failures <= 0:
             raise ValueError("max_failures must be positive")
-        if self.on_duplicate not in ("fail", "skip"):
-            raise ValueError("on_duplicate is 'fail' or 'skip'")
+        if self.on_duplicate not in ("fail", "skip", "append"):
+            raise ValueError("on_duplicate is 'fail', 'skip' or 'append'")
 
     def describe(self) -> str:
         return json.dumps({"job": self.name, "source": self.source, "target": self.target})

@@ -127,6 +127,53 @@ def archive_bounded_source(spark, sf):
     return _bounded(spark, sf)[0].read()
 
 
+def _repeated_keys(spark, sf):
+    """Three runs over rows that share keys, cut in the middle of a key's rows."""
+    root, store = _adopted(spark, sf, "lineitem")
+    job = ArchiveJob(
+        name="items", source=store.path, target=f"{root}/archive", filter_column="l_shipdate",
+        where="<= DATEADD(DAY, -1000, GETDATE())", keys=("l_orderkey",), as_of=AS_OF,
+        batch_size=1, max_rows=1001, on_duplicate="append",
+    )
+    for _ in range(3):
+        ar.archive_bounded(spark, job)
+    return store, Store(spark, job.target)
+
+
+# Which rows of one key go first is open, so the counts per key and the union are compared.
+SHIPPED = "l_shipdate <= TIMESTAMP '2001-08-02' - INTERVAL 1000 DAY"
+
+
+@query("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS rows FROM (SELECT l_orderkey, row_number() "
+       f"OVER (ORDER BY l_orderkey) AS r FROM lineitem WHERE {SHIPPED}) WHERE r <= 3003 "
+       "GROUP BY l_orderkey")
+def archive_bounded_repeated_keys_target(spark, sf):
+    rows = _repeated_keys(spark, sf)[1].read().groupBy("l_orderkey")
+    return rows.agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT * FROM lineitem")
+def archive_bounded_repeated_keys_union(spark, sf):
+    source, target = _repeated_keys(spark, sf)
+    return source.read().unionByName(target.read())
+
+
+@query("SELECT side, o_orderkey, o_totalprice FROM (SELECT 'source' AS side, * FROM orders WHERE "
+       f"NOT ({OLD}) OR o_orderkey % 7 = 0 UNION ALL SELECT 'target', * REPLACE (CASE WHEN "
+       f"o_orderkey % 7 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE {OLD})")
+def archive_move_conflicting_rows(spark, sf):
+    """Old orders whose key the archive has at another price stay where they are."""
+    root, store = _adopted(spark, sf)
+    job = _job(root)
+    old = store.read().filter(ar.job_predicate(job, store.snapshot().schema))
+    target = Store(spark, job.target)
+    target.append(old.filter("o_orderkey % 7 = 0").withColumn("o_totalprice", F.lit(-1.0)), "before")
+    ar.archive_move(spark, job)
+    sides = [s.read().select(F.lit(n).alias("side"), "o_orderkey", "o_totalprice")
+             for n, s in (("source", store), ("target", target))]
+    return sides[0].unionByName(sides[1])
+
+
 PNO = pno_sql("o_orderdate", YEARS)
 
 
