@@ -1,8 +1,8 @@
 """Quality rules: structure counts and a hashed n-gram log-likelihood ratio.
 
-Every word gives three n-grams: itself, itself with the next word, and the last three
-characters of both, which tell how words are built where the words themselves are rare. They
-are hashed to ``BUCKETS`` buckets. Two smoothed multinomials over the buckets, one of a
+Every word gives three n-grams: itself, itself with the next word, and its last three
+characters, which tell how words are built where the words themselves are rare. They are
+hashed to ``BUCKETS`` buckets; each word is hashed once. Two smoothed multinomials over the buckets, one of a
 trusted target and one of the whole corpus, give each bucket a log ratio; a document's score
 is the mean over its n-grams, and it is kept if that reaches a fixed threshold.
 
@@ -17,13 +17,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import BLANKS, whole_text
+from frostline.llm.common import whole_text
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-THRESHOLD = -0.5  # natural log units per n-gram
+THRESHOLD = -0.3  # natural log units per n-gram
 TRUSTED_DOCS = 20_000  # at most so many labelled documents form the target
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 10, 5, 20
 
 
@@ -36,22 +36,28 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets of all n-grams of a document, with repeats."""
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
 
-    def place(*parts: Column) -> Column:
-        return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+def buckets_of(words: Column, hashes: Column, i: Column, word: Column, buckets: int) -> tuple[Column, ...]:
+    """The buckets of the three n-grams of word ``i``."""
+    one = F.get(hashes, i)
+    two = F.xxhash64(one, F.coalesce(F.get(hashes, i + 1), F.lit(0)))
+    end = F.xxhash64(F.right(word, F.lit(3)), F.lit(3))
+    return tuple(F.pmod(h, F.lit(buckets)).cast("int") for h in (one, two, end))
 
-    def three(word: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(words, i + 1), F.lit(""))
-        ends = (F.substring(word, -3, 3), F.substring(after, -3, 3))
-        return F.array(place(word), place(word, after), place(*ends, F.lit(3)))
 
-    return F.flatten(F.transform(words, three))
+def all_buckets(words: Column, buckets: int = BUCKETS) -> Column:
+    """The buckets of all n-grams of a document, with repeats."""
+    return let(
+        hashed(words),
+        lambda h: F.flatten(F.transform(words, lambda w, i: F.array(*buckets_of(words, h, i, w, buckets)))),
+    )
 
 
 def repeated_words(words: Column) -> Column:
-    """Words inside windows of five words that the text holds at least twice.
+    """Words, given by their hashes, inside windows of five that the text holds twice or more.
 
     Windows are compared by a 64-bit hash. Equal ones meet by sorting, so long texts that
     repeat themselves cost n log n.
@@ -93,7 +99,7 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, s
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left"
     )
     found = (
-        flagged.select("trusted", F.explode(let(words_of(F.col("text")), lambda w: buckets_of(w, buckets))).alias("bucket"))
+        flagged.select("trusted", F.explode(let(words_of(F.col("text")), lambda w: all_buckets(w, buckets))).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     )
@@ -137,22 +143,27 @@ def judge(
     text = F.col("_text")
 
     def facts(words: Column) -> Column:
-        total = F.aggregate(
-            buckets_of(words, buckets), F.lit(0.0), lambda acc, b: acc + F.get(ratio, b)
-        )
-        n = F.size(words)
-        return F.struct(
-            n.cast("long").alias("n_words"),
-            repeated_words(words).alias("n_repeat_words"),
-            F.when(n > 0, total / (3 * n)).otherwise(0.0).alias("score"),
-        )
-
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+        def with_hashes(hashes: Column) -> Column:
+            ratios_of = F.transform(
+                words,
+                lambda w, i: sum(F.get(ratio, b) for b in buckets_of(words, hashes, i, w, buckets)),
+            )
+            total = F.aggregate(ratios_of, F.lit(0.0), lambda acc, r: acc + r)
+            n = F.size(words)
+            return F.struct(
+                n.cast("long").alias("n_words"),
+                repeated_words(hashes).alias("n_repeat_words"),
+                F.when(n > 0, total / (3 * n)).otherwise(0.0).alias("score"),
+                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            )
+
+        return let(hashed(words), with_hashes)
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     found = docs.select(*keep, whole_text().alias("_text")).select(
         *keep,
         let(words_of(text), facts).alias("_f"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     n, repeats = F.col("_f.n_words"), F.col("_f.n_repeat_words")
@@ -160,7 +171,7 @@ def judge(
     return found.select(
         *keep,
         n.alias("n_words"),
-        "word_chars",
+        F.col("_f.word_chars").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         repeats.alias("n_repeat_words"),
