@@ -205,16 +205,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
 
     def run(batches):
         cache = PieceCache(merged_pieces(path))
-        for batch in text_slices(batches, "_text"):
+        for batch in text_slices(batches, "__text__"):
             table = pa.Table.from_batches([batch])
-            texts = table["_text"].to_pylist()
+            texts = table["__text__"].to_pylist()
             encoded = list(encode_texts(texts, cache))
             columns = {c: table[c] for c in keep}
             columns["ids"] = pa.array([i.tobytes() for i, _ in encoded], pa.binary())
             columns["ends"] = pa.array([e.tobytes() for _, e in encoded], pa.binary())
             yield from pa.table(columns).to_batches()
 
-    rows = docs.select(*keep, whole_text(text_col).alias("_text"))
+    rows = docs.select(*keep, whole_text(text_col).alias("__text__"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(run, f"{kinds}, ids binary, ends binary")
 

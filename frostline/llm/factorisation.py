@@ -196,13 +196,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches):
-        for batch in text_slices(batches, "_text"):
-            texts = _to_bytes(batch.column("_text").to_pylist())
-            scores = shared.value.scores(texts, batch.column("_n_chars").to_pylist())
+        for batch in text_slices(batches, "__text__"):
+            texts = _to_bytes(batch.column("__text__").to_pylist())
+            scores = shared.value.scores(texts, batch.column("__n_chars__").to_pylist())
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*keep, "score"])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"), F.col("n_chars").cast("long").alias("_n_chars"))
+    rows = docs.select(*keep, F.col("text").alias("__text__"), F.col("n_chars").cast("long").alias("__n_chars__"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     return rows.mapInArrow(run, ", ".join([*kinds, "score double"]))
 

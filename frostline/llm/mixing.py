@@ -40,8 +40,8 @@ def uniform(text: Column, seed: int) -> Column:
 def keyed(docs: DataFrame, seed: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, key) of every document."""
     text = whole_text()
-    sized = docs.select("doc_id", "source", text.alias("_text"), word_count(text).alias("size"), *extra)
-    key = -F.log(uniform(F.col("_text"), seed)) / quality_weight(F.col("_text"), F.col("size"))
+    sized = docs.select("doc_id", "source", text.alias("__text__"), word_count(text).alias("size"), *extra)
+    key = -F.log(uniform(F.col("__text__"), seed)) / quality_weight(F.col("__text__"), F.col("size"))
     return sized.select("doc_id", "source", "size", key.alias("key"), *extra)
 
 

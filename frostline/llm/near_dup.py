@@ -289,10 +289,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     _, found = _grouped(docs)
     first = F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "text_hash")).alias("r")
     chosen = found.groupBy("comp").agg(first).select("r.row_id", "r.text_hash").select(*_row_key("row_id"))
-    rows = docs.withColumn("text_hash", F.xxhash64(whole_text())).withColumn("_id", F.col("doc_id").cast("long"))
     blank = F.length(F.translate(whole_text(), BLANKS, "")) == 0
     names = docs.columns
-    keyed = rows.where(~blank).select(*[F.col(c).alias(f"d_{c}") for c in names], *_row_key("_id"))
+    rows = docs.where(~blank).select(
+        *[F.col(c).alias(f"d_{c}") for c in names],
+        F.col("doc_id").cast("long").alias("own_id"),
+        F.xxhash64(whole_text()).alias("text_hash"),
+    )
+    keyed = rows.select(*[f"d_{c}" for c in names], *_row_key("own_id"))
     keys = ["row_id", "no_id", "text_hash"]
     kept = keyed.join(chosen, keys, "left_semi").dropDuplicates(keys)
     return kept.select(*[F.col(f"d_{c}").alias(c) for c in names]).union(docs.where(blank))

@@ -23,8 +23,8 @@ from frostline.llm.pii_model import KINDS, TAGS
 
 WINDOW, STRIDE = 64, 32
 TRAIN_WINDOWS = 4_000  # at most so many windows are learned from
-TRAIN_STEPS = 250
-CERTAINTY = 0.95  # mean probability of a model span's tags
+TRAIN_STEPS = 300
+CERTAINTY = 0.9  # mean probability of a model span's tags, over all sequences
 BATCH_WINDOWS = 2_048
 TRIGGER = "[0-9@]"
 
@@ -148,8 +148,7 @@ def model_spans(texts: list[str], bases: list[list], p: dict) -> list[list[tuple
         group = stretches[first:last]
         stacked = np.stack([s for _, _, s in group])
         tags = pii_model.viterbi(stacked, p["moves"])
-        sure = np.exp(stacked - stacked.max(axis=2, keepdims=True))
-        sure /= sure.sum(axis=2, keepdims=True)
+        sure = pii_model.marginals(stacked, p["moves"])
         for row in np.flatnonzero(tags.any(axis=1)).tolist():
             i, offset, _ = group[row]
             for kind, start, end in _spans(tags[row]):
@@ -231,8 +230,8 @@ def find_personal_data(docs: DataFrame, parameters: dict, keep: tuple[str, ...]
         return [{"place": KINDS.index(k), "start": s, "kind": k, "end": e} for k, s, e in spans]
 
     def run(batches):
-        for batch in text_slices(batches, "_text"):
-            texts = batch.column("_text").to_pylist()
+        for batch in text_slices(batches, "__text__"):
+            texts = batch.column("__text__").to_pylist()
             bases = [base_spans(t) for t in texts]
             more = model_spans(texts, bases, shared.value)
             columns = [batch.column(c) for c in keep]
@@ -240,9 +239,9 @@ def find_personal_data(docs: DataFrame, parameters: dict, keep: tuple[str, ...]
             columns.append(pa.array([structs(b + m) for b, m in zip(bases, more)], span))
             yield pa.RecordBatch.from_arrays(columns, [*keep, "base", "spans"])
 
-    rows = docs.select(*keep, whole_text().alias("_text"))
+    rows = docs.select(*keep, whole_text().alias("__text__"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    possible = F.col("_text").rlike(TRIGGER)
+    possible = F.col("__text__").rlike(TRIGGER)
     found = rows.where(possible).mapInArrow(run, ", ".join([*kinds, f"base array<{SPAN}>", f"spans array<{SPAN}>"]))
     none = F.array().cast(f"array<{SPAN}>")
     return found.union(rows.where(~possible).select(*keep, none.alias("base"), none.alias("spans")))

@@ -132,17 +132,29 @@ def _logsumexp(x, axis):
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def crf_gradients(scores: np.ndarray, tags: np.ndarray, moves: np.ndarray):
-    """(mean loss, gradients of the scores, gradients of the moves) of true tag sequences."""
-    batch, steps, _ = scores.shape
-    m = moves + FORBIDDEN
+def _both_ways(scores: np.ndarray, m: np.ndarray):
+    """(scores of all prefixes, of all suffixes, of all sequences) by their last or next tag."""
     ahead, back = np.empty_like(scores), np.zeros_like(scores)
     ahead[:, 0] = scores[:, 0]
+    steps = scores.shape[1]
     for t in range(1, steps):
         ahead[:, t] = scores[:, t] + _logsumexp(ahead[:, t - 1, :, None] + m, 1)
     for t in range(steps - 2, -1, -1):
         back[:, t] = _logsumexp(m + (scores[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-    total = _logsumexp(ahead[:, -1], 1)
+    return ahead, back, _logsumexp(ahead[:, -1], 1)
+
+
+def marginals(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The probability of each tag at each place, over all sequences."""
+    ahead, back, total = _both_ways(scores, moves + FORBIDDEN)
+    return np.exp(ahead + back - total[:, None, None])
+
+
+def crf_gradients(scores: np.ndarray, tags: np.ndarray, moves: np.ndarray):
+    """(mean loss, gradients of the scores, gradients of the moves) of true tag sequences."""
+    batch, steps, _ = scores.shape
+    m = moves + FORBIDDEN
+    ahead, back, total = _both_ways(scores, m)
     grad = np.exp(ahead + back - total[:, None, None])
     rows, times = np.arange(batch)[:, None], np.arange(steps)
     truth = scores[rows, times, tags].sum(axis=1) + m[tags[:, :-1], tags[:, 1:]].sum(axis=1)

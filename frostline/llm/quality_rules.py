@@ -140,7 +140,7 @@ def judge(
     ratios = bucket_ratios(docs, trusted, buckets, smoothing)
     # one constant array instead of one literal per bucket
     ratio = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    text = F.col("_text")
+    text = F.col("__text__")
 
     def facts(words: Column) -> Column:
         def with_hashes(hashes: Column) -> Column:
@@ -160,7 +160,7 @@ def judge(
         return let(hashed(words), with_hashes)
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    found = docs.select(*keep, whole_text().alias("_text")).select(
+    found = docs.select(*keep, whole_text().alias("__text__")).select(
         *keep,
         let(words_of(text), facts).alias("_f"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
