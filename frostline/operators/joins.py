@@ -73,6 +73,19 @@ def _rangeable(dtype) -> bool:
     return isinstance(dtype, (T.IntegralType, T.DateType, T.TimestampNTZType, T.StringType))
 
 
+def within_keys_of(target, batch, keys) -> DataFrame:
+    """The target cut to the range of the batch's first key, which its scan can skip by."""
+    first = list(keys)[0]
+    dtype = batch.schema[first].dataType
+    if not _rangeable(dtype):
+        return target
+    low, high = batch.agg(F.min(first), F.max(first)).first()
+    if low is None:
+        return target.limit(0)  # a NULL key matches nothing
+    edges = [F.lit(str(v)).cast(dtype) for v in (low, high)]
+    return target.filter(F.col(first).between(*edges))
+
+
 def new_rows_of_batch(batch, target, keys) -> DataFrame:
     """``new_rows`` for a batch known to have at most BROADCAST_ROWS rows.
 
@@ -80,13 +93,7 @@ def new_rows_of_batch(batch, target, keys) -> DataFrame:
     then to the batch's own keys, so nothing of its size is shuffled.
     """
     keys = list(keys)
-    first = keys[0]
-    if _rangeable(batch.schema[first].dataType):
-        low, high = batch.agg(F.min(first), F.max(first)).first()
-        if low is not None:
-            dtype = batch.schema[first].dataType
-            edges = [F.lit(str(v)).cast(dtype) for v in (low, high)]
-            target = target.filter(F.col(first).between(*edges))
+    target = within_keys_of(target, batch, keys)
     there = target.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi")
     # One row per key of the batch at most.
     return batch.join(F.broadcast(there.distinct()), keys, "left_anti")

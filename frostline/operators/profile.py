@@ -1,4 +1,4 @@
-"""Column profiles: exact, bounds only, sampled, or chosen by table size."""
+"""Column profiles: exact, by sketches, or bounds only. All of them read all rows."""
 
 from __future__ import annotations
 
@@ -8,12 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Row counts at which the profile gets coarser, and the sample size.
-EXACT_UP_TO = 1_000_000
-BOUNDS_UP_TO = 5_000_000
-SAMPLE_ROWS = 10_000
-
-
 def _text(value: Column) -> Column:
     return value.cast("string")
 
@@ -83,38 +77,10 @@ def profile_bounds(df: DataFrame, columns) -> DataFrame:
     return reduce(DataFrame.unionByName, passes)
 
 
-def profile_sample(df: DataFrame, column: str, rows=SAMPLE_ROWS, seed=17, total=None):
-    """Bounds of about ``rows`` random non-null values; marked approximate."""
-    total = df.count() if total is None else total
-    share = min(1.0, rows / total) if total else 1.0
-    return (
-        df.select(column)
-        .filter(F.col(column).isNotNull())
-        .sample(fraction=share, seed=seed)
-        .agg(_text(F.min(column)).alias("min_value"), _text(F.max(column)).alias("max_value"))
-        .select(
-            F.lit(column).alias("column_name"),
-            "min_value",
-            "max_value",
-            F.lit(total).cast("bigint").alias("total_rows"),
-            F.lit(None).cast("bigint").alias("distinct_rows"),
-            F.lit(True).alias("is_approximate"),
-        )
-    )
-
-
-def profile_auto(df: DataFrame, column: str, exact_up_to=EXACT_UP_TO, bounds_up_to=BOUNDS_UP_TO):
-    """Exact profile of small tables, bounds of larger ones, a sample of the largest.
+def profile_auto(df: DataFrame, column: str, approximate=False) -> DataFrame:
+    """Exact bounds of all rows; the distinct count exact too, or by a sketch if asked for.
 
-    The count that decides reads file footers only when ``df`` is a plain scan.
+    The size of the table decides nothing. ``is_approximate`` tells which count it is.
     """
-    total = df.count()
-    if total > bounds_up_to:
-        return profile_sample(df, column, total=total)
-    if total > exact_up_to:
-        found = profile_bounds(df, [column]).withColumn(
-            "distinct_rows", F.lit(None).cast("bigint")
-        )
-    else:
-        found = profile(df, [column])
-    return found.withColumn("is_approximate", F.lit(False))
+    found = profile(df, [column], approximate=approximate)
+    return found.withColumn("is_approximate", F.lit(approximate))

@@ -262,14 +262,17 @@ def normalise_boundaries(values: DataFrame, column: str) -> DataFrame:
     function may have fails the query rather than being cut.
     """
     distinct = values.select(F.col(column).alias("boundary")).dropna().distinct()
-    # At most MAX_PARTITIONS + 1 rows reach the one-partition window.
-    head = distinct.orderBy("boundary").limit(MAX_PARTITIONS + 1)
-    numbered = head.withColumn("ordinal", F.row_number().over(Window.orderBy("boundary")))
-    checked = F.when(
-        F.col("ordinal") >= MAX_PARTITIONS,
-        F.raise_error(F.lit("too many distinct values for a boundary list")).cast("string"),
-    ).otherwise(sort_key(F.col("ordinal")))
-    return numbered.select(checked.alias("sort_key"), "boundary")
+    total = distinct.agg(F.count(F.lit(1))).scalar()
+    # The check is a filter of every row, so no choice of columns prunes it away; past it,
+    # fewer than MAX_PARTITIONS rows reach the one-partition window.
+    fits = F.when(
+        total >= MAX_PARTITIONS,
+        F.raise_error(F.lit("too many distinct values for a boundary list")).cast("boolean"),
+    ).otherwise(F.lit(True))
+    numbered = distinct.filter(fits).withColumn(
+        "ordinal", F.row_number().over(Window.orderBy("boundary"))
+    )
+    return numbered.select(sort_key(F.col("ordinal")).alias("sort_key"), "boundary")
 
 
 # Effect of changing the boundary list.

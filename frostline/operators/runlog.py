@@ -14,8 +14,6 @@ from frostline.operators.ordering import global_rank, segment_of
 
 # Row counts used when none (or a non-positive one) is given, and the
 # heartbeat time-out.
-RECENT_DEFAULT = 20
-LOGS_DEFAULT = 200
 HEARTBEAT_TIMEOUT = timedelta(minutes=5)
 
 
@@ -239,29 +237,32 @@ def _slice(df: DataFrame, order, offset: int, size: int) -> DataFrame:
     return ranked.filter(F.col("_rank") > offset).orderBy("_rank").drop("_rank")
 
 
-def _newest(df: DataFrame, ts, tie, n, default) -> DataFrame:
-    return _slice(df, [F.desc(ts), F.desc(tie)], 0, n if n and n > 0 else default)
+def _first(df: DataFrame, order, n) -> DataFrame:
+    """The first ``n`` rows in order, or all of them."""
+    if n is not None and n <= 0:
+        raise ValueError("n must be positive, or None for all rows")
+    return df.orderBy(*order) if n is None else _slice(df, order, 0, n)
 
 
-def recent(tasks, n=0, *, ts, tie, owner=None, owner_column=None, deleted=None) -> DataFrame:
-    """Most recent tasks, of one owner if given; 20 unless ``n`` is positive."""
+def recent(tasks, n=None, *, ts, tie, owner=None, owner_column=None, deleted=None) -> DataFrame:
+    """Most recent tasks first, of one owner if given; all of them unless ``n`` is given."""
     if deleted is not None:
         tasks = tasks.filter(~F.coalesce(F.col(deleted), F.lit(False)))
     if owner is not None:
         tasks = tasks.filter(F.col(owner_column) == F.lit(owner))
-    return _newest(tasks, ts, tie, n, RECENT_DEFAULT)
+    return _first(tasks, [F.desc(ts), F.desc(tie)], n)
 
 
 def _stamp(df: DataFrame, column: str, moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast(df.schema[column].dataType)
 
 
-def logs_since(logs, task, since=None, n=0, *, task_column, ts, entry) -> DataFrame:
-    """First log entries of a task from a time on (inclusive), by time and id; 200 by default."""
+def logs_since(logs, task, since=None, n=None, *, task_column, ts, entry) -> DataFrame:
+    """Log entries of a task from a time on (inclusive), by time and id; the first ``n`` or all."""
     found = logs.filter(F.col(task_column) == F.lit(task))
     if since is not None:
         found = found.filter(F.col(ts) >= _stamp(logs, ts, since))
-    return _slice(found, [ts, entry], 0, n if n and n > 0 else LOGS_DEFAULT)
+    return _first(found, [ts, entry], n)
 
 
 def page(df: DataFrame, order, number: int, size: int) -> DataFrame:

@@ -403,10 +403,19 @@ def archive_partition(spark: SparkSession, job: ArchiveJob, number: int, content
 
 
 def run_job(spark: SparkSession, job: ArchiveJob, log: RunLog | None = None, run_id=None):
-    """One scheduled run: skipped when disabled or empty, failed when anything breaks."""
+    """One scheduled run: skipped when disabled or empty, failed when anything breaks.
+
+    With a log, a job that failed ``max_failures`` times in a row is not tried again until
+    a run of it is logged that did not fail.
+    """
     started, run = utc_now(), run_id or new_run_id()
+    failures = log.failures_in_row(job.name) if log is not None else 0
     if not job.enabled:
         result = _result(job, run, "bounded", SKIPPED, started, message="job is disabled")
+    elif failures >= job.max_failures:
+        # no row in the log: a skipped run would count as one that did not fail
+        text = f"disabled after {failures} failures in a row"
+        return _result(job, run, "bounded", SKIPPED, started, message=text)
     else:
         try:
             result = archive_bounded(spark, job, run)
@@ -420,10 +429,7 @@ def run_job(spark: SparkSession, job: ArchiveJob, log: RunLog | None = None, run
 
 def archive_many(spark: SparkSession, jobs, log: RunLog | None = None) -> list[RunResult]:
     """Run jobs one after the other and keep going after a failure."""
-    results = [run_job(spark, job) for job in jobs]
-    if log is not None:
-        log.append(results)
-    return results
+    return [run_job(spark, job, log) for job in jobs]
 
 
 def summarise(log_rows: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline.sources import paths
+
 # Job run status codes (see functions.status.JOB_STATUS).
 SUCCESS, FAILED, SKIPPED = 2, 3, 4
 
@@ -80,5 +82,15 @@ class RunLog:
                 "run_date"
             ).parquet(self.path)
 
+    def failures_in_row(self, job: str) -> int:
+        """Failed runs of a job since its last run that did not fail."""
+        if not paths.exists(self.spark, self.path):
+            return 0
+        runs = self.read().filter(F.col("job") == job).select("status", "finished_at")
+        failed = F.col("status") == FAILED
+        last_good = runs.agg(F.max(F.when(~failed, F.col("finished_at")))).scalar()
+        since = last_good.isNull() | (F.col("finished_at") > last_good)
+        return runs.filter(failed & since).count()
+
     def read(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA + ", run_date date").parquet(self.path)

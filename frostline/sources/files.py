@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bad rows a load tolerates, and the formats of a file.
-MAX_ERRORS = 10
+# The formats of a file.
 FORMATS = ("native", "unicode", "char")
 # Keeps one file small enough for one task, as text with line breaks cannot be split.
 ROWS_PER_FILE = 1_000_000
@@ -64,14 +63,45 @@ def export(df: DataFrame, path: str, fmt: str = "unicode") -> None:
 
 
 def load(
-    spark: SparkSession, path: str, schema: T.StructType, fmt="unicode", max_errors=MAX_ERRORS
+    spark: SparkSession, path: str, schema: T.StructType, fmt="unicode", max_errors: int | None = 0
 ) -> DataFrame:
-    """Read files back; rows that do not parse are left out, and too many fail the load."""
+    """Read files back; more rows that do not parse than tolerated fail the load.
+
+    None tolerates any number. ``rejected`` returns the rows that are left out.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"format is one of {FORMATS}")
     if fmt == "native":
         return spark.read.schema(schema).parquet(path)
     binary = _binary(schema)
+    rows, text = _parsed(spark, path, schema, fmt)
+    bad = F.col(BAD_ROW).isNotNull()
+    if max_errors is not None:
+        errors = rows.agg(F.count_if(bad), F.count(schema[0].name)).first()[0]
+        if errors > max_errors:
+            raise TooManyBadRows(f"{errors} rows did not parse, {max_errors} are tolerated")
+    good = rows.filter(~bad)
+    for f in text:
+        if isinstance(f.dataType, T.StringType):
+            value = F.col(f.name)
+            good = good.withColumn(f.name, F.when(value == EMPTY, F.lit("")).otherwise(value))
+    for name in binary:
+        good = good.withColumn(name, F.unbase64(name))
+    return good.select(*schema.names)
+
+
+def rejected(spark: SparkSession, path: str, schema: T.StructType, fmt="unicode") -> DataFrame:
+    """The rows a load leaves out, as the text that did not parse."""
+    if fmt == "native":
+        return spark.createDataFrame([], "raw string")
+    rows, _ = _parsed(spark, path, schema, fmt)
+    # all columns are parsed for the sake of those that fail
+    return rows.filter(F.col(BAD_ROW).isNotNull()).select(F.col(BAD_ROW).alias("raw"))
+
+
+def _parsed(spark, path, schema, fmt) -> tuple[DataFrame, T.StructType]:
+    """All rows with the text of those that do not parse, and the schema they are read by."""
+    binary = _binary(schema)
     text = T.StructType(
         [T.StructField(f.name, T.StringType()) if f.name in binary else f for f in schema]
     )
@@ -85,15 +115,4 @@ def load(
         .option("emptyValue", EMPTY)
         .csv(path)
     )
-    bad = F.col(BAD_ROW).isNotNull()
-    errors = rows.agg(F.count_if(bad), F.count(schema[0].name)).first()[0]
-    if errors > max_errors:
-        raise TooManyBadRows(f"{errors} rows did not parse, {max_errors} are tolerated")
-    good = rows.filter(~bad)
-    for f in text:
-        if isinstance(f.dataType, T.StringType):
-            value = F.col(f.name)
-            good = good.withColumn(f.name, F.when(value == EMPTY, F.lit("")).otherwise(value))
-    for name in binary:
-        good = good.withColumn(name, F.unbase64(name))
-    return good.select(*schema.names)
+    return rows, text

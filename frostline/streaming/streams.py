@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline.operators.checks import guard_duplicates
+from frostline.operators.joins import within_keys_of
 from frostline.plans.archive import job_predicate
+from frostline.sources import paths
 from frostline.sources.store import Store
 from frostline.spec import ArchiveJob
 
@@ -26,6 +28,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_tick=None):
+    """The files of a stored table: those in its folder, or the one file that it is."""
+    if paths.is_folder(spark, path):
+        return file_stream(spark, path, schema, files_per_tick)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return file_stream(spark, folder, schema, files_per_tick, name)
+
+
 def archive_stream(stream: DataFrame, job: ArchiveJob, checkpoint: str, interval=None):
     """Archive matching rows of each tick; a tick that is replayed adds nothing.
 
@@ -43,8 +53,9 @@ def archive_stream(stream: DataFrame, job: ArchiveJob, checkpoint: str, interval
         if number <= base.runs.get(origin, {"tick": -1})["tick"]:
             return
         found = rows.filter(predicate).drop(*job.exclude)
-        if job.keys and base.parts:
-            found = guard_duplicates(found, base.read(spark), job.keys, job.on_duplicate)
+        if job.keys and base.parts and job.on_duplicate != "append":
+            there = within_keys_of(base.read(spark), found, job.keys)
+            found = guard_duplicates(found, there, job.keys, job.on_duplicate)
         target.append(found, origin, {"tick": number})
 
     writer = stream.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
@@ -54,12 +65,13 @@ def archive_stream(stream: DataFrame, job: ArchiveJob, checkpoint: str, interval
 
 
 def stale_stream(
-    beats: DataFrame, *, task, ts, status, terminal=(), timeout="5 minutes", delay="0 seconds"
+    beats: DataFrame, *, task, ts, status, terminal=(), timeout="5 minutes", delay
 ) -> DataFrame:
     """Tasks whose heartbeat stopped for the time-out, each reported once per silence.
 
     A session window closes exactly when no heartbeat came for that long; sessions
-    that ended in a terminal status are no failure.
+    that ended in a terminal status are no failure. Heartbeats later than ``delay`` behind
+    the newest one are dropped, so it has to cover the disorder of the source.
     """
     sessions = (
         beats.withWatermark(ts, delay)

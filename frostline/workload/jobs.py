@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from frostline.plans import archive as ar
 from frostline.plans import maintain as mt
-from frostline.plans.runs import RunLog
+from frostline.plans.runs import FAILED, SKIPPED, RunLog
 from frostline.session import scratch_path
 from frostline.sources import files
 from frostline.sources.store import Store
@@ -80,6 +80,21 @@ def export_and_load_char(spark, sf):
     return files.load(spark, path, events.schema, "char")
 
 
+@query("SELECT event_id % 10 = 0 AS was_rejected, CAST(count(*) AS BIGINT) AS rows FROM events "
+       "GROUP BY 1")
+def load_with_rejects(spark, sf):
+    """Every tenth row of a text export holds no number where one is due."""
+    events = table(spark, sf, "events")
+    path = scratch_path(spark, "export")
+    broken = F.when(F.col("event_id") % 10 == 0, F.lit("no number"))
+    texts = events.withColumn("value", F.coalesce(broken, F.col("value").cast("string")))
+    files.export(texts, path, "char")
+    good = files.load(spark, path, events.schema, "char", max_errors=None)
+    bad = files.rejected(spark, path, events.schema, "char")
+    sides = [df.select(F.lit(flag).alias("was_rejected")) for df, flag in ((good, False), (bad, True))]
+    return sides[0].unionByName(sides[1]).groupBy("was_rejected").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(f"SELECT * FROM orders WHERE {OLD}")
 def archive_copy(spark, sf):
     root, _ = _adopted(spark, sf)
@@ -260,6 +275,20 @@ def archive_many_jobs(spark, sf):
     return ar.summarise(log.read())
 
 
+@query("SELECT * FROM (VALUES (3, 2)) AS v(failed, disabled) WHERE (SELECT count(*) FROM orders) > 0")
+def archive_many_jobs_disabled(spark, sf):
+    """A job that breaks each time is tried three times, and skipped the other two."""
+    root, _ = _adopted(spark, sf)
+    log = RunLog(spark, f"{root}/runs")
+    broken = _job(root, name="broken", where="< 5; --", max_failures=3)
+    results = [r for _ in range(5) for r in ar.archive_many(spark, [broken], log)]
+    disabled = sum(r.status == SKIPPED for r in results)
+    failed = log.read().filter(F.col("status") == FAILED)
+    return failed.agg(
+        F.count(F.lit(1)).cast("int").alias("failed"), F.lit(disabled).alias("disabled")
+    )
+
+
 # Streams.
 
 
@@ -267,7 +296,7 @@ def archive_many_jobs(spark, sf):
 def archive_stream(spark, sf):
     root = scratch_path(spark, "stream")
     orders = table(spark, sf, "orders")
-    stream = streams.file_stream(spark, sf, orders.schema, 1, "orders.parquet")
+    stream = streams.table_stream(spark, f"{sf}/orders.parquet", orders.schema, 1)
     job = _job(root)
     streams.archive_stream(stream, job, f"{root}/checkpoint").awaitTermination()
     return Store(spark, job.target).read()
@@ -296,11 +325,13 @@ def _drained(stream, root):
        "AND last_status NOT IN ('purchase', 'error')")
 def stale_heartbeat_stream(spark, sf):
     events = table(spark, sf, "events")
-    beats = streams.file_stream(spark, sf, events.schema, 1, "events.parquet")
+    # the table's files are in no order of time, so one tick takes them all
+    beats = streams.table_stream(spark, f"{sf}/events.parquet", events.schema)
     # Event-time windows of a stream need an instant; the session zone is UTC.
     beats = beats.withColumn("ts", F.to_timestamp(F.col("ts")))
     stale = streams.stale_stream(
-        beats, task="user_id", ts="ts", status="event_type", terminal=("purchase", "error")
+        beats, task="user_id", ts="ts", status="event_type", terminal=("purchase", "error"),
+        delay="0 seconds",
     )
     found = _drained(stale, scratch_path(spark, "stale"))
     return found.withColumns(
@@ -311,7 +342,7 @@ def stale_heartbeat_stream(spark, sf):
 @query("SELECT * FROM events WHERE user_id = 5 AND ts >= TIMESTAMP '2024-01-12'")
 def tail_log_stream(spark, sf):
     events = table(spark, sf, "events")
-    stream = streams.file_stream(spark, sf, events.schema, 1, "events.parquet")
+    stream = streams.table_stream(spark, f"{sf}/events.parquet", events.schema, 1)
     tail = streams.tail_logs(
         stream, ts="ts", task=5, task_column="user_id", since=AS_OF.replace(2024, 1, 12)
     )

@@ -124,9 +124,20 @@ def profile_as_text(spark, sf):
     return pf.profile(table(spark, sf, "customer"), columns, compare="text")
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) "
+    "AS max_value, CAST(count(*) AS BIGINT) AS total_rows, TRUE AS within_10_percent FROM lineitem"
+    for c in PROFILED
+))
 def profile_approximate(spark, sf):
-    return pf.profile(table(spark, sf, "lineitem"), PROFILED, approximate=True)
+    """Sketched distinct counts, held against the exact ones."""
+    items = table(spark, sf, "lineitem")
+    exact = pf.profile(items, PROFILED).select("column_name", F.col("distinct_rows").alias("exact"))
+    found = pf.profile(items, PROFILED, approximate=True).join(exact, "column_name")
+    near = F.abs(F.col("distinct_rows") - F.col("exact")) <= 0.1 * F.col("exact")
+    return found.select(
+        "column_name", "min_value", "max_value", "total_rows", near.alias("within_10_percent")
+    )
 
 
 @query(_profile_sql(PROFILED, "lineitem"))
@@ -134,24 +145,12 @@ def profile_bounds(spark, sf):
     return pf.profile_bounds(table(spark, sf, "lineitem"), PROFILED)
 
 
-@query()
-def profile_sample(spark, sf):
-    return pf.profile_sample(table(spark, sf, "lineitem"), "l_orderkey")
-
-
 @query("SELECT *, FALSE AS is_approximate FROM ("
        + _profile_sql(("o_orderdate",), "orders", DISTINCT) + ")")
 def profile_auto(spark, sf):
     return pf.profile_auto(table(spark, sf, "orders"), "o_orderdate")
 
 
-@query()
-def storage_size(spark, sf):
-    from frostline.sources.storage import storage_size as size
-
-    return size(spark, sf)
-
-
 # Checks.
 
 HALF = "o_orderstatus <> 'P' OR o_orderdate < TIMESTAMP '1998-01-01'"

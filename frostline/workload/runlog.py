@@ -200,7 +200,8 @@ def rank_with_ties(spark, sf):
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def recent_tasks(spark, sf):
-    return rl.recent(table(spark, sf, "events"), ts="ts", tie="event_id").select("event_id", "ts")
+    found = rl.recent(table(spark, sf, "events"), 20, ts="ts", tie="event_id")
+    return found.select("event_id", "ts")
 
 
 @query("SELECT event_id, ts FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 5")
@@ -212,7 +213,7 @@ def recent_tasks_of_owner(spark, sf):
 
 
 @query("SELECT event_id, ts FROM events WHERE user_id = 3 AND ts >= TIMESTAMP '2024-01-10' "
-       "ORDER BY ts, event_id LIMIT 200")
+       "ORDER BY ts, event_id")
 def logs_since(spark, sf):
     found = rl.logs_since(
         table(spark, sf, "events"), 3, datetime(2024, 1, 10), task_column="user_id", ts="ts",

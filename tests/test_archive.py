@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from frostline.operators.checks import DuplicateRows
+from frostline.operators.checks import DuplicateRows, RepeatedKeys
 from frostline.plans import archive as ar
 from frostline.plans.maintain import to_partitioned
 from frostline.plans.runs import FAILED, SKIPPED, SUCCESS, RunLog
@@ -357,3 +357,59 @@ def test_rows_move_between_partitioned_tables(spark, parted, run):
                 assert (low is None or r.id >= low) and (high is None or r.id < high)
     after = Store(spark, parted.source).snapshot().parts
     assert before[2] in after and before[3] in after and before[1] not in after
+
+
+def _stores(spark, tmp_path, rows, archived=()):
+    source, target = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "t"))
+    source.append(spark.createDataFrame(rows, "k bigint, v string"))
+    if archived:
+        target.append(spark.createDataFrame(archived, "k bigint, v string"))
+    return source, target
+
+
+def _simple(source, target, **given):
+    return ArchiveJob(**{**dict(name="j", source=source.path, target=target.path, filter_column="k",
+                                where="< 10", keys=("k",), batch_size=1), **given})
+
+
+def _rows(store):
+    return sorted(tuple(r) for r in store.read().collect())
+
+
+def test_conflicting_row_stays_in_the_source(spark, tmp_path):
+    source, target = _stores(spark, tmp_path, [(1, "new"), (2, "same"), (3, "c")], [(1, "old"), (2, "same")])
+    result = ar.archive_move(spark, _simple(source, target))
+    assert (result.rows, result.conflicts) == (2, 1)
+    assert _rows(source) == [(1, "new")]
+    assert _rows(target) == [(1, "old"), (2, "same"), (3, "c")]
+
+
+def test_conflicts_do_not_starve_a_bounded_run(spark, tmp_path):
+    source, target = _stores(spark, tmp_path, [(1, "new"), (2, "b"), (3, "c")], [(1, "old")])
+    job = _simple(source, target, max_rows=1)
+    assert [ar.archive_bounded(spark, job).rows_left for _ in range(2)] == [1, 0]
+    assert _rows(source) == [(1, "new")] and len(_rows(target)) == 3
+
+
+def test_repeated_keys_are_refused_or_appended(spark, tmp_path):
+    rows = [(1, "a"), (2, "b"), (2, "c"), (3, "d")]
+    source, target = _stores(spark, tmp_path, rows)
+    with pytest.raises(RepeatedKeys):
+        ar.archive_bounded(spark, _simple(source, target, max_rows=2))
+    assert _rows(source) == rows
+    job = _simple(source, target, max_rows=2, on_duplicate="append")
+    ar.archive_bounded(spark, job)
+    assert len(_rows(source)) == 2
+    ar.archive_bounded(spark, job)
+    assert _rows(source) == [] and _rows(target) == rows
+
+
+def test_conflict_fails_a_partition_and_keeps_its_rows(spark, tmp_path):
+    source, target = _stores(spark, tmp_path, [(1, "new"), (20, "x")], [(1, "old")])
+    to_partitioned(spark, source.path, PartitionSpec("k", ValueKind.BIGINT, (10,)))
+    with pytest.raises(ar.ConflictingRows):
+        ar.archive_partition(spark, _simple(source, target), 1)
+    with pytest.raises(ar.ConflictingRows):  # the staged rows are still there
+        ar.archive_partition(spark, _simple(source, target), 1)
+    assert _rows(target) == [(1, "old")]
+    assert _rows(Store(spark, ar.find_staged(spark, _simple(source, target), 1))) == [(1, "new")]

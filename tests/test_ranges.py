@@ -121,6 +121,8 @@ def test_too_many_boundaries_fail_instead_of_being_cut(spark):
     values = spark.range(16_000).select(F.col("id").alias("v"))
     with pytest.raises(Exception, match="too many distinct values"):
         rg.normalise_boundaries(values, "v").collect()
+    with pytest.raises(Exception, match="too many distinct values"):
+        rg.normalise_boundaries(values, "v").select("boundary").count()
 
 
 def test_sync_with_nothing_missing(spark):

@@ -58,8 +58,10 @@ def test_defaults_of_lists(spark):
     df = spark.range(300).select(
         "id", F.lit("t").alias("task"), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts")
     )
-    assert rl.recent(df, 0, ts="ts", tie="id").count() == 20
-    logs = rl.logs_since(df, "t", None, -1, task_column="task", ts="ts", entry="id")
+    assert rl.recent(df, ts="ts", tie="id").count() == df.count()
+    with pytest.raises(ValueError):
+        rl.recent(df, 0, ts="ts", tie="id")
+    logs = rl.logs_since(df, "t", None, 200, task_column="task", ts="ts", entry="id")
     assert logs.count() == 200 and logs.first().id == 0
 
 

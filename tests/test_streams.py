@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -70,7 +71,8 @@ def test_stale_tasks_are_reported_once(spark, tmp_path):
     drop(spark, folder, [(1, minute(20), "run"), (2, minute(1), "done")], schema)
     drop(spark, folder, [(3, minute(m), "run") for m in range(0, 62, 4)], schema)
     stream = streams.file_stream(spark, folder, spark.createDataFrame([], schema).schema)
-    stale = streams.stale_stream(stream, task="id", ts="ts", status="st", terminal=("done",))
+    stale = streams.stale_stream(stream, task="id", ts="ts", status="st", terminal=("done",),
+                                 delay="0 seconds")
     query = (
         stale.writeStream.format("parquet").option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
@@ -96,3 +98,18 @@ def test_tail_equals_batch(spark, tmp_path):
         spark.read.parquet(folder), "run", since, task_column="st", ts="ts", entry="id"
     )
     assert sorted(r.id for r in spark.table("tail").collect()) == [r.id for r in batch.collect()]
+
+
+def test_tables_stream_as_a_file_or_a_folder(spark, tmp_path):
+    """A folder of part files in any order of time gives the same as one file."""
+    schema = spark.createDataFrame([], SCHEMA).schema
+    rows = spark.createDataFrame(entries(0, 120), SCHEMA)
+    folder, single = str(tmp_path / "many.parquet"), str(tmp_path / "one")
+    rows.repartition(9).write.parquet(folder)
+    rows.coalesce(1).write.parquet(single)
+    (part,) = [f for f in os.listdir(single) if f.endswith(".parquet")]
+    for name, path in (("many", folder), ("one", f"{single}/{part}")):
+        stream = streams.table_stream(spark, path, schema, 2)
+        query = stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sorted(r.id for r in spark.table(name).collect()) == list(range(120))
