@@ -2,6 +2,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import types as T
 
 from frostline.sources import files, jdbc
 
@@ -56,3 +57,14 @@ def test_jdbc_options():
     assert jdbc.write_options("jdbc:x", "t")["batchsize"] == "10000"
     with pytest.raises(ValueError):
         jdbc.write_options("jdbc:x", "t", 0)
+
+
+def test_bad_rows_count_whatever_is_read(spark, tmp_path):
+    """A bad value in a column nobody reads later still fails the load."""
+    (tmp_path / "in.csv").write_text("1\tone\n2\ttwo\n3\t4\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
+    with pytest.raises(files.TooManyBadRows):
+        files.load(spark, str(tmp_path / "in.csv"), schema, "char")
+    good = files.load(spark, str(tmp_path / "in.csv"), schema, "char", max_errors=None)
+    assert good.select("a").count() == 1
+    assert files.rejected(spark, str(tmp_path / "in.csv"), schema, "char").count() == 2
