@@ -169,9 +169,11 @@ def _compare_blocks(batches):
 
 
 def linked_by_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across components among the members (bucket, node, comp) of large buckets."""
-    hub = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    edges = members.join(hub, "bucket").select("a", F.col("node").alias("b"))
+    """Links across components among the members (first, node, comp) of large buckets.
+
+    ``first`` is the bucket's smallest node, which ties its members together.
+    """
+    edges = members.select(F.col("first").alias("a"), F.col("node").alias("b"))
     clusters = components(edges, "nd-clusters").withColumnRenamed("comp", "cluster")
     placed = clusters.join(members.select("node", "comp").distinct(), "node")
     per_comp = placed.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"))
@@ -233,7 +235,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     comps = components(links, "nd-components")
     placed = buckets.join(comps, "node", "left").select(
-        "bucket", "node", "members", F.coalesce("comp", "node").alias("comp")
+        "bucket", "first", "node", "members", F.coalesce("comp", "node").alias("comp")
     )
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     rest = write_scratch(placed.join(open_.select("bucket"), "bucket"), "nd-open")
