@@ -11,62 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key seen this often in the sample is worth spreading. Which keys are called hot
-# changes the speed only: every other key takes the plain path of the same join.
-HOT_SAMPLE = 0.001
-HOT_SEEN = 20
-HOT_KEYS = 256
-# A batch of up to this many keys is sent to the target; a larger one is shuffled.
-BROADCAST_ROWS = 100_000
-
-
-def hot_keys(df, keys) -> list:
-    """Keys that dominate a sample, at most HOT_KEYS of them."""
-    return (
-        df.select(*keys)
-        .dropna()
-        .sample(fraction=HOT_SAMPLE, seed=11)
-        .groupBy(*keys)
-        .count()
-        .filter(F.col("count") >= HOT_SEEN)
-        .orderBy(F.desc("count"))
-        .limit(HOT_KEYS)
-        .select(*keys)
-        .collect()
-    )
-
-
-def key_lookup(left, right, keys, how="left_semi", spread: int = 16, hot=None) -> DataFrame:
+
+def key_lookup(left, right, keys, how="left_semi") -> DataFrame:
     """Semi or anti join on keys that survives hot keys on either side.
 
-    The right side shrinks to its distinct keys map-side. Left rows of a hot or NULL
-    key are spread over ``spread`` reducers by the input split they come from (the
-    same one when a task is run again), and the few hot keys on the right are repeated
-    to match. Hot keys are looked up in a sample unless given (``[]`` for none).
+    The right side shrinks to its distinct keys before the shuffle. Both sides of the join
+    are plain exchanges, so AQE splits a reducer that a hot or NULL key of the left side
+    fills.
     """
     keys = list(keys)
-    found = hot_keys(left, keys) if hot is None else hot
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    split = F.pmod(F.spark_partition_id(), F.lit(spread))
-    keyset = right.select(*keys).dropna().distinct()
-    if found:
-        listed = F.broadcast(  # at most HOT_KEYS rows
-            left.sparkSession.createDataFrame(found, left.select(*keys).schema).withColumn(
-                "_hot", F.lit(True)
-            )
-        )
-        every = F.sequence(F.lit(0), F.lit(spread - 1))
-        spread_left = left.join(listed, keys, "left").withColumn(
-            "_split", F.when(F.col("_hot") | no_key, split).otherwise(F.lit(0))
-        )
-        keyset = keyset.join(listed, keys, "left").select(
-            *keys,
-            F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))).alias("_split"),
-        )
-    else:
-        spread_left = left.withColumn("_split", F.when(no_key, split).otherwise(F.lit(0)))
-        keyset = keyset.withColumn("_split", F.lit(0))
-    return spread_left.join(keyset, [*keys, "_split"], how).select(*left.columns)
+    return left.join(right.select(*keys).dropna().distinct(), keys, how).select(*left.columns)
 
 
 def _rangeable(dtype) -> bool:
@@ -87,28 +41,20 @@ def within_keys_of(target, batch, keys) -> DataFrame:
 
 
 def new_rows_of_batch(batch, target, keys) -> DataFrame:
-    """``new_rows`` for a batch known to have at most BROADCAST_ROWS rows.
+    """``new_rows`` for a batch much smaller than its target.
 
-    The target is narrowed to the batch's key range, which its scan can skip by, and
-    then to the batch's own keys, so nothing of its size is shuffled.
+    The target is narrowed to the batch's key range, which its scan can skip by, and then to
+    the batch's own keys, before its distinct keys are made.
     """
     keys = list(keys)
-    target = within_keys_of(target, batch, keys)
-    there = target.select(*keys).join(F.broadcast(batch.select(*keys)), keys, "left_semi")
-    # One row per key of the batch at most.
-    return batch.join(F.broadcast(there.distinct()), keys, "left_anti")
+    there = key_lookup(within_keys_of(target, batch, keys).select(*keys), batch, keys)
+    return key_lookup(batch, there, keys, "left_anti")
 
 
 def existing_rows(target, source, keys) -> DataFrame:
-    """Count of target rows whose key is in the batch.
-
-    Target rows collapse to one count per key before the shuffle, so a repeated key
-    costs nothing.
-    """
-    keys = list(keys)
-    per_key = target.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    matched = per_key.join(source.select(*keys).distinct(), keys, "left_semi")
-    return matched.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("existing_rows"))
+    """Count of target rows whose key is in the batch."""
+    matched = key_lookup(target.select(*keys), source, keys, "left_semi")
+    return matched.agg(F.count(F.lit(1)).alias("existing_rows"))
 
 
 def new_rows(source, target, keys) -> DataFrame:

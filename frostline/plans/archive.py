@@ -23,11 +23,7 @@ from frostline.operators.checks import (
     same_rows,
 )
 from frostline.operators.filters import filter_from_json, raw_filter
-from frostline.operators.joins import (
-    BROADCAST_ROWS,
-    new_rows,
-    new_rows_of_batch,
-)
+from frostline.operators.joins import new_rows, new_rows_of_batch, within_keys_of
 from frostline.operators.ordering import global_rank
 from frostline.operators.runlog import batch_summary
 from frostline.plans.runs import (
@@ -96,7 +92,7 @@ def _load(
         there = base.read(target.spark)
         if moving and job.on_duplicate == "skip":
             fresh = same_rows(fresh, there, job.keys, base.schema.names, "left_anti")
-        elif batch is not None and batch <= BROADCAST_ROWS and job.on_duplicate == "skip":
+        elif job.on_duplicate == "skip":
             fresh = new_rows_of_batch(fresh, there, job.keys)
         else:
             fresh = guard_duplicates(fresh, there, job.keys, job.on_duplicate)
@@ -145,7 +141,7 @@ def _conflicts(rows: DataFrame, t: Snapshot, job: ArchiveJob, run) -> DataFrame
     """
     if not job.keys or not t.parts or job.on_duplicate != "skip":
         return None
-    there = t.read(rows.sparkSession)
+    there = within_keys_of(t.read(rows.sparkSession), rows, job.keys)
     return conflicts(rows, there, job.keys, t.schema.names)
 
 

@@ -17,10 +17,7 @@ def tables(spark):
 
 
 @pytest.mark.parametrize("how", ["left_semi", "left_anti"])
-@pytest.mark.parametrize("seen", [2, 10**9])
-def test_lookup_equals_brute_force(spark, monkeypatch, how, seen):
-    monkeypatch.setattr(joins, "HOT_SAMPLE", 0.2)
-    monkeypatch.setattr(joins, "HOT_SEEN", seen)
+def test_lookup_equals_brute_force(spark, how):
     a, b, left, keys = tables(spark)
     match = lambda r: None not in r[:2] and r[:2] in keys
     want = sorted(r[2] for r in left if match(r) == (how == "left_semi"))
@@ -29,10 +26,17 @@ def test_lookup_equals_brute_force(spark, monkeypatch, how, seen):
     assert got.columns == a.columns
 
 
-def test_hot_keys_are_found(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_SAMPLE", 0.2)
-    a, _, _, _ = tables(spark)
-    assert {(r.a, r.b) for r in joins.hot_keys(a, ["a", "b"])} >= {(7, 0), (7, 1)}
+def test_lookup_is_one_join_of_two_plain_exchanges(spark, plan):
+    """So AQE can split a hot key; the left side is read and exchanged once."""
+    a, b, _, _ = tables(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(joins.key_lookup(a, b, ["a", "b"], "left_anti"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tree = text.split("(1)")[0]
+    assert tree.count("SortMergeJoin") == 1 and "Broadcast" not in tree
+    assert text.count("ENSURE_REQUIREMENTS") == 2
 
 
 def test_small_batch_path_equals_the_large_one(spark):
