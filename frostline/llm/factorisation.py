@@ -26,6 +26,7 @@ TRAIN_ROWS = 10_000
 EPOCHS = 6
 LEAST_STEPS = 400  # of gradient, where few rows make short epochs
 STEP_ROWS = 128
+SCORE_CHARS = 1_000_000  # of text that a task describes at once
 KEEP_FROM = 0.3
 FOLDS = 5
 
@@ -80,13 +81,12 @@ class Model:
     def __init__(self, bias, weights, factors, mean, spread):
         self.bias, self.weights, self.factors, self.mean, self.spread = bias, weights, factors, mean, spread
 
-    def features(self, texts: list[bytes], n_chars: list):
+    def features(self, described: tuple):
         """(features, values, number per text), words and statistics together."""
-        feature, value, counts = word_features(texts)
-        stats = np.clip((statistics(texts, n_chars) - self.mean) / self.spread, -4, 4) / 4
-        ends = np.cumsum(counts)
-        at = np.repeat(ends, STATISTICS)
-        feature = np.insert(feature, at, np.tile(BUCKETS + np.arange(STATISTICS), len(texts)))
+        stats, feature, value, counts = described
+        stats = np.clip((stats - self.mean) / self.spread, -4, 4) / 4
+        at = np.repeat(np.cumsum(counts), STATISTICS)
+        feature = np.insert(feature, at, np.tile(BUCKETS + np.arange(STATISTICS), len(counts)))
         return feature, np.insert(value, at, stats.reshape(-1)), counts + STATISTICS
 
     def margins(self, feature, value, counts) -> np.ndarray:
@@ -100,26 +100,34 @@ class Model:
     def scores(self, texts: list[bytes], n_chars: list) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.margins(*self.features(texts, n_chars)), -30, 30)))
+        margins = self.margins(*self.features(describe(texts, n_chars)))
+        return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
 
-def fit(texts: list[bytes], n_chars: list, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def describe(texts: list[bytes], n_chars: list) -> tuple:
+    """(statistics, word features, their values, number per text)."""
+    feature, value, counts = word_features(texts)
+    return statistics(texts, n_chars), feature.astype(np.int32), value, counts
+
+
+def fit(described: list[tuple], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Logistic loss by adaptive gradient steps; the order of rows and all draws are fixed."""
     rng = np.random.default_rng(seed)
     model = Model(0.0, np.zeros(WIDTH), rng.normal(0, 0.02, (WIDTH, FACTORS)), np.zeros(STATISTICS), np.ones(STATISTICS))
-    if not texts:
+    rows_in_all = len(labels)
+    if not rows_in_all:
         return model
-    stats = statistics(texts, n_chars)
-    model.mean, model.spread = stats.mean(axis=0), stats.std(axis=0) + 1e-6
+    parts = tuple(np.concatenate([d[k] for d in described]) for k in range(4))
+    model.mean, model.spread = parts[0].mean(axis=0), parts[0].std(axis=0) + 1e-6
     share = np.clip(labels.mean(), 0.01, 0.99)
     model.bias = float(np.log(share / (1 - share)))
-    feature, value, counts = model.features(texts, n_chars)
+    feature, value, counts = model.features(parts)
     starts = np.concatenate([[0], np.cumsum(counts)])
     seen_w, seen_v, seen_b = np.full(WIDTH, 1e-6), np.full((WIDTH, FACTORS), 1e-6), 1e-6
     rate, decay = 0.1, 1e-5
-    epochs = max(epochs, -(-LEAST_STEPS * STEP_ROWS // len(texts)) if len(texts) >= STEP_ROWS else LEAST_STEPS)
+    epochs = max(epochs, -(-LEAST_STEPS * STEP_ROWS // rows_in_all) if rows_in_all >= STEP_ROWS else LEAST_STEPS)
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(rows_in_all)
         for at in range(0, len(order), STEP_ROWS):
             rows = order[at : at + STEP_ROWS]
             sizes = counts[rows]
@@ -153,12 +161,21 @@ def train(labelled: DataFrame, epochs: int = EPOCHS) -> Model:
     """Fits on (doc_id, text, n_chars, label) rows, a bounded number, in one task."""
 
     def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
+        seen = []  # one row at a time: (id, label, its description), so texts are let go
+        for batch in text_slices(batches, chars=SCORE_CHARS):
+            ids, labels = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
+            stats, feature, value, counts = describe(
+                _to_bytes(batch.column("text").to_pylist()), batch.column("n_chars").to_pylist()
+            )
+            ends = np.cumsum(counts)
+            for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
+                own = (stats[i : i + 1], feature[a:b].copy(), value[a:b].copy(), counts[i : i + 1])
+                seen.append((ids[i], labels[i], own))
+        if not seen:
             return
-        rows = pa.concat_tables(tables).sort_by([("doc_id", "ascending"), ("label", "ascending")])
-        label = rows["label"].to_numpy().astype(float)
-        m = fit(_to_bytes(rows["text"].to_pylist()), rows["n_chars"].to_pylist(), label, epochs)
+        # rows that share id and label are ordered by what they hold
+        seen.sort(key=lambda r: (r[0], r[1], r[2][1].tobytes()))
+        m = fit([r[2] for r in seen], np.array([r[1] for r in seen], float), epochs)
         values = [m.weights, m.factors, m.mean, m.spread]
         yield pa.RecordBatch.from_pydict(
             {"bias": [float(m.bias)], "data": [np.concatenate([v.reshape(-1) for v in values]).astype("<f8").tobytes()]}
@@ -166,7 +183,7 @@ def train(labelled: DataFrame, epochs: int = EPOCHS) -> Model:
 
     found = labelled.coalesce(1).mapInArrow(run, "bias double, data binary").collect()
     if not found:
-        return fit([], [], np.zeros(0))
+        return fit([], np.zeros(0))
     data = np.frombuffer(found[0]["data"], "<f8")
     weights, factors, mean, spread = np.split(data, np.cumsum([WIDTH, WIDTH * FACTORS, STATISTICS]))
     return Model(found[0]["bias"], weights, factors.reshape(WIDTH, FACTORS), mean, spread)
@@ -196,7 +213,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches):
-        for batch in text_slices(batches, "__text__"):
+        for batch in text_slices(batches, "__text__", SCORE_CHARS):
             texts = _to_bytes(batch.column("__text__").to_pylist())
             scores = shared.value.scores(texts, batch.column("__n_chars__").to_pylist())
             columns = [batch.column(c) for c in keep]
