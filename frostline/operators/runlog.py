@@ -123,13 +123,16 @@ def max_retry(history: DataFrame, *, job, states) -> DataFrame:
 
 
 def latest_audit(history: DataFrame, *, job, states) -> DataFrame:
-    """Audit text of each job: from the newest state whose result has one."""
+    """Audit text of each job: from the newest state whose result has one, of equally new
+    ones the last text in order."""
     told = (
         history.select(job, F.explode(states).alias("_s"))
         .withColumn("_audit", audit_text(F.try_element_at("_s.data", F.lit("Result"))))
         .filter(F.col("_audit").isNotNull())
     )
-    return told.groupBy(job).agg(F.max_by("_audit", "_s.created_at").alias("audit"))
+    return told.groupBy(job).agg(
+        F.max_by("_audit", F.struct("_s.created_at", "_audit")).alias("audit")
+    )
 
 
 def ordered_concat(df: DataFrame, group, order: str, column: str, separator=", ") -> DataFrame:

@@ -1,6 +1,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from frostline.operators import filters as fl
 from frostline.operators.filters import Condition
@@ -128,3 +129,10 @@ def test_recode(spark):
     assert [r.m for r in fl.recode(df, "m", {3: 0}).collect()] == [0, 1, None, 9]
     fixed = fl.recode(df, "m", {}, default=7, valid=(1, 3))
     assert [r.m for r in fixed.collect()] == [3, 1, 7, 7]
+
+
+def test_estimate_pushes_the_filter_down(spark, plan):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    found = fl.estimate(orders, F.col("o_orderkey") < 100)
+    assert "LessThan(o_orderkey,100)" in plan(found)
+    assert tuple(found.first()) == (orders.filter("o_orderkey < 100").count(), orders.count())
