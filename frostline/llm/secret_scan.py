@@ -7,7 +7,8 @@ being powers of ten that add up. Values from ``GUESSES`` on are reported as kind
 
 A word costs the inverse of its share among all words of the corpus, its uses as a
 credential left out. Values, their substrings and the word counts meet by joins; no word
-list is broadcast, and each distinct value is weighed once.
+list is broadcast, and each distinct value is weighed once. Every value is weighed; one that
+the fixed patterns cover whole needs no span of its own.
 """
 
 from __future__ import annotations
@@ -80,16 +81,27 @@ def base_spans(text: str, lowered: str | None = None) -> list[tuple[str, int, in
     return found
 
 
-def credential_values(text: str, lowered: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) in credential context, apart from what the base kinds cover."""
+def is_covered(start: int, end: int, taken: list[tuple[str, int, int]]) -> bool:
+    """Whether spans, together, hold every character from start to end."""
+    for s, e in sorted((s, e) for _, s, e in taken if s < end and start < e):
+        if s > start:
+            return False
+        start = max(start, e)
+    return start >= end
+
+
+def credential_values(
+    text: str, lowered: str, taken: list[tuple[str, int, int]]
+) -> list[tuple[int, int, str, bool]]:
+    """(start, end, value, covered) in credential context; covered if base spans hold all of it."""
     if not any(h in lowered for h in HINTS):
         return []
     out = []
     for m in CONTEXT.finditer(text):
         start, value = m.start(1), m[1].rstrip(".!?)]}")
         end = start + len(value)
-        if len(value) >= MIN_VALUE and not any(s < end and start < e for _, s, e in taken):
-            out.append((start, end, value))
+        if len(value) >= MIN_VALUE:
+            out.append((start, end, value, is_covered(start, end, taken)))
     return out
 
 
@@ -161,7 +173,7 @@ def guess_cost(value: str, words: dict[str, float]) -> float:
 def _scan(batches):
     """Appends the base spans and the values in credential context to each row."""
     span = pa.struct([("start", pa.int32()), ("place", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
-    cand = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])
+    cand = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("covered", pa.bool_())])
     for batch in text_slices(batches, "text"):
         bases, values = [], []
         for text in batch.column("text").to_pylist():
@@ -169,7 +181,7 @@ def _scan(batches):
             found = base_spans(text or "", lowered)
             bases.append([{"start": s, "place": KINDS.index(k), "kind": k, "end": e} for k, s, e in found])
             own = credential_values(text or "", lowered, found)
-            values.append([{"start": s, "end": e, "value": v} for s, e, v in own])
+            values.append([{"start": s, "end": e, "value": v, "covered": c} for s, e, v, c in own])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(bases, pa.list_(span)), pa.array(values, pa.list_(cand))],
             [*batch.schema.names, "_base", "_values"],
@@ -177,15 +189,18 @@ def _scan(batches):
 
 
 SPAN = "struct<start: int, place: int, kind: string, end: int>"
+VALUE = "struct<start: int, end: int, value: string, covered: boolean>"
 
 
 def _parts(batches):
+    """(id, word) of each value; a long value has many words, so its digest stands for it."""
     for batch in batches:
-        pairs = [(v, w) for v in batch.column("value").to_pylist() for w in substrings(v)]
-        if pairs:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["value", "word"]
-            )
+        for own, value in zip(batch.column("id").to_pylist(), batch.column("value").to_pylist()):
+            words = list(substrings(value))
+            if words:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([own] * len(words), pa.string()), pa.array(words, pa.string())], ["id", "word"]
+                )
 
 
 def _weigh(total: int):
@@ -210,17 +225,17 @@ def corpus_words(text: Column) -> Column:
 
 def weighed_values(docs: DataFrame, values: DataFrame) -> DataFrame:
     """(value, cost) of each distinct value among (value) rows."""
-    distinct = values.select("value").distinct()
+    distinct = values.select("value").distinct().withColumn("id", F.sha2(F.col("value").cast("binary"), 256))
     corpus = docs.select(corpus_words(whole_text())).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     own = values.select(corpus_words(F.col("value"))).groupBy("word").agg((-F.count(F.lit(1))).alias("n"))
     counts = corpus.union(own).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
     counts = write_scratch(counts, "secret-words")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    parts = distinct.mapInArrow(_parts, "value string, word string")
+    parts = distinct.mapInArrow(_parts, "id string, word string")
     known = (
-        parts.join(counts, "word").groupBy("value").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+        parts.join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("words"))
     )
-    rows = distinct.join(known, "value", "left")
+    rows = distinct.join(known, "id", "left")
     return rows.mapInArrow(_weigh(total), "value string, cost double")
 
 
@@ -236,13 +251,14 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES, keep: tuple[str, ...
     """(keep..., _base, _spans): spans are structs of start, place, kind and end.
 
     Offsets count characters, ends are exclusive. Base spans of one kind don't overlap;
-    ``guess`` spans overlap no base span. A null or empty text has none; repeated rows, null
-    ids and clashing columns change nothing; an empty table gives no rows.
+    a ``guess`` span may overlap base spans that cover its value in part, and is left out where
+    they cover all of it. A null or empty text has none; repeated rows, null ids and clashing
+    columns change nothing; an empty table gives no rows.
     """
     rows = docs.select(*keep, *[c for c in ("text",) if c not in keep])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     scanned = rows.mapInArrow(
-        _scan, f"{kinds}, _base array<{SPAN}>, _values array<struct<start: int, end: int, value: string>>"
+        _scan, f"{kinds}, _base array<{SPAN}>, _values array<{VALUE}>"
     )
     scanned = write_scratch(
         scanned.select(*keep, "_base", "_values", F.monotonically_increasing_id().alias("_row")), "secret-spans"
@@ -251,7 +267,7 @@ def find_secrets(docs: DataFrame, guesses: float = GUESSES, keep: tuple[str, ...
     values = few.select("_row", F.inline("_values"))
     hard = weighed_values(docs, values).where(F.col("cost") >= guesses).select("value")
     span = F.struct("start", F.lit(KINDS.index("guess")).alias("place"), F.lit("guess").alias("kind"), "end")
-    extra = values.join(hard, "value").groupBy("_row").agg(F.collect_list(span.cast(SPAN)).alias("_extra"))
+    extra = values.where("NOT covered").join(hard, "value").groupBy("_row").agg(F.collect_list(span.cast(SPAN)).alias("_extra"))
     none = F.array().cast(f"array<{SPAN}>")
     # only rows with such values are joined; the others keep their place
     joined = few.join(extra, "_row", "left").select(*keep, "_base", F.concat("_base", F.coalesce("_extra", none)).alias("_spans"))

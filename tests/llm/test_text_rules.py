@@ -138,6 +138,31 @@ def test_redaction(spark):
     assert "K2lQ" not in found[3] and "dragon1990" in found[3] and found[4] == "[SECRET]"
 
 
+def test_partly_covered_values(spark):
+    texts = [
+        "password = correcthorse9!Battery-Staple", "pwd: Zx!deadbeefdeadbeef9Q", "token: abcdefghijkl0mn9",
+        "pwd: deadbeefdeadbeef!deadbeefdeadbeee", "password = dragondragon!dragon",
+    ]
+    table = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    table += [(50 + i, "dragon horse battery " * 40, "en", "a", 0) for i in range(5)]
+    docs = spark.createDataFrame(table, DOCS)
+    spans = {r.doc_id: r.spans for r in secret_scan.report(secret_scan.find_secrets(docs)).collect()}
+    assert spans[0] == "assign:0:24,guess:11:39" and spans[1] == "guess:5:26,hex:8:25"
+    assert spans[2] == "assign:0:23"  # covered whole
+    assert spans[3] == "hex:5:21,guess:5:38,hex:22:38"
+    assert spans[4] == "assign:0:23"  # easy to guess, so the rest stays
+    text = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert text[0] == "[SECRET]" and text[1] == text[3] == "pwd: [SECRET]" and text[4] == "[SECRET]!dragon"
+
+
+def test_covered_by_several_spans():
+    spans = [("hex", 5, 9), ("assign", 0, 5), ("hex", 12, 20)]
+    assert secret_scan.is_covered(1, 9, spans) and secret_scan.is_covered(13, 20, spans)
+    assert not secret_scan.is_covered(1, 10, spans) and not secret_scan.is_covered(8, 13, spans)
+    found = secret_scan.credential_values("token: abcdefghijkl0mn9", "token: abcdefghijkl0mn9", [("assign", 0, 23)])
+    assert found == [(7, 23, "abcdefghijkl0mn9", True)]
+
+
 def slow_cost(value, word_costs):
     """The cheapest cut by trying all segments, words and single characters only."""
     pool = sum(n for n, f in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(map(f, value)))
