@@ -3,11 +3,12 @@
 List entries are events: on a day a key is added (with a verdict) or removed. Each event
 holds until the next one of its key, which makes intervals that never overlap. A capture is
 judged by the entries in force on its day for its domain and the domains above it, its host,
-and its path prefixes; the most specific one decides.
+and all prefixes of its path; the most specific one decides.
 
 Only built-in functions are used. Captures are first reduced to distinct sites (host, path
 prefix, day), so a host that fills a third of the crawl is looked up once per prefix and
-day; events are reduced to one per key and day before their intervals are made.
+day; paths are followed as deep as the list's deepest prefix goes, since no entry can match
+below. Events are reduced to one per key and day before their intervals are made.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("domain", "host", "prefix")
-DEPTH = 2  # path segments that prefixes go down to
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -32,9 +32,16 @@ def segments_of(url: Column) -> Column:
     return F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
 
 
-def site_columns(url: Column) -> list[Column]:
+def site_columns(url: Column, depth: int) -> list[Column]:
+    """Host, and path down to ``depth`` segments."""
     parts = segments_of(url)
-    return [host_of(url).alias("host"), F.array_join(F.slice(parts, 1, DEPTH), "/").alias("path")]
+    return [host_of(url).alias("host"), F.array_join(F.slice(parts, 1, depth), "/").alias("path")]
+
+
+def deepest(events: DataFrame) -> int:
+    """Path segments of the list's longest prefix."""
+    slashes = F.size(F.split("key", "/")) - 1
+    return events.where("kind = 'prefix' AND key IS NOT NULL").agg(F.max(slashes)).first()[0] or 0
 
 
 def keys_of(host: Column, path: Column) -> Column:
@@ -87,11 +94,12 @@ def intervals(events: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, events: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """(keep..., host, n_active, rule, blocked) of every capture (url, fetched).
 
+    Prefix entries, host and path segments joined by '/', may have any number of segments.
     ``rule`` names the deciding entry as kind:key, null if none was in force. A capture whose
     URL is null or has no host, or whose day is null, matches nothing and is not blocked.
     Repeated rows are judged alike; empty tables give no rows or no matches.
     """
-    named = captures.select(*keep, *site_columns(F.col("url")), F.col("fetched").alias("_day"))
+    named = captures.select(*keep, *site_columns(F.col("url"), deepest(events)), F.col("fetched").alias("_day"))
     sites = named.where("host IS NOT NULL AND _day IS NOT NULL").select("host", "path", "_day").distinct()
     asked = sites.select("*", F.inline(keys_of(F.col("host"), F.col("path"))))
     active = asked.join(intervals(events), ["kind", "key"]).where(
@@ -126,8 +134,8 @@ def list_history(pages: DataFrame) -> DataFrame:
 
     The tables hold no lists, so which keys were listed, and when, is drawn from the keys.
     """
-    sites = pages.select(*site_columns(F.col("url"))).where("host IS NOT NULL").distinct()
-    host, first = F.col("host"), F.element_at(F.split("path", "/"), 1)
+    sites = pages.select(*site_columns(F.col("url"), 1)).where("host IS NOT NULL").distinct()
+    host, first = F.col("host"), F.col("path")
     parent = F.regexp_replace(host, r"^[^.]+\.", "")
     hosts = sites.select(F.lit("host").alias("kind"), host.alias("key")).distinct()
     above = sites.where(F.size(F.split(parent, r"\.")) >= 3).select(F.lit("domain").alias("kind"), parent.alias("key"))

@@ -155,6 +155,25 @@ def test_url_lists(spark):
     assert not any(r.blocked for r in url_lists.evaluate(asked, entries.limit(0), keep=("page_id",)).collect())
 
 
+def test_deep_url_prefixes(spark):
+    deep = "/".join(f"s{n}" for n in range(40))
+    events = [
+        ("prefix", "h.org/a/b/c", "add", "block"), ("prefix", "h.org/a/b", "add", "allow"),
+        ("prefix", f"h.org/{deep}", "add", "block"), ("host", "h.org", "add", "allow"),
+    ]
+    wanted = {
+        "http://h.org/a/b/c": (3, "prefix:h.org/a/b/c", True), "http://h.org/a/b/c/d?q": (3, "prefix:h.org/a/b/c", True),
+        "http://h.org/a/b/cc": (2, "prefix:h.org/a/b", False), f"http://h.org/{deep}/x": (2, f"prefix:h.org/{deep}", True),
+        f"http://h.org/{deep[:-4]}": (1, "host:h.org", False), "http://i.org/a/b/c": (0, None, False),
+    }
+    entries = spark.createDataFrame([(*e[:2], date(2024, 1, 1), *e[2:]) for e in events], "kind string, key string, day date, action string, verdict string")
+    asked = spark.createDataFrame([(u, date(2024, 1, 2)) for u in wanted], "url string, fetched date")
+    found = url_lists.evaluate(asked, entries, keep=("url",)).collect()
+    assert {r.url: (r.n_active, r.rule, r.blocked) for r in found} == wanted
+    no_prefix = url_lists.evaluate(asked, entries.where("kind = 'host'"), keep=("url",)).collect()
+    assert sum(r.rule == "host:h.org" for r in no_prefix) == 5
+
+
 # Top-k.
 
 
