@@ -6,8 +6,9 @@ hashed to ``BUCKETS`` buckets; each word is hashed once. Two smoothed multinomia
 trusted target and one of the whole corpus, give each bucket a log ratio; a document's score
 is the mean over its n-grams, and it is kept if that reaches a fixed threshold.
 
-Only built-in functions are used. A document's n-grams stay in its own row: nothing but the
-bucket counts, at most ``BUCKETS`` rows, is shuffled or reaches the driver.
+Only built-in functions are used. The target is every trusted document there is, found by an
+equi-join on the id that shuffles texts once, whatever their number. A document's n-grams
+stay in its own row: only the bucket counts, at most ``BUCKETS`` rows, reach the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from frostline.llm.common import whole_text
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
 THRESHOLD = -0.3  # natural log units per n-gram
-TRUSTED_DOCS = 20_000  # at most so many labelled documents form the target
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 10, 5, 20
 
@@ -95,8 +95,15 @@ def repeated_words(words: Column) -> Column:
 
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """Log ratio of each bucket between the trusted documents and all documents."""
-    flagged = docs.select("doc_id", whole_text().alias("text")).join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left"
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    # rows without an id match nothing; they stay out of the join, where they would meet in one task
+    no_id = texts.where("doc_id IS NULL").select("text", F.lit(None).cast("int").alias("trusted"))
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    flagged = (
+        texts.where("doc_id IS NOT NULL")
+        .join(ids.select("doc_id", F.lit(1).alias("trusted")).hint("merge"), "doc_id", "left")
+        .select("text", "trusted")
+        .union(no_id)
     )
     found = (
         flagged.select("trusted", F.explode(let(words_of(F.col("text")), lambda w: all_buckets(w, buckets))).alias("bucket"))
@@ -116,10 +123,9 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, s
     ]
 
 
-def trusted_documents(labels: DataFrame, at_most: int = TRUSTED_DOCS) -> DataFrame:
-    """(doc_id) of documents labelled good: a fixed pick of a bounded number of labels."""
-    good = labels.where(F.col("quality") == 1).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most)
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """(doc_id) of all documents labelled good."""
+    return labels.where(F.col("quality") == 1).select("doc_id").where("doc_id IS NOT NULL").distinct()
 
 
 def judge(
@@ -132,7 +138,7 @@ def judge(
 ) -> DataFrame:
     """(keep..., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score).
 
-    ``trusted`` holds the ids of at most ``TRUSTED_DOCS`` documents. A null or blank text
+    ``trusted`` holds the ids of any number of documents. A null or blank text
     has no words, so the base rules reject it and its score is 0. Repeated rows are judged
     alike; a null id is never trusted; without trusted documents only the base rules count.
     An empty table gives no rows.

@@ -83,6 +83,27 @@ def test_quality_rules(spark):
     assert all(r.kept != r.base_failed for r in none)
 
 
+def test_all_good_labels_form_the_target(spark):
+    from pyspark.sql import functions as F
+
+    n = 20_500
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    labels = labels.union(spark.createDataFrame([(None, 1), (n, 0), (3, 1)], "doc_id long, quality int"))
+    trusted = quality_rules.trusted_documents(labels)
+    assert trusted.count() == n
+    words = F.concat(F.lit("w"), F.pmod("id", F.lit(7)).cast("string"))
+    docs = spark.range(n + 1).select(F.col("id").alias("doc_id"), words.alias("text"))
+    extra = spark.createDataFrame([(None, "w0"), (None, "w8"), (5, "w8")], "doc_id long, text string")
+    found = quality_rules.bucket_ratios(docs.union(extra), trusted)
+    raw, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for word, good, bad in [*((f"w{k}", len(range(k, n, 7)), k == n % 7) for k in range(7)), ("w0", 0, 1), ("w8", 1, 1)]:
+        for b in quality_buckets(word, quality_rules.BUCKETS):
+            raw[b] += good + bad
+            target[b] += good
+    wanted = np.log((target + 1) / (target.sum() + len(raw))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    assert np.allclose(found, wanted, atol=1e-12)
+
+
 def secret_base(text):
     text = text or ""
     a = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
