@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import bpe, factorisation, mixing, near_dup, pii, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists
+from frostline.llm import (
+    bpe, factorisation, merkle, mixing, near_dup, pii, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists,
+)
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
@@ -214,6 +216,11 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -225,6 +232,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_bitsliced_topk": op10_bitsliced_topk,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE = {
