@@ -160,13 +160,13 @@ def _build(bits: int):
     return run
 
 
-def paths(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """(tree, place, doc_id, digest, version, siblings, root) of leaves (tree, total, place,
-    doc_id, digest, version).
+def block_paths(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Of leaves (tree, total, place, doc_id, digest, version), ``place`` counting from 0 in each
+    tree of ``total`` leaves: the rows of ``BLOCK_ROWS``, and (tree, block, upper, root), the
+    siblings from every block's root up to that of its tree.
 
-    ``place`` counts from 0 in each tree of ``total`` leaves. Every round turns aligned blocks
-    into the leaves of the next one, so a tree of n leaves takes log(n) / ``bits`` rounds.
-    ``version`` comes back as the root of its block's version, folded through the levels above.
+    Every round turns aligned blocks into the leaves of the next one, so a tree of n leaves
+    takes log(n) / ``bits`` rounds.
     """
     blocked = nodes.withColumn("block", F.shiftright("place", bits))
     built = write_scratch(blocked.groupBy("tree", "block").applyInArrow(_build(bits), BLOCK_ROWS), "merkle-blocks")
@@ -175,37 +175,19 @@ def paths(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     sizes = nodes.groupBy("tree").agg(F.max("total").alias("total"))
     largest = sizes.agg(F.max("total")).first()[0] or 0  # one number: are there levels above?
     if largest <= 1 << bits:
-        upper = roots.select("tree", "block", F.lit(b"").alias("upper"), F.col("digest").alias("root"))
-    else:
-        blocks = roots.join(sizes, "tree").select(
-            "tree",
-            F.ceil(F.col("total") / F.lit(1 << bits)).cast("long").alias("total"),
-            F.col("block").alias("place"),
-            F.lit(None).cast("long").alias("doc_id"),
-            "digest",
-            F.lit(None).cast("binary").alias("version"),
-        )
-        above = paths(write_scratch(blocks, "merkle-level"), bits)
-        upper = above.select("tree", F.col("place").alias("block"), F.col("siblings").alias("upper"), "root")
-    joined = own.join(upper, ["tree", "block"])
-    return joined.select(*PATH, "upper").mapInArrow(_continue, PATH_ROWS)
-
-
-PATH = ("tree", "place", "doc_id", "digest", "version", "siblings", "root")
-PATH_ROWS = ", ".join(f"{n} {'long' if n in PATH[:3] else 'binary'}" for n in PATH)
-
-
-def _continue(batches):
-    """Siblings of both parts in one; versions carried on through the upper part."""
-    for batch in batches:
-        if not any(upper := batch.column("upper").to_pylist()):
-            yield batch.select(PATH)
-            continue
-        version = [v if v is None else fold(v, u) for v, u in zip(batch.column("version").to_pylist(), upper)]
-        siblings = [s + u for s, u in zip(batch.column("siblings").to_pylist(), upper)]
-        columns = {n: batch.column(n) for n in PATH}
-        columns |= {"version": pa.array(version, pa.binary()), "siblings": pa.array(siblings, pa.binary())}
-        yield pa.RecordBatch.from_arrays([columns[n] for n in PATH], list(PATH))
+        return own, roots.select("tree", "block", F.lit(b"").alias("upper"), F.col("digest").alias("root"))
+    blocks = roots.join(sizes, "tree").select(
+        "tree",
+        F.ceil(F.col("total") / F.lit(1 << bits)).cast("long").alias("total"),
+        F.col("block").alias("place"),
+        F.lit(None).cast("long").alias("doc_id"),
+        "digest",
+        F.lit(None).cast("binary").alias("version"),
+    )
+    above, upper = block_paths(write_scratch(blocks, "merkle-level"), bits)
+    joined = above.join(upper, ["tree", "block"])
+    siblings = F.concat("siblings", "upper").alias("upper")
+    return own, write_scratch(joined.select("tree", F.col("place").alias("block"), siblings, "root"), "merkle-upper")
 
 
 RESULT = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -227,16 +209,18 @@ def manifest(docs: DataFrame, every: int = EVERY, bits: int = BITS) -> DataFrame
     nodes = placed.join(langs, F.col("lang").eqNullSafe(F.col("of_lang"))).select(
         "tree", "total", "place", "doc_id", F.col("leaf").alias("digest"), F.col("tampered").alias("version")
     )
-    rows = write_scratch(paths(write_scratch(nodes, "merkle-nodes"), bits), "merkle-paths")
+    own, upper = block_paths(write_scratch(nodes, "merkle-nodes"), bits)
     none = F.lit(None)
-    subroots = rows.where("place = 0").select(
+    subroots = upper.where("block = 0").select(
         F.lit(0).cast("long").alias("tree"), F.lit(langs.count()).cast("long").alias("total"), F.col("tree").alias("place"),
         none.cast("long").alias("doc_id"), F.col("root").alias("digest"), none.cast("binary").alias("version"),
     )
-    whole = paths(write_scratch(subroots, "merkle-subroots"), bits).select(
-        F.col("place").alias("tree"), F.col("siblings").alias("top"), F.col("root").alias("whole")
+    of_langs, over_langs = block_paths(write_scratch(subroots, "merkle-subroots"), bits)
+    top = of_langs.join(over_langs.withColumnRenamed("root", "whole"), ["tree", "block"]).select(
+        F.col("place").alias("tree"), F.concat("siblings", "upper").alias("top"), "whole"
     )
-    return rows.join(whole, "tree").mapInArrow(_verify, RESULT)
+    # the languages' paths meet one row per block, so no language's rows are moved by its name
+    return own.join(upper.join(top, "tree"), ["tree", "block"]).mapInArrow(_verify, RESULT)
 
 
 def _verify(batches):
@@ -248,9 +232,9 @@ def _verify(batches):
     for batch in batches:
         out = {n: [] for n in schema.names}
         for r in batch.to_pylist():
-            siblings = r["siblings"] + r["top"]
-            version = r["version"]
-            folded = fold(r["digest"], siblings) if version is None else fold(version, r["top"])
+            above = r["upper"] + r["top"]
+            siblings, version = r["siblings"] + above, r["version"]
+            folded = fold(r["digest"], siblings) if version is None else fold(version, above)
             values = (
                 r["doc_id"], r["digest"].hex(), r["root"].hex(), r["whole"].hex(), proof(siblings).hex(), folded.hex(),
                 folded == r["whole"],
