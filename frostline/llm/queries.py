@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import (
-    bpe, factorisation, merkle, mixing, near_dup, pii, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists,
+    bpe, conversations, factorisation, merkle, mixing, near_dup, pii, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists,
 )
 from frostline.llm.common import table
 from frostline.session import scratch_path
@@ -217,6 +217,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(rows, conversations.damage(rows))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -232,6 +237,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_bitsliced_topk": op10_bitsliced_topk,
+    "op11_repair_conversations": op11_repair_conversations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
