@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import (
-    bpe, conversations, factorisation, merkle, mixing, near_dup, pii, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists,
+    bpe, conversations, factorisation, html_extract, merkle, mixing, near_dup, pii, quality_rules, secret_scan, token_files, topk_bitsliced, url_lists,
 )
 from frostline.llm.common import table
 from frostline.session import scratch_path
@@ -222,6 +222,11 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(rows, conversations.damage(rows))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -238,6 +243,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_bitsliced_topk": op10_bitsliced_topk,
     "op11_repair_conversations": op11_repair_conversations,
+    "op12_html_text": op12_html_text,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
