@@ -178,9 +178,9 @@ def in_groups(texts: list[str], chars: int = BATCH_CHARS):
         yield group
 
 
-def encode_texts(texts: list[str], cache: PieceCache):
+def encode_texts(texts: list[str], cache: PieceCache, chars: int = BATCH_CHARS):
     """(ids, ends) of each text: its ids, and how many of them each piece ends at."""
-    for group in in_groups(texts):
+    for group in in_groups(texts, chars):
         pieces = Pieces(group)
         chosen, kind = pieces.distinct()
         made = cache.of(pieces.strings(chosen))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,11 @@ from frostline.llm import (
 from frostline.llm.common import table
 from frostline.session import scratch_path
 
-VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+VOCABULARIES = os.environ.get("TOKENIZER_DIR")  # another folder with the same files
 
 
 def vocabulary(name: str) -> str:
-    return f"{VOCABULARIES}/{name}"
+    return f"{VOCABULARIES}/{name}" if VOCABULARIES else public_tokenizers.path(name)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

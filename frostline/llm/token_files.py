@@ -31,10 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.llm.bpe import PieceCache, encode_texts
-from frostline.llm.common import parallelism, whole_text
+from frostline.llm.common import parallelism, text_slices, whole_text
 
 END_ID = 2
 SAMPLE = 512
+BLOCK = 4096  # documents that are written or read together
+CACHED = 300_000  # pieces of each generation of the cache
+GROUP_CHARS = 1_000_000
+SPACE = "\u0120"  # how the vocabulary file writes the byte of a space (fixed value)
 MAGIC = b"EFTOKEN1"
 READ_IDS = 1 << 20
 
@@ -52,12 +56,14 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
+        low = np.zeros(0, np.uint8)
         if low_bits:
             shifts = np.arange(low_bits, dtype=np.uint64)
-            bits = ((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
-            low = np.packbits(bits.reshape(-1), bitorder="little")
-        else:
-            low = np.zeros(0, np.uint8)
+            packed = []
+            for i in range(0, n, BLOCK):  # a block of low parts ends on a whole byte
+                bits = ((values[i : i + BLOCK, None] >> shifts) & np.uint64(1)).astype(np.uint8)
+                packed.append(np.packbits(bits.reshape(-1), bitorder="little"))
+            low = np.concatenate(packed)
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         size = (int(at[-1]) + 64) // 64 if n else 0
         raised = np.zeros(size * 64, np.uint8)
@@ -88,15 +94,27 @@ class EliasFano:
         at = word * 64 + (bits & -bits).bit_length() - 1
         return ((at - i) << self.low_bits) | self._low(i)
 
-    def values(self) -> np.ndarray:
-        """All values, for readers that go through a whole shard."""
-        at = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
-        upper = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def block(self, first: int, count: int = BLOCK) -> np.ndarray:
+        """Values ``first`` to ``first + count``: the first one is found as ``select`` does, the
+        set bits after it are read on from there."""
+        last = min(first + count, self.n)
+        if first >= last:
+            return np.zeros(0, np.int64)
+        word, before = (int(x) for x in self.samples[first // SAMPLE])
+        places, have = [], before
+        while have < last:
+            part = self.high[word : word + SAMPLE]
+            places.append(np.flatnonzero(np.unpackbits(part.view(np.uint8), bitorder="little")) + word * 64)
+            have += len(places[-1])
+            word += SAMPLE
+        at = np.concatenate(places)[first - before : last - before]
+        upper = (at - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)
         if not self.low_bits:
             return upper.astype(np.int64)
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits)
+        a, b = first * self.low_bits, last * self.low_bits
+        bits = np.unpackbits(self.low[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a]
         weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
-        return (upper | (bits.reshape(self.n, self.low_bits) @ weights).astype(np.uint64)).astype(np.int64)
+        return (upper | (bits.reshape(last - first, self.low_bits) @ weights).astype(np.uint64)).astype(np.int64)
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
@@ -112,13 +130,58 @@ class EliasFano:
         return cls(n, low_bits, low, high, samples), at + a + 8 * b + 16 * c
 
 
-def library_pieces(tokenizer):
-    """Ids of pieces by the tokenizers library, as the piece cache keeps them."""
+class LibraryPieces(PieceCache):
+    """Ids of pieces by the tokenizers library.
 
-    def merge(names):
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+    Of two generations the older one goes when the newer is full; pieces that are met again move
+    on to the newer. Pieces of a space and letters are handed to the library joined, since its
+    pattern cuts them apart again: only their first tokens begin with a space.
+    """
 
-    return merge
+    def __init__(self, tokenizer):
+        super().__init__(None, CACHED)
+        self.tokenizer, self.older = tokenizer, {}
+        self.leads = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+            self.leads[number] = token.startswith(SPACE)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def library(self, names: list[str]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit integers."""
+        out = [b""] * len(names)
+        plain = [i for i, n in enumerate(names) if n[0] == " " and n[1:].isalpha()]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for own, ids in zip(groups, self._ids(["".join(map(names.__getitem__, g)) for g in groups])):
+            flat = np.array(ids, "<u4")
+            cuts = np.flatnonzero(self.leads[flat])
+            if len(cuts) != len(own):  # cut elsewhere after all: these pieces go one by one
+                plain = [i for i in plain if i not in set(own)]
+                continue
+            data, ends = flat.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(flat)]
+            for i, first, last in zip(own, (4 * cuts).tolist(), ends):
+                out[i] = data[first:last]
+        rest = sorted(set(range(len(names))).difference(plain))
+        for i, ids in zip(rest, self._ids([names[i] for i in rest])):
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def of(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        names = [pieces[i] for i in new]
+        known = list(map(self.older.get, names))
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        for k, ids in zip(missing, self.library([names[k] for k in missing])):
+            known[k] = ids
+        for i, ids in zip(new, known):
+            found[i] = ids
+        if len(self) + len(new) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        self.update((n, ids) for n, ids in zip(names, known) if len(n) <= 64)
+        return found
 
 
 @functools.cache
@@ -130,8 +193,8 @@ def load_tokenizer(path: str):
 
 
 @functools.cache
-def _cache(path: str) -> PieceCache:
-    return PieceCache(library_pieces(load_tokenizer(path)))
+def _cache(path: str) -> LibraryPieces:
+    return LibraryPieces(load_tokenizer(path))
 
 
 def library_ids(texts: list[str], path: str):
@@ -145,7 +208,7 @@ def library_ids(texts: list[str], path: str):
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     whole = {i for i, text in enumerate(texts) if any(a in text for a in added)}
     plain = ["" if i in whole else text for i, text in enumerate(texts)]
-    for i, (ids, _) in enumerate(encode_texts(plain, _cache(path))):
+    for i, (ids, _) in enumerate(encode_texts(plain, _cache(path), GROUP_CHARS)):
         yield np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4") if i in whole else ids
 
 
@@ -158,17 +221,19 @@ def _writer(path: str, out: str, end_id: int, id_bytes: int):
         number, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         target, base = fs.FileSystem.from_uri(_shard(out, number))
         target.create_dir(os.path.dirname(base), recursive=True)
-        sizes, doc_ids, nulls = [], [], 0
+        sizes, doc_ids, nulls, end = [], [], 0, np.array([end_id], "<u4")
         with target.open_output_stream(f"{base}.ids.{attempt}") as stream:
-            for batch in batches:
+            for batch in text_slices(batches):
                 column = batch.column("doc_id")
                 nulls += column.null_count
                 doc_ids.append(column.drop_null().to_numpy(zero_copy_only=False))
-                for ids in library_ids(batch.column("text").to_pylist(), path):
-                    sizes.append(len(ids) + 1)
-                    stream.write(np.append(ids, end_id).astype(f"<u{id_bytes}").tobytes())
-        ends = np.cumsum(sizes, dtype=np.int64)
-        ids = np.concatenate(doc_ids).astype(np.int64) if doc_ids else np.zeros(0, np.int64)
+                found = list(library_ids(batch.column("text").to_pylist(), path))
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+                flat = np.concatenate([x for ids in found for x in (ids, end)])
+                stream.write(flat.astype(f"<u{id_bytes}").tobytes())
+        sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+        ends = np.cumsum(sizes)
+        ids = np.concatenate([np.zeros(0, np.int64), *doc_ids]).astype(np.int64)
         first = int(ids[0]) if len(ids) else 0
         head = json.dumps({"id_bytes": id_bytes, "nulls": nulls, "first": first}).encode()
         with target.open_output_stream(f"{base}.ef.{attempt}") as stream:
@@ -232,27 +297,28 @@ class Shard:
             f.seek(first * self.width)
             return np.frombuffer(f.read((last - first) * self.width), self.kind)
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + (self.ids.values() + self.first).tolist()
-
-    def summaries(self):
-        """(first, last, crc32) of all documents, reading ``READ_IDS`` ids at a time."""
-        ends = self.ends.values()
+    def blocks(self, count: int = BLOCK):
+        """(doc_ids, starts, ends, crc32s) of consecutive documents, ``count`` at a time."""
         with self.files.open_input_file(f"{self.base}.ids") as f:
-            buffer, at = np.zeros(0, self.kind), 0
-            first = 0
-            for last in ends.tolist():
-                crc, place = 0, first
-                while place < last:
-                    if place >= at + len(buffer):
-                        at += len(buffer)
-                        buffer = np.frombuffer(f.read(READ_IDS * self.width), self.kind)
-                    part = buffer[place - at : last - at]
-                    crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
-                    place += len(part)
-                yield first, last, crc
-                first = last
-
+            buffer, at, last = np.zeros(0, "<u4"), 0, 0
+            for first in range(0, len(self), count):
+                ends = self.ends.block(first, count)
+                starts = np.append(last, ends[:-1])
+                found = self.ids.block(max(first - self.nulls, 0), first + len(ends) - max(first, self.nulls))
+                none = np.arange(first, first + len(ends)) < self.nulls
+                crcs = []
+                for place, last in zip(starts.tolist(), ends.tolist()):
+                    crc = 0
+                    while place < last:
+                        if place >= at + len(buffer):
+                            at += len(buffer)
+                            buffer = np.frombuffer(f.read(READ_IDS * self.width), self.kind).astype("<u4")
+                        part = buffer[place - at : last - at]
+                        crc = zlib.crc32(part, crc)
+                        place += len(part)
+                    crcs.append(crc)
+                ids = np.append(np.zeros(int(none.sum()), np.int64), found + self.first)
+                yield pa.array(ids, pa.int64(), mask=none), starts, ends, np.array(crcs, np.int64)
 
 def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files.
@@ -266,16 +332,11 @@ def read_token_files(manifest: DataFrame, out: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(out, row["shard"])
-                found = np.array(list(shard.summaries()), np.int64).reshape(-1, 3)
-                yield from pa.table(
-                    {
-                        "doc_id": pa.array(shard.doc_ids(), pa.int64()),
-                        "start": found[:, 0] + row["base"],
-                        "n_tokens": found[:, 1] - found[:, 0],
-                        "ids_crc32": found[:, 2],
-                    }
-                ).to_batches()
+                for doc_id, starts, ends, crcs in Shard(out, row["shard"]).blocks():
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_id, pa.array(starts + row["base"]), pa.array(ends - starts), pa.array(crcs)],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     n = parallelism(manifest.sparkSession)
     return shards.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

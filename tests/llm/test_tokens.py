@@ -85,8 +85,10 @@ def test_elias_fano(n, top):
     coded = token_files.EliasFano.of(values)
     data = coded.to_bytes()
     read, end = token_files.EliasFano.from_bytes(b"__" + data, 2)
-    assert end == len(data) + 2 and (read.values() == values).all()
+    assert end == len(data) + 2 and (read.block(0, n) == values).all()
     assert all(read.select(i) == values[i] for i in range(n))
+    for first, count in ((0, 1), (1, 7), (511, 3), (513, 4096), (n - 1, 5), (n, 5)):
+        assert read.block(max(first, 0), count).tolist() == values[max(first, 0) : max(first, 0) + count].tolist()
     if n > 1000:
         assert 8 * len(data) < n * (3 + max(0, np.log2(max(1, top / n)))) + 3000
 
@@ -111,12 +113,33 @@ def test_token_files(spark, tmp_path):
     assert [r.start for r in found] == np.cumsum([0, *[r.n_tokens for r in found]])[:-1].tolist()
 
 
+def _bounds(parts):
+    return [(a, b) for _, starts, ends, _ in parts for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def test_library_pieces():
+    tokenizer = Tokenizer.from_file(JSON)
+    names = [" the", "the", " Über", "  ", " x1", " 12", "'s", " antidis", " a", "!?", "\n", " zzqxv", " ", "北京"] * 3
+    names += [f" {chr(97 + i % 26)}{'qwx'[i % 3]}{chr(97 + i // 26 % 26)}" for i in range(2000)]
+    cache = token_files.LibraryPieces(tokenizer)
+    cache.limit = 300  # generations change many times
+    for at in range(0, len(names), 100):
+        part = list(dict.fromkeys(names[at : at + 100]))
+        for name, ids in zip(part, cache.of(part)):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(name, add_special_tokens=False).ids, name
+
+
 def test_token_files_by_select(spark, tmp_path):
     out = f"file://{tmp_path}/tokens"
     token_files.write_token_files(documents(spark), JSON, out, shards=1)
     shard, tokenizer = token_files.Shard(out, 0), Tokenizer.from_file(JSON)
     texts = {r[0]: r[1] or "" for r in rows() if r[0] is not None}
-    for i, doc_id in enumerate(shard.doc_ids()):
+    read = [list(shard.blocks(n)) for n in (1, 3, token_files.BLOCK)]
+    for parts in read:  # the same documents, however many are read at a time
+        assert [x for ids, *_ in parts for x in ids.to_pylist()] == [x for ids, *_ in read[0] for x in ids.to_pylist()]
+        assert [x for *_, crcs in parts for x in crcs.tolist()] == [x for *_, crcs in read[0] for x in crcs.tolist()]
+    for i, doc_id in enumerate(x for ids, *_ in read[-1] for x in ids.to_pylist()):
+        assert [starts_ends[k] for starts_ends in _bounds(read[0]) for k in (0, 1)][2 * i : 2 * i + 2] == list(shard.span(i))
         if doc_id is not None:
             assert shard.document(i).tolist() == [*tokenizer.encode(texts[doc_id], add_special_tokens=False).ids, 2]
     assert token_files.documents_from_files(spark, empty(spark), JSON, f"file://{tmp_path}/none").count() == 0
