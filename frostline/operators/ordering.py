@@ -127,6 +127,64 @@ def global_rank(df: DataFrame, order, limit=None, unique=True, slices=None, name
     return ranked.select(*df.columns, name)
 
 
+# The histogram of a round has so many steps; refining ends once a step's rows are few.
+STEPS = 200
+FEW = 20_000
+
+
+def _histogram_types() -> tuple:
+    return (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def smallest(df: DataFrame, order, limit: int) -> tuple[DataFrame, int]:
+    """The first ``limit`` rows by the columns in ``order``, nulls first, and the row count.
+
+    The columns must order the rows totally. Only the limit's own key is looked for: each round
+    reads the first column alone, counts the rows on either side of a pair of quantiles and
+    closes in on the one that holds the key, until few rows are left between; these alone are
+    ranked by all columns. The result is a filter on ``df``, whose bound on the first column
+    reaches the scan, so no row is sorted or written.
+    """
+    order = list(order)
+    first, dtype = order[0], df.schema[order[0]].dataType
+    value, inside, below, before, n = F.col(first), F.lit(True), 0, None, 0
+    histogram = isinstance(dtype, _histogram_types())
+    steps = F.percentile_approx(value, [i / STEPS for i in range(STEPS + 1)], 20 * STEPS)
+    window = df.select(first)
+    while True:
+        facts = [F.count(F.lit(1)).alias("n"), F.count(first).alias("known")]
+        row = window.agg(*facts, *([steps.alias("q")] if histogram else [])).first()
+        if before is None:
+            n = row["n"]
+            if n <= limit:
+                return df, n
+        nulls, held = row["n"] - row["known"], row["known"]
+        rank = limit - below  # of the key sought, among the rows of the window
+        few = row["n"] <= FEW or (before is not None and row["n"] > before // 2)
+        if not histogram or few or rank <= nulls:
+            if rank <= nulls:
+                inside = value.isNull()
+            break
+        at = (rank - nulls) * STEPS // held
+        low, high = row["q"][max(0, at - 1)], row["q"][min(STEPS, at + 2)]
+        low, high = (F.lit(v).cast(dtype) for v in (low, high))
+        closer = value.between(low, high)
+        less, within = window.agg(
+            F.count_if(value.isNull() | (value < low)), F.count_if(closer)
+        ).first()
+        if not less < rank <= less + within:
+            break  # an estimate was off: the window of before is right
+        before, below, inside = row["n"], below + less, closer
+        window = df.select(first).filter(inside)
+    ranked = global_rank(df.select(*order).filter(inside), order, limit=limit - below, name="row_rank__")
+    cut = ranked.filter(F.col("row_rank__") == limit - below).first()
+    edge = F.struct(*[F.lit(cut[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+    upto = F.struct(*order) <= edge
+    if cut[first] is not None:
+        upto = (value.isNull() | (value <= F.lit(cut[first]).cast(dtype))) & upto
+    return df.filter(upto), n
+
+
 def assign_batches(df, order, batch_size, max_rows=None, unique=True, slices=None) -> DataFrame:
     """Batch numbers of ``batch_size`` rows in key order, up to ``max_rows`` rows."""
     if batch_size <= 0 or (max_rows is not None and max_rows < batch_size):

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frostline.functions.names import free_names
 from frostline.functions.values import sort_key
 from frostline.spec import (
     MAX_PARTITIONS,
@@ -76,13 +77,14 @@ def with_partition_no(df: DataFrame, spec: PartitionSpec, name: str = "_pno") ->
         return df.withColumn(name, partition_column(spec))
     array = ", ".join(_sql_literal(spec, b) for b in spec.boundaries)
     side = "<=" if spec.range_right else "<"
-    out = df.withColumn("_bounds", F.expr(f"array({array})")).withColumn("_at", F.lit(0))
+    bounds, at = free_names([*df.columns, name], "_bounds", "_at")
+    out = df.withColumns({bounds: F.expr(f"array({array})"), at: F.lit(0)})
     for bit in reversed(range(count.bit_length())):
         step = 1 << bit
         # Past the end ``get`` gives NULL, and a NULL value compares as NULL: no step.
-        jump = f"get(_bounds, _at + {step - 1}) {side} `{spec.column}`"
-        out = out.withColumn("_at", F.expr(f"_at + IF({jump}, {step}, 0)"))
-    return out.withColumn(name, F.expr("CAST(_at + 1 AS INT)")).drop("_bounds", "_at")
+        jump = f"get({bounds}, {at} + {step - 1}) {side} `{spec.column}`"
+        out = out.withColumn(at, F.expr(f"{at} + IF({jump}, {step}, 0)"))
+    return out.withColumn(name, F.expr(f"CAST({at} + 1 AS INT)")).drop(bounds, at)
 
 
 def partition_predicate(spec: PartitionSpec, number: int) -> Column:

@@ -1,9 +1,9 @@
 """Archive jobs: copy, move, bounded runs, whole partitions, many jobs.
 
-Order of a move: write the rows to the target, check them, commit the target, write
-the rest of the source, check it, commit the source. A crash between any two steps
-leaves every row in at least one table, and running again with the same run id picks
-up where it stopped.
+A move claims its rows in the source by one commit, writes them to the target, checks and
+commits them there, and takes them out of the source by another commit. No file of the source
+is written again. A crash between any two steps leaves every row in at least one table, and
+running again with the same run id picks up where it stopped.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frostline.operators.checks import (
     conflicts,
@@ -24,7 +25,7 @@ from frostline.operators.checks import (
 )
 from frostline.operators.filters import filter_from_json, raw_filter
 from frostline.operators.joins import new_rows, new_rows_of_batch, within_keys_of
-from frostline.operators.ordering import global_rank
+from frostline.operators.ordering import smallest
 from frostline.operators.runlog import batch_summary
 from frostline.plans.runs import (
     FAILED,
@@ -36,16 +37,18 @@ from frostline.plans.runs import (
     utc_now,
 )
 from frostline.session import write_scratch
-from frostline.sources import paths
-from frostline.sources.store import Part, Snapshot, Store, VerificationFailed, conform
+from frostline.sources import paths, removals
+from frostline.sources.removals import Removal
+from frostline.sources.store import (
+    CommitConflict,
+    Part,
+    Snapshot,
+    Store,
+    VerificationFailed,
+    conform,
+)
 from frostline.spec import ArchiveJob
 
-FILE, ROW = "_file", "_row"
-
-
-class SourceChanged(Exception):
-    """The source has moved on since the run copied its rows; start a new run."""
-
 
 class ConflictingRows(Exception):
     """The target holds rows of the batch's keys with other content."""
@@ -75,13 +78,11 @@ def _result(job, run, method, status, started, **facts) -> RunResult:
 
 
 def _load(
-    target: Store, rows: DataFrame, job, run, facts, content=False, batch=None, source=None,
-    moving=False,
+    target: Store, rows: DataFrame, job, run, facts, content=False, batch=None, moving=False
 ) -> int:
     """Write rows the target does not have, check them and commit. Returns rows written.
 
-    ``batch`` is the exact row count of a bounded run, if this is one. ``source`` must
-    still be at the version in ``facts`` when the rows become visible. A move leaves out
+    ``batch`` is the exact row count of a bounded run, if this is one. A move leaves out
     only rows that the target holds with the same content, a copy those of known keys.
     """
     base = target.snapshot()
@@ -98,10 +99,18 @@ def _load(
             fresh = guard_duplicates(fresh, there, job.keys, job.on_duplicate)
     written = target.write(fresh, base.spec, content, small=batch is not None)
     target.verify(written, base.schema)
-    if source is not None and source.versions()[-1] != facts["source_version"]:
-        raise SourceChanged(f"{job.source} changed while its rows were copied")
-    target.commit(base.plus(written.parts).noting(run, {"rows": written.rows, **facts}))
-    return written.rows
+    while True:
+        try:
+            target.commit(base.plus(written.parts).noting(run, {"rows": written.rows, **facts}))
+            return written.rows
+        except CommitConflict:
+            later = target.snapshot()
+            if run in later.runs:
+                return later.runs[run]["rows"]
+            # what others added may hold keys of this batch, unless keys don't count
+            if job.on_duplicate != "append" or later.spec != base.spec or later.schema != base.schema:
+                raise
+            base = later
 
 
 def _check_counts(expected: int, copied: int, before: DataFrame | None, rows, keys) -> None:
@@ -148,87 +157,6 @@ def _conflicts(rows: DataFrame, t: Snapshot, job: ArchiveJob, run) -> DataFrame
 # Moves.
 
 
-def _addressed(df: DataFrame) -> DataFrame:
-    """Rows with their file and place in it, which name a row of a version exactly."""
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.row_index").alias(ROW),
-    )
-
-
-def _hits_per_file(addressed: DataFrame) -> dict[str, int]:
-    """Matching rows per data file. The driver knows the file list of a scan anyway."""
-    return {_path(r[0]): r[1] for r in addressed.groupBy(FILE).count().collect()}
-
-
-def _path(address: str) -> str:
-    """File address (an encoded URI) as the path text Hadoop uses, file:/x if local."""
-    text = unquote(address)
-    return "file:/" + text.removeprefix("file:").lstrip("/") if text.startswith("file:") else text
-
-
-def _cut_out(store: Store, base: Snapshot, hits: dict[str, int], rest, run, facts) -> None:
-    """Commit a version without the matching rows.
-
-    Files with no match stay, files where all rows match are dropped, and only the
-    mixed ones are written again. ``rest`` filters the rows of those to keep.
-    """
-    spark = store.spark
-    touched = _parts_of_files(base, hits)
-    total = {
-        _path(r[0]): r[1]
-        for r in spark.read.schema(base.schema)
-        .parquet(*hits)
-        .groupBy(F.col("_metadata.file_path"))
-        .count()
-        .collect()
-    }
-    mixed = [f for f, n in hits.items() if n < total[f]]
-    added: tuple[Part, ...] = ()
-    if mixed:
-        keep = rest(spark.read.schema(base.schema).parquet(*mixed)).select(*base.schema.names)
-        written = store.write(keep, base.spec)
-        wanted = sum(total[f] - hits[f] for f in mixed)
-        if written.rows != wanted:
-            raise VerificationFailed(f"{wanted} rows were to stay, {written.rows} would")
-        store.verify(written, base.schema)
-        added = written.parts
-    changed = base.without(touched).plus((*_shrunk(spark, base, touched, hits), *added))
-    store.commit(changed.noting(run, facts))
-
-
-def _parts_of_files(base: Snapshot, files) -> list[Part]:
-    """The parts that hold any of the files."""
-    owners: dict[str, Part] = {}
-    for part in base.parts:
-        if part.files is None:
-            owners[part.path] = part
-        else:
-            owners.update(dict.fromkeys(part.files, part))
-    found: dict[Part, None] = {}
-    for f in files:
-        where = f
-        while where not in owners and "/" in where:
-            where = where.rsplit("/", 1)[0]
-        if where not in owners:
-            raise ValueError(f"{f} belongs to no part of the table")
-        found[owners[where]] = None
-    return list(found)
-
-
-def _shrunk(spark, base: Snapshot, touched, hits) -> list[Part]:
-    """What is left of the touched parts once the hit files are gone."""
-    left = []
-    for part in touched:
-        listed = spark.read.schema(base.schema).parquet(part.path).inputFiles
-        files = part.files or map(_path, listed())
-        kept = tuple(f for f in files if f not in hits)
-        if kept:
-            left.append(Part(part.path, part.pno, kept))
-    return left
-
-
 def archive_move(spark: SparkSession, job: ArchiveJob, run_id=None, content=False) -> RunResult:
     """Move all matching rows. A row for which the predicate is NULL stays."""
     return _move(spark, job, run_id, content, bounded=False)
@@ -243,78 +171,191 @@ def archive_bounded(spark: SparkSession, job: ArchiveJob, run_id=None, content=F
     return _move(spark, job, run_id, content, bounded=True)
 
 
-def _pick(rows: DataFrame, job: ArchiveJob) -> DataFrame:
-    """The first ``max_rows`` rows by key; the row address makes the order total."""
+def _pick(rows: DataFrame, job: ArchiveJob, file: str, row: str) -> tuple[DataFrame, int | None]:
+    """The first ``max_rows`` rows by key, and how many rows there are if that was counted; the
+    row address makes the order total."""
     if job.max_rows is None:
-        return rows
+        return rows, None
     fallback = (job.filter_column,) if job.filter_column else ()
     order = job.order_by or job.keys or fallback
-    first = global_rank(rows, [*order, FILE, ROW], limit=job.max_rows, name="_rank")
-    return first.drop("_rank")
+    return smallest(rows, [*order, file, row], job.max_rows)
+
+
+def begin_move(spark: SparkSession, job: ArchiveJob, run: str, bounded=False) -> dict:
+    """Claim the rows of a move in the source, by one commit; returns what was claimed.
+
+    The claim is a table of bitmaps over the rows of the source's files, which never change.
+    It outlives appends and other moves, and rows that one open move has claimed are left out
+    by all others. A run that has a claim keeps it. Nothing is claimed if no row matches.
+    """
+    source, target = Store(spark, job.source), Store(spark, job.target)
+    while True:
+        s = source.snapshot()
+        if run in s.intents or run in s.runs:
+            return s.intents.get(run) or s.runs[run]
+        t = target.ensure(conform_schema(s, job))
+        predicate = job_predicate(job, s.schema)
+        file, row = s.address_names()
+        chosen = s.addressed(spark, file, row, also_without=s.in_flight()).filter(predicate)
+        if job.keys and job.on_duplicate == "skip":
+            require_unique(chosen, job.keys)
+        left, odd = _conflicts(chosen, t, job, run), 0
+        if left is not None:
+            left = write_scratch(left.select(file, row), "conflicts")
+            odd = left.count()
+            if odd:
+                chosen = chosen.join(left, [file, row], "left_anti")
+        picked, found = _pick(chosen, job, file, row) if bounded else (chosen, None)
+        claim = source.write_removal(removals.bitmaps(picked.select(file, row), file, row))
+        intent = {
+            "rows": [claim.path, claim.spans, claim.rows],
+            "version": s.version,
+            "target": target.path,
+            "target_version": t.version,
+            "facts": {
+                "rows": claim.rows,
+                "batches": -(-claim.rows // job.batch_size) if bounded else 1,
+                "conflicts": odd,
+                "rows_left": 0 if found is None else found - claim.rows,
+            },
+        }
+        if not claim.rows:
+            return intent
+        try:
+            source.commit(replace(s, intents={**s.intents, run: intent}))
+            return intent
+        except CommitConflict:
+            continue  # rows may have come or been claimed: choose again
+
+
+def conform_schema(s: Snapshot, job: ArchiveJob):
+    """Columns that a job writes."""
+    return T.StructType([f for f in s.schema if f.name not in job.exclude])
+
+
+def load_move(spark: SparkSession, job: ArchiveJob, run: str, content=False) -> int:
+    """Write the claimed rows to the target, check them and commit; rows written. A run that
+    the target has adds nothing."""
+    source, target = Store(spark, job.source), Store(spark, job.target)
+    intent = source.snapshot().intents[run]
+    if run in target.snapshot().runs:
+        return target.snapshot().runs[run]["rows"]
+    s = source.snapshot(intent["version"])
+    claim = Removal(*intent["rows"])
+    file, row = s.address_names()
+    rows = removals.only(s.addressed(spark, file, row), (claim,), file, row)
+    wanted = rows.select(*conform_schema(s, job).names)
+    t = target.snapshot()
+    before = t.read(spark) if job.keys and t.parts and job.on_duplicate != "append" else None
+    small = claim.rows if intent["facts"]["batches"] > 1 else None
+    copied = _load(target, wanted, job, run, {"batches": intent["facts"]["batches"]}, content, small, moving=True)
+    _check_counts(claim.rows, copied, before, wanted, job.keys)
+    return copied
+
+
+def finish_move(spark: SparkSession, source: Store, run: str) -> dict:
+    """Take the claimed rows of a loaded run out of the source, on whatever its newest version
+    is: files are immutable, and nothing rewrites them while a move is open."""
+    while True:
+        s = source.snapshot()
+        if run in s.runs:
+            return s.runs[run]
+        intent = s.intents[run]
+        gone = (*s.removed, Removal(*intent["rows"]))
+        empty = _emptied(spark, s, gone)
+        changed = s.without(empty).noting(run, intent["facts"])
+        intents = {r: i for r, i in s.intents.items() if r != run}
+        try:
+            source.commit(replace(changed, removed=gone if changed.parts else (), intents=intents))
+            return intent["facts"]
+        except CommitConflict:
+            continue
+
+
+def _emptied(spark: SparkSession, s: Snapshot, gone) -> list[Part]:
+    """Parts, of those whose rows were counted, all of whose rows are gone. A row per folder
+    comes back, of which the commit names each anyway."""
+    counted = {unquoted(p.path): p for p in s.parts if p.rows is not None and p.files is None}
+    if not counted:
+        return []
+    folders = removals.rows_per_folder(spark, gone).collect()
+    lost = {unquoted(r["folder"]): r["rows"] for r in folders}
+    return [p for path, p in counted.items() if lost.get(path, 0) >= p.rows]
+
+
+def unquoted(address: str) -> str:
+    """File address (an encoded URI) as the path text Hadoop uses, file:/x if local."""
+    text = unquote(address) if address.startswith("file:///") else address
+    return "file:/" + text.removeprefix("file:").lstrip("/") if text.startswith("file:") else text
+
+
+def abandon_move(spark: SparkSession, source: Store, run: str, target: Store) -> None:
+    """Give the rows of an open move free again. The run must not be active any more, and is
+    finished instead if its rows have reached the target."""
+    if target.exists() and run in target.snapshot().runs:
+        finish_move(spark, source, run)
+        return
+    s = source.snapshot()
+    source.commit(replace(s, intents={r: i for r, i in s.intents.items() if r != run}))
+
+
+def settle_moves(spark: SparkSession, source: Store) -> list[str]:
+    """Finish the open moves whose rows have reached their target; returns their runs."""
+    done = []
+    for run, intent in source.snapshot().intents.items():
+        target = Store(spark, intent["target"])
+        if target.exists() and run in target.snapshot().runs:
+            finish_move(spark, source, run)
+            done.append(run)
+    return done
 
 
 def _move(spark, job, run_id, content, bounded) -> RunResult:
+    """Claim, load, finish. A crash at any point leaves the claim, so the same run id goes on
+    where it stopped, and any other run leaves the claimed rows alone: each row arrives once,
+    with or without keys, whatever is appended to the source meanwhile."""
     run, started = run_id or new_run_id(), utc_now()
     method = "bounded" if bounded else "move"
+    source = Store(spark, job.source)
+    if bounded and not job.delete_source:
+        return _bounded_copy(spark, job, run, content, started)
+    settle_moves(spark, source)
+    claimed = begin_move(spark, job, run, bounded)
+    facts = claimed.get("facts", claimed)
+    if not facts["rows"]:
+        return _result(job, run, method, SKIPPED, started, conflicts=facts["conflicts"])
+    if run not in source.snapshot().runs:
+        load_move(spark, job, run, content)
+        finish_move(spark, source, run)
+    return _result(job, run, method, SUCCESS, started, **facts)
+
+
+def _bounded_copy(spark, job, run, content, started) -> RunResult:
+    """The first rows, by key, that the target does not have yet; the source keeps them."""
     source, target = Store(spark, job.source), Store(spark, job.target)
     s = source.snapshot()
-    t = target.ensure(s.read(spark).drop(*job.exclude).schema)
-    if run in s.runs:
-        return _result(job, run, method, SUCCESS, started, **s.runs[run])
-    if bounded and not job.delete_source and run in t.runs:
+    t = target.ensure(conform_schema(s, job))
+    if run in t.runs:
         done = t.runs[run]
         facts = {"rows": done["rows"], "batches": done["batches"]}
-        return _result(job, run, method, SUCCESS, started, **facts)
-    if run in t.runs and t.runs[run]["source_version"] != s.version:
-        raise SourceChanged(f"{job.source} is past version {t.runs[run]['source_version']}")
-
-    predicate = job_predicate(job, s.schema)
-    chosen = _addressed(s.read(spark)).filter(predicate)
-    if bounded and not job.delete_source:
-        if not job.keys:
-            raise ValueError("a bounded copy needs keys to know what was copied")
-        chosen = new_rows(chosen, t.read(spark), job.keys)
-        left = None
-    else:
-        if job.keys and job.on_duplicate == "skip":
-            require_unique(chosen, job.keys)
-        left = _conflicts(chosen, t, job, run)
-    odd = 0
-    if left is not None:
-        left = write_scratch(left.select(FILE, ROW), "conflicts")
-        odd = left.count()
-        if odd:
-            chosen = chosen.join(left, [FILE, ROW], "left_anti")
-    matching = chosen
-    if bounded:
-        chosen = _pick(chosen, job)
-    hits = _hits_per_file(chosen)
-    expected = sum(hits.values())
-    rest = matching.count() - expected if bounded and job.max_rows is not None else 0
+        return _result(job, run, "bounded", SUCCESS, started, **facts)
+    if not job.keys:
+        raise ValueError("a bounded copy needs keys to know what was copied")
+    file, row = s.address_names()
+    matching = s.addressed(spark, file, row).filter(job_predicate(job, s.schema))
+    chosen, found = _pick(new_rows(matching, t.read(spark), job.keys), job, file, row)
+    expected = chosen.count()
     if not expected:
-        return _result(job, run, method, SKIPPED, started, conflicts=odd)
-
-    batches = -(-expected // job.batch_size) if bounded else 1
+        return _result(job, run, "bounded", SKIPPED, started)
+    batches = -(-expected // job.batch_size)
     facts = {"source_version": s.version, "batches": batches}
-    wanted = chosen.drop(FILE, ROW, *job.exclude)
-    copied = _load(
-        target, wanted, job, run, facts, content, expected if bounded else None, source,
-        moving=job.delete_source or not bounded,
+    wanted = chosen.select(*conform_schema(s, job).names)
+    copied = _load(target, wanted, job, run, facts, content, expected)
+    _check_counts(expected, copied, None, wanted, job.keys)
+    rest = 0 if found is None else found - expected
+    return _result(
+        job, run, "bounded", SUCCESS, started, rows=expected, batches=batches, rows_left=rest
     )
-    before = t.read(spark) if job.keys and t.parts and run not in t.runs else None
-    if run not in t.runs:
-        _check_counts(expected, copied, before, wanted, job.keys)
-    done = {"rows": expected, "batches": batches, "conflicts": odd, "rows_left": rest}
-    if bounded and not job.delete_source:
-        return _result(job, run, method, SUCCESS, started, **done)
-
-    def others(df: DataFrame) -> DataFrame:
-        if odd or (bounded and job.max_rows is not None):
-            return _addressed(df).join(chosen.select(FILE, ROW), [FILE, ROW], "left_anti")
-        return df.filter(~F.coalesce(predicate, F.lit(False)))
-
-    _cut_out(source, s, hits, others, run, done)
-    return _result(job, run, method, SUCCESS, started, **done)
 
 
 # Whole partitions.
@@ -339,13 +380,14 @@ def find_staged(spark: SparkSession, job: ArchiveJob, number: int) -> str | None
 def stage_partition(spark: SparkSession, job: ArchiveJob, number: int) -> str | None:
     """Switch a partition into a staging table by commits alone; None if it is empty."""
     s = Store(spark, job.source).snapshot()
+    s.require_settled()
     parts = s.of(number)
     if not parts:
         return None
     stamp = utc_now().strftime("%Y%m%d%H%M%S%f")
     where = f"{_staging_root(job)}/p{number:05d}-{stamp}-{new_run_id()}"
     held = tuple(replace(p, pno=None) for p in parts)
-    Store(spark, where).commit(Snapshot(0, s.schema, None, held))
+    Store(spark, where).commit(Snapshot(0, s.schema, None, held, removed=s.removed))
     return where
 
 
@@ -355,7 +397,8 @@ def _detach(source: Store, staged: Snapshot) -> None:
     held = {(p.path, p.files) for p in staged.parts}
     still = [p for p in s.parts if (p.path, p.files) in held]
     if still:
-        lent = tuple(dict.fromkeys((*s.lent, *(p.path for p in still))))
+        folders = [p.path for p in (*still, *staged.removed)]
+        lent = tuple(dict.fromkeys((*s.lent, *folders)))
         source.commit(replace(s.without(still), lent=lent))
 
 
@@ -388,9 +431,9 @@ def archive_partition(spark: SparkSession, job: ArchiveJob, number: int, content
     if run not in t.runs:
         before = t.read(spark) if job.keys and t.parts else None
         _check_counts(expected, copied, before, rows, job.keys)
-    staging.commit(replace(staged, parts=()))
+    staging.commit(replace(staged, parts=(), removed=()))
     s = source.snapshot()
-    done = {p.path for p in staged.parts}
+    done = {p.path for p in (*staged.parts, *staged.removed)}
     source.commit(replace(s, lent=tuple(p for p in s.lent if p not in done)))
     return _result(job, run, "partition", SUCCESS, started, rows=copied, partition_no=number)
 

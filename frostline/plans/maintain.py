@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from frostline.operators.checks import null_keys, schema_issues
-from frostline.sources.store import Snapshot, Store, VerificationFailed
+from frostline.sources.store import Snapshot, Store, VerificationFailed, read_parts
 from frostline.spec import PartitionSpec
 
 
@@ -27,6 +27,7 @@ def to_partitioned(spark: SparkSession, path: str, spec: PartitionSpec, content=
         if base.spec.column == spec.column:
             return False
         raise Refused("the table is partitioned by another column")
+    base.require_settled()
     rows = base.read(spark)
     if not spec.nullable:
         found = null_keys(rows, spec.column).first()[0]
@@ -37,7 +38,7 @@ def to_partitioned(spark: SparkSession, path: str, spec: PartitionSpec, content=
     if written.rows != before:
         raise VerificationFailed(f"{before} rows became {written.rows}")
     store.verify(written, base.schema)
-    store.commit(replace(base, spec=spec, parts=written.parts))
+    store.commit(replace(base, spec=spec, parts=written.parts, removed=()))
     return True
 
 
@@ -57,6 +58,7 @@ def apply_split(spark: SparkSession, path: str, new) -> PartitionSpec:
     base = store.snapshot()
     if base.spec is None:
         raise Refused("the table is not partitioned")
+    base.require_settled()
     after = base.spec.split(new)
     olds = set(base.spec.boundaries)
     number_of, cut, old = {}, set(), 1
@@ -117,19 +119,22 @@ def switch_partition(spark: SparkSession, source: str, target: str, number: int,
         taken = t.parts if t.spec is None else t.of(number)
         if taken:
             raise Refused("the target is not empty")
+        s.require_settled()
         parts = s.of(number)
         rows = s.read(spark, number).count()
         moved = parts if t.spec is not None else tuple(replace(p, pno=None) for p in parts)
         facts = {"rows": rows, "folders": [p.path for p in parts]}
-        arrived = t.plus(moved)
-        landed = Snapshot(0, t.schema, t.spec, moved).read(spark).count() if moved else 0
+        gone = tuple(r for r in s.removed if r not in t.removed) if moved else ()
+        arrived = replace(t.plus(moved), removed=(*t.removed, *gone))
+        alone = Snapshot(0, t.schema, t.spec, moved, removed=s.removed)
+        landed = alone.read(spark).count() if moved else 0
         if landed != rows:
             raise VerificationFailed(f"{rows} rows to switch, {landed} in the target")
         t = dst.commit(arrived.noting(run, facts))
     folders = set(t.runs[run]["folders"])
     leaving = [p for p in s.parts if p.path in folders]
     if leaving:
-        lent = tuple(dict.fromkeys((*s.lent, *folders)))
+        lent = tuple(dict.fromkeys((*s.lent, *folders, *(r.path for r in s.removed))))
         src.commit(replace(s.without(leaving), lent=lent))
     return t.runs[run]["rows"]
 
@@ -147,5 +152,23 @@ def truncate_partition(spark: SparkSession, path: str, number: int, confirm=Fals
         raise Refused(f"partition {number} holds {rows} rows; confirm to drop them")
     store = Store(spark, path)
     base = store.snapshot()
+    base.require_settled()
     store.commit(base.without(base.of(number)))
     return rows
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Write the table again without the rows that are gone; returns how many those were.
+
+    Only a table with removals is written. Folders are not deleted here, see ``reclaim``.
+    """
+    store = Store(spark, path)
+    base = store.snapshot()
+    base.require_settled()
+    if not base.removed:
+        return 0
+    held = read_parts(spark, base.parts, base.schema).count()
+    written = store.write(base.read(spark), base.spec)
+    store.verify(written, base.schema)
+    store.commit(replace(base, parts=written.parts, removed=()))
+    return held - written.rows

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frostline.functions.names import free_name, free_names
 from frostline.operators.checks import content_marks
 from frostline.operators.ranges import with_partition_no
-from frostline.sources import paths
+from frostline.sources import paths, removals
+from frostline.sources.removals import Removal
 from frostline.sources.storage import MB, data_files
 from frostline.spec import PartitionSpec
 
@@ -34,6 +36,10 @@ class VerificationFailed(Exception):
     """What landed on disk is not what was sent."""
 
 
+class UnsettledMove(Exception):
+    """Rows of the table are on their way to another one; finish or abandon that run first."""
+
+
 class SchemaMismatch(Exception):
     """Rows do not have the columns of the table they are meant for."""
 
@@ -56,11 +62,13 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 @dataclass(frozen=True)
 class Part:
-    """A folder of the table, or some files of it; ``pno`` only in partitioned tables."""
+    """A folder of the table, or some files of it; ``pno`` only in partitioned tables, ``rows``
+    where the writer counted them."""
 
     path: str
     pno: int | None = None
     files: tuple[str, ...] | None = None
+    rows: int | None = None
 
     def locations(self) -> list[str]:
         return [self.path] if self.files is None else list(self.files)
@@ -76,12 +84,39 @@ class Snapshot:
     parts: tuple[Part, ...] = ()
     runs: dict = field(default_factory=dict)
     lent: tuple[str, ...] = ()  # folders other tables read, to be kept
+    removed: tuple[Removal, ...] = ()  # rows of the parts' files that are gone
+    intents: dict = field(default_factory=dict)  # moves under way, by run
 
     def read(self, spark: SparkSession, numbers=None) -> DataFrame:
         """Rows of the table, or of some partitions, found through the commit alone."""
+        if self.removed:
+            return self.addressed(spark, *self.address_names(), numbers).select(*self.schema.names)
         wanted = self.parts if numbers is None else self.of(numbers)
         return read_parts(spark, wanted, self.schema)
 
+    def address_names(self) -> list[str]:
+        """Free names for a row's file and its place in it."""
+        return free_names(self.schema.names, "_file", "_row")
+
+    def addressed(self, spark: SparkSession, file: str, row: str, numbers=None, also_without=()):
+        """Rows with their file and place in it, which name a row of a version exactly."""
+        wanted = self.parts if numbers is None else self.of(numbers)
+        rows = read_parts(spark, wanted, self.schema)
+        if not wanted:
+            return rows.withColumns({file: F.lit(None).cast("string"), row: F.lit(None).cast("long")})
+        rows = rows.select(
+            "*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)
+        )
+        return removals.without(rows, (*self.removed, *also_without), file, row)
+
+    def in_flight(self, but: str | None = None) -> tuple[Removal, ...]:
+        """Rows that open moves, other than the given run, have claimed."""
+        return tuple(Removal(*i["rows"]) for run, i in self.intents.items() if run != but)
+
+    def require_settled(self) -> None:
+        if self.intents:
+            raise UnsettledMove(f"runs {sorted(self.intents)} are under way")
+
     def of(self, numbers) -> tuple[Part, ...]:
         if self.spec is None:
             raise ValueError("the table is not partitioned")
@@ -105,10 +140,13 @@ class Snapshot:
                 "schema": json.loads(self.schema.json()),
                 "spec": self.spec.to_dict() if self.spec else None,
                 "parts": [
-                    {"path": p.path, "pno": p.pno, "files": p.files} for p in self.parts
+                    {"path": p.path, "pno": p.pno, "files": p.files, "rows": p.rows}
+                    for p in self.parts
                 ],
                 "runs": self.runs,
                 "lent": self.lent,
+                "removed": [[r.path, r.spans, r.rows] for r in self.removed],
+                "intents": self.intents,
             }
         )
 
@@ -120,11 +158,18 @@ class Snapshot:
             T.StructType.fromJson(data["schema"]),
             PartitionSpec.from_dict(data["spec"]) if data["spec"] else None,
             tuple(
-                Part(p["path"], p["pno"], tuple(p["files"]) if p["files"] is not None else None)
+                Part(
+                    p["path"],
+                    p["pno"],
+                    tuple(p["files"]) if p["files"] is not None else None,
+                    p.get("rows"),
+                )
                 for p in data["parts"]
             ),
             data["runs"],
             tuple(data["lent"]),
+            tuple(Removal(*r) for r in data.get("removed", ())),
+            data.get("intents", {}),
         )
 
 
@@ -215,8 +260,9 @@ class Store:
         folder = f"{self.path}/data/w={uuid.uuid4().hex}"
         columns = sorted(df.columns)
         marks = content_marks(columns) if content else [F.count(F.lit(1)).alias("rows")]
+        number = free_name("_pno", *df.columns)
         if spec is not None:
-            df = with_partition_no(df, spec, "_pno").hint("rebalance", "_pno")
+            df = with_partition_no(df, spec, number).hint("rebalance", number)
         elif small:
             df = df.hint("rebalance")
         seen = Observation(f"written-{uuid.uuid4().hex}")
@@ -224,17 +270,29 @@ class Store:
         if spec is None:
             writer.parquet(folder)
         else:
-            writer.partitionBy("_pno").parquet(folder)
+            writer.partitionBy(number).parquet(folder)
         folder = paths.qualified(self.spark, folder)
         facts = seen.get
         if spec is None:
-            parts = (Part(folder),) if facts["rows"] else ()
+            parts = (Part(folder, rows=facts["rows"]),) if facts["rows"] else ()
         else:
-            numbered = [n for n in paths.names(self.spark, folder) if n.startswith("_pno=")]
+            numbered = [n for n in paths.names(self.spark, folder) if n.startswith(f"{number}=")]
             parts = tuple(Part(f"{folder}/{n}", int(n.split("=")[1])) for n in numbered)
         print_ = (facts["mark_xor"], facts["mark_sum"]) if content else None
         return Written(parts, facts["rows"], print_)
 
+    def write_removal(self, marks: DataFrame) -> Removal:
+        """Write bitmaps to a new folder not yet part of any version."""
+        folder = f"{self.path}/removed/m={uuid.uuid4().hex}"
+        seen = Observation(f"removed-{uuid.uuid4().hex}")
+        counts = [
+            F.count(F.lit(1)).alias("spans"),
+            F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("rows"),
+        ]
+        marks.observe(seen, *counts).write.parquet(folder)
+        facts = seen.get
+        return Removal(paths.qualified(self.spark, folder), facts["spans"], facts["rows"])
+
     def verify(self, written: Written, schema: T.StructType) -> None:
         """Read back what was written: the rows, and their content if it was marked."""
         back = read_parts(self.spark, written.parts, schema)
@@ -297,15 +355,20 @@ class Store:
         """Delete own folders no version in use needs: neither the current one nor a table
         a folder was lent to. Call it while nobody reads an older version or writes."""
         current = self.snapshot()
+        in_use = {r.path for r in (*current.removed, *current.in_flight())}
         own = paths.qualified(self.spark, f"{self.path}/data")
-        needed = {p.path for p in current.parts} | set(current.lent)
+        needed = {p.path for p in current.parts} | set(current.lent) | in_use
         removed = []
+        marks = paths.qualified(self.spark, f"{self.path}/removed")
+        for spot in [f"{marks}/{n}" for n in paths.names(self.spark, marks)]:
+            if spot not in needed:
+                paths.delete_folder(self.spark, spot)
+                removed.append(spot)
         for name in paths.names(self.spark, own):
             folder = f"{own}/{name}"
-            inner = [n for n in paths.names(self.spark, folder) if n.startswith("_pno=")]
+            inner = [n for n in paths.names(self.spark, folder) if "=" in n]
             for spot in [f"{folder}/{n}" for n in inner] if inner else [folder]:
                 if spot not in needed:
                     paths.delete_folder(self.spark, spot)
                     removed.append(spot)
         return removed
-
