@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from frostline.functions.names import free_names
 from frostline.session import write_scratch
 
 # monotonically_increasing_id keeps the row's place in its partition in these bits.
@@ -39,20 +40,19 @@ def adjacent_violations(df: DataFrame, value: str, by, order, segment=None) -> D
     """
     by, order = list(by), list(order)
     cut = segment_of(df, order[0]) if segment is None else segment
-    parts = [*by, "_seg"]
-    rows = df.withColumn("_seg", cut).withColumn("_real", F.lit(1))
+    seg, real = free_names(df.columns, "_seg", "_real")
+    parts = [*by, seg]
+    rows = df.withColumn(seg, cut).withColumn(real, F.lit(1))
     # The last value of a segment joins the next one as an extra leading row, so the
     # table itself is shuffled once and NULL groups are treated like any other.
     last = rows.groupBy(*parts).agg(F.max_by(value, F.struct(*order)).alias(value))
-    across = Window.partitionBy(*by).orderBy("_seg")
-    lead_in = last.select(
-        *parts, F.lag(value).over(across).alias(value), F.lit(0).alias("_real")
-    )
-    inside = Window.partitionBy(*parts).orderBy("_real", *order)
+    across = Window.partitionBy(*by).orderBy(seg)
+    lead_in = last.select(*parts, F.lag(value).over(across).alias(value), F.lit(0).alias(real))
+    inside = Window.partitionBy(*parts).orderBy(real, *order)
     return (
         rows.unionByName(lead_in, allowMissingColumns=True)
         .withColumn("previous", F.lag(value).over(inside))
-        .filter((F.col("_real") == 1) & (F.col("previous") >= F.col(value)))
+        .filter((F.col(real) == 1) & (F.col("previous") >= F.col(value)))
         .select(*df.columns, "previous")
     )
 
@@ -94,90 +94,95 @@ def global_rank(df: DataFrame, order, limit=None, unique=True, slices=None, name
     """
     order = list(order)
     spark = df.sparkSession
+    tie, at, in_slice, held, before = free_names(
+        [*df.columns, name], "_tie", "_at", "_slice", "_rows", "_before"
+    )
     narrow = limit is not None and isinstance(order[0], str)
     rows = _narrow_to_head(df, order[0], limit) if narrow else df
     sort = list(order)
     if not unique:
-        rows = write_scratch(rows.withColumn("_tie", F.rand(7)), "ties")
-        sort.append("_tie")
+        rows = write_scratch(rows.withColumn(tie, F.rand(7)), "ties")
+        sort.append(tie)
     if slices is None:
         cores = spark.sparkContext.defaultParallelism
         slices = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = write_scratch(
         rows.repartitionByRange(slices, *sort)
         .sortWithinPartitions(*sort)
-        .withColumn("_at", F.monotonically_increasing_id()),
+        .withColumn(at, F.monotonically_increasing_id()),
         "ranked",
     )
-    slice_no = F.shiftright("_at", PLACE_BITS)
-    running = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slice_no = F.shiftright(at, PLACE_BITS)
+    running = Window.orderBy(in_slice).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (  # one row per range
-        placed.groupBy(slice_no.alias("_slice"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_slice", F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_before"))
+        placed.groupBy(slice_no.alias(in_slice))
+        .agg(F.count(F.lit(1)).alias(held))
+        .select(in_slice, F.coalesce(F.sum(held).over(running), F.lit(0)).alias(before))
     )
-    place = F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    place = F.col(at).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     ranked = (
-        placed.withColumn("_slice", slice_no)
-        .join(F.broadcast(offsets), "_slice")
-        .withColumn(name, F.col("_before") + place + 1)
+        placed.withColumn(in_slice, slice_no)
+        .join(F.broadcast(offsets), in_slice)
+        .withColumn(name, F.col(before) + place + 1)
     )
     if limit is not None:
         ranked = ranked.filter(F.col(name) <= limit)
     return ranked.select(*df.columns, name)
 
 
-# The histogram of a round has so many steps; refining ends once a step's rows are few.
+# The histogram of a round has so many steps; refining ends once so few rows are left, which are
+# merged in one task.
 STEPS = 200
-FEW = 20_000
-
-
-def _histogram_types() -> tuple:
-    return (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+FEW = 100_000
 
 
 def smallest(df: DataFrame, order, limit: int) -> tuple[DataFrame, int]:
     """The first ``limit`` rows by the columns in ``order``, nulls first, and the row count.
 
     The columns must order the rows totally. Only the limit's own key is looked for: each round
-    reads the first column alone, counts the rows on either side of a pair of quantiles and
-    closes in on the one that holds the key, until few rows are left between; these alone are
-    ranked by all columns. The result is a filter on ``df``, whose bound on the first column
-    reaches the scan, so no row is sorted or written.
+    reads the first column alone, counts the rows below and between two quantiles of the round
+    before, and closes in on the step that holds the key, until few rows are left between. Only
+    these are ordered by all columns. The result is a filter on ``df``, whose bound on the first
+    column reaches the scan, so no row is sorted or written.
     """
     order = list(order)
     first, dtype = order[0], df.schema[order[0]].dataType
-    value, inside, below, before, n = F.col(first), F.lit(True), 0, None, 0
-    histogram = isinstance(dtype, _histogram_types())
-    steps = F.percentile_approx(value, [i / STEPS for i in range(STEPS + 1)], 20 * STEPS)
-    window = df.select(first)
+    value = F.col(first)
+    histogram = isinstance(dtype, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    below, inside, between, nulls, n = 0, F.lit(True), None, 0, None
+    rows, less, held = df.select(first), F.lit(False), None
     while True:
-        facts = [F.count(F.lit(1)).alias("n"), F.count(first).alias("known")]
-        row = window.agg(*facts, *([steps.alias("q")] if histogram else [])).first()
-        if before is None:
-            n = row["n"]
+        window = inside if between is None else between
+        facts = [F.count_if(less), F.count_if(window), F.count_if(value.isNull())]
+        if histogram:
+            ladder = [i / STEPS for i in range(STEPS + 1)]
+            facts.append(F.percentile_approx(F.when(window, value), ladder, 20 * STEPS))
+        found = rows.agg(*facts).first()
+        if n is None:
+            n, nulls = found[1], found[2]
             if n <= limit:
                 return df, n
-        nulls, held = row["n"] - row["known"], row["known"]
-        rank = limit - below  # of the key sought, among the rows of the window
-        few = row["n"] <= FEW or (before is not None and row["n"] > before // 2)
-        if not histogram or few or rank <= nulls:
-            if rank <= nulls:
-                inside = value.isNull()
+            held = n
+        elif found[0] < limit <= found[0] + found[1] and found[1] <= held // 2:
+            below, inside, held = found[0], between, found[1]
+        else:
+            break  # an estimate was off, or many rows share the key: the last window is right
+        if not histogram or limit <= nulls or held <= FEW:
             break
-        at = (rank - nulls) * STEPS // held
-        low, high = row["q"][max(0, at - 1)], row["q"][min(STEPS, at + 2)]
-        low, high = (F.lit(v).cast(dtype) for v in (low, high))
-        closer = value.between(low, high)
-        less, within = window.agg(
-            F.count_if(value.isNull() | (value < low)), F.count_if(closer)
-        ).first()
-        if not less < rank <= less + within:
-            break  # an estimate was off: the window of before is right
-        before, below, inside = row["n"], below + less, closer
-        window = df.select(first).filter(inside)
-    ranked = global_rank(df.select(*order).filter(inside), order, limit=limit - below, name="row_rank__")
-    cut = ranked.filter(F.col("row_rank__") == limit - below).first()
+        known = held - (nulls if between is None else 0)
+        at = (limit - below - (nulls if between is None else 0)) * STEPS // known
+        low, high = (F.lit(found[3][max(0, min(STEPS, i))]).cast(dtype) for i in (at - 1, at + 2))
+        less, between = value.isNull() | (value < low), value.between(low, high)
+        rows = df.select(first).filter(value.isNull() | (value <= high))
+    if limit <= nulls:
+        inside, held = value.isNull(), nulls
+    rank = limit - below
+    last = df.select(*order).filter(inside)
+    if held <= FEW:
+        cut = last.orderBy(*[F.asc_nulls_first(c) for c in order]).offset(rank - 1).limit(1).first()
+    else:
+        (name,) = free_names(order, "rank")
+        cut = global_rank(last, order, limit=rank, name=name).filter(F.col(name) == rank).first()
     edge = F.struct(*[F.lit(cut[c]).cast(df.schema[c].dataType).alias(c) for c in order])
     upto = F.struct(*order) <= edge
     if cut[first] is not None:

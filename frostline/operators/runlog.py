@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline.functions.metrics import audit_text, job_time
+from frostline.functions.names import free_names
 from frostline.operators.ordering import global_rank, segment_of
 
 # Row counts used when none (or a non-positive one) is given, and the
@@ -153,13 +154,20 @@ def ordered_concat(df: DataFrame, group, order: str, column: str, separator=", "
 
 
 def latest_per(df: DataFrame, key, ts: str, tie=()) -> DataFrame:
-    """The latest row of each key, by time and then the tie columns; an aggregate, no sort
-    of a whole key and nothing but one row per key and task shuffled."""
+    """The latest row of each key, by time and then the tie columns, which should leave no ties.
+
+    The greatest time per key is a hash aggregate over two columns; the rows that have it are
+    few, and only they are ranked by the rest.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    when, top = free_names(df.columns, "_top", "_row")
+    newest = df.groupBy(*keys).agg(F.max(ts).alias(when))
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in keys]
+    same.append(F.col(f"r.`{ts}`").eqNullSafe(F.col(f"n.`{when}`")))
+    last = df.alias("r").join(newest.alias("n"), same, "left_semi")
     rest = [c for c in df.columns if c not in keys]
-    rank = F.struct(ts, *tie)
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
-    return newest.select(*keys, "_row.*").select(*df.columns)
+    found = last.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(ts, *tie)).alias(top))
+    return found.select(*keys, f"{top}.*").select(*df.columns)
 
 
 def latest_log(logs: DataFrame, *, task, ts, entry) -> DataFrame:
@@ -188,39 +196,42 @@ def failure_streak(
     Long histories are cut by day, so one busy job never sits in a single task.
     """
     cut = segment_of(runs, ts) if segment is None else segment
+    seg, fail, reset, island, run, had_reset, still_open, era, upto, carry = free_names(
+        runs.columns, *[f"_{n}" for n in "seg fail reset island run had_reset open era upto carry".split()]
+    )
     state = F.col(status)
     rows = (
-        runs.withColumn("_seg", cut)
-        .withColumn("_fail", F.coalesce(state == failed, F.lit(False)).cast("int"))
-        .withColumn("_reset", F.coalesce(state.isin(*resets), F.lit(False)).cast("int"))
+        runs.withColumn(seg, cut)
+        .withColumn(fail, F.coalesce(state == failed, F.lit(False)).cast("int"))
+        .withColumn(reset, F.coalesce(state.isin(*resets), F.lit(False)).cast("int"))
     )
-    inside = Window.partitionBy(job, "_seg").orderBy(ts, tie)
+    inside = Window.partitionBy(job, seg).orderBy(ts, tie)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    island = Window.partitionBy(job, "_seg", "_island").orderBy(ts, tie)
-    local = rows.withColumn("_island", F.sum("_reset").over(so_far)).withColumn(
-        "_run", F.sum("_fail").over(island.rowsBetween(Window.unboundedPreceding, 0))
+    on_island = Window.partitionBy(job, seg, island).orderBy(ts, tie)
+    local = rows.withColumn(island, F.sum(reset).over(so_far)).withColumn(
+        run, F.sum(fail).over(on_island.rowsBetween(Window.unboundedPreceding, 0))
     )
     # One row per job and segment: failures after its last reset, and whether it had one.
-    ends = local.groupBy(job, "_seg").agg(
-        F.max("_reset").alias("_had_reset"),
-        F.max_by("_run", F.struct("_island", "_run")).alias("_open"),
+    ends = local.groupBy(job, seg).agg(
+        F.max(reset).alias(had_reset),
+        F.max_by(run, F.struct(island, run)).alias(still_open),
     )
-    across = Window.partitionBy(job).orderBy("_seg")
-    stretch = Window.partitionBy(job, "_era").orderBy("_seg")
-    carry = (
-        ends.withColumn("_era", F.sum("_had_reset").over(across))
-        .withColumn("_upto", F.sum("_open").over(stretch))
-        .withColumn("_carry", F.coalesce(F.lag("_upto").over(across), F.lit(0)))
-        .select(job, "_seg", "_carry")
+    across = Window.partitionBy(job).orderBy(seg)
+    stretch = Window.partitionBy(job, era).orderBy(seg)
+    carries = (
+        ends.withColumn(era, F.sum(had_reset).over(across))
+        .withColumn(upto, F.sum(still_open).over(stretch))
+        .withColumn(carry, F.coalesce(F.lag(upto).over(across), F.lit(0)))
+        .select(job, seg, carry)
     )
-    carried = F.when(F.col("_island") == 0, F.coalesce("_carry", F.lit(0))).otherwise(F.lit(0))
-    streak = F.col("_run") + carried
+    carried = F.when(F.col(island) == 0, F.coalesce(carry, F.lit(0))).otherwise(F.lit(0))
+    streak = F.col(run) + carried
     # Windows, summary and join all use the hash of (job, segment); the summary's own pass
     # carries the few columns it needs.
     return (
-        local.join(carry, [job, "_seg"], "left")
+        local.join(carries, [job, seg], "left")
         .withColumn("streak", streak.cast("bigint"))
-        .withColumn("disabled", (F.col("_fail") == 1) & (F.col("streak") >= max_failures))
+        .withColumn("disabled", (F.col(fail) == 1) & (F.col("streak") >= max_failures))
         .select(*runs.columns, "streak", "disabled")
     )
 

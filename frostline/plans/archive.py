@@ -8,15 +8,20 @@ running again with the same run id picks up where it stopped.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
+from threading import Lock
 from urllib.parse import unquote
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline.operators.checks import (
+    DuplicateRows,
+    RepeatedKeys,
     conflicts,
     guard_duplicates,
     reconcile,
@@ -24,7 +29,7 @@ from frostline.operators.checks import (
     same_rows,
 )
 from frostline.operators.filters import filter_from_json, raw_filter
-from frostline.operators.joins import new_rows, new_rows_of_batch, within_keys_of
+from frostline.operators.joins import key_lookup, new_rows, new_rows_of_batch, within_keys_of
 from frostline.operators.ordering import smallest
 from frostline.operators.runlog import batch_summary
 from frostline.plans.runs import (
@@ -42,6 +47,7 @@ from frostline.sources.removals import Removal
 from frostline.sources.store import (
     CommitConflict,
     Part,
+    SchemaMismatch,
     Snapshot,
     Store,
     VerificationFailed,
@@ -54,6 +60,10 @@ class ConflictingRows(Exception):
     """The target holds rows of the batch's keys with other content."""
 
 
+# Why a load is given up before its commit.
+REFUSALS = (DuplicateRows, RepeatedKeys, SchemaMismatch, VerificationFailed, CommitConflict)
+
+
 def job_predicate(job: ArchiveJob, schema) -> Column:
     """Stored filter and raw predicate of a job, joined by AND. One must be given."""
     parts = []
@@ -78,18 +88,20 @@ def _result(job, run, method, status, started, **facts) -> RunResult:
 
 
 def _load(
-    target: Store, rows: DataFrame, job, run, facts, content=False, batch=None, moving=False
+    target: Store, rows: DataFrame, job, run, facts, content=False, batch=None, moving=False,
+    unknown_at=None,
 ) -> int:
     """Write rows the target does not have, check them and commit. Returns rows written.
 
     ``batch`` is the exact row count of a bounded run, if this is one. A move leaves out
-    only rows that the target holds with the same content, a copy those of known keys.
+    only rows that the target holds with the same content, a copy those of known keys. At
+    version ``unknown_at`` the target is known to hold none of the keys.
     """
     base = target.snapshot()
     if run in base.runs:
         return base.runs[run]["rows"]
     fresh = conform(rows, base.schema)
-    if job.keys and base.parts and job.on_duplicate != "append":
+    if job.keys and base.parts and job.on_duplicate != "append" and base.version != unknown_at:
         there = base.read(target.spark)
         if moving and job.on_duplicate == "skip":
             fresh = same_rows(fresh, there, job.keys, base.schema.names, "left_anti")
@@ -199,8 +211,12 @@ def begin_move(spark: SparkSession, job: ArchiveJob, run: str, bounded=False) ->
         chosen = s.addressed(spark, file, row, also_without=s.in_flight()).filter(predicate)
         if job.keys and job.on_duplicate == "skip":
             require_unique(chosen, job.keys)
-        left, odd = _conflicts(chosen, t, job, run), 0
-        if left is not None:
+        odd, known = 0, bool(job.keys and t.parts and job.on_duplicate != "append")
+        if known and job.on_duplicate == "skip":
+            there = within_keys_of(t.read(spark).select(*job.keys), chosen, job.keys)
+            known = not key_lookup(chosen.select(*job.keys), there, job.keys).isEmpty()
+        if known and job.on_duplicate == "skip":
+            left = _conflicts(chosen, t, job, run)
             left = write_scratch(left.select(file, row), "conflicts")
             odd = left.count()
             if odd:
@@ -212,6 +228,7 @@ def begin_move(spark: SparkSession, job: ArchiveJob, run: str, bounded=False) ->
             "version": s.version,
             "target": target.path,
             "target_version": t.version,
+            "known_keys": known,  # may the target, at that version, hold keys of these rows?
             "facts": {
                 "rows": claim.rows,
                 "batches": -(-claim.rows // job.batch_size) if bounded else 1,
@@ -248,7 +265,11 @@ def load_move(spark: SparkSession, job: ArchiveJob, run: str, content=False) ->
     t = target.snapshot()
     before = t.read(spark) if job.keys and t.parts and job.on_duplicate != "append" else None
     small = claim.rows if intent["facts"]["batches"] > 1 else None
-    copied = _load(target, wanted, job, run, {"batches": intent["facts"]["batches"]}, content, small, moving=True)
+    fresh = t.version == intent["target_version"] and not intent["known_keys"]
+    copied = _load(
+        target, wanted, job, run, {"batches": intent["facts"]["batches"]}, content, small,
+        moving=True, unknown_at=t.version if fresh else None,
+    )
     _check_counts(claim.rows, copied, before, wanted, job.keys)
     return copied
 
@@ -325,7 +346,11 @@ def _move(spark, job, run_id, content, bounded) -> RunResult:
     if not facts["rows"]:
         return _result(job, run, method, SKIPPED, started, conflicts=facts["conflicts"])
     if run not in source.snapshot().runs:
-        load_move(spark, job, run, content)
+        try:
+            load_move(spark, job, run, content)
+        except REFUSALS:  # nothing was committed: the rows are free for the next run
+            abandon_move(spark, source, run, Store(spark, job.target))
+            raise
         finish_move(spark, source, run)
     return _result(job, run, method, SUCCESS, started, **facts)
 
@@ -441,8 +466,19 @@ def archive_partition(spark: SparkSession, job: ArchiveJob, number: int, content
 # Jobs with a status.
 
 
+def _dispatch(spark: SparkSession, job: ArchiveJob, run: str) -> RunResult:
+    if job.method == "partition":
+        return archive_partition(spark, job, job.partition_no)
+    if job.method == "copy":
+        return archive_copy(spark, job, run)
+    if job.method == "move":
+        return archive_move(spark, job, run)
+    return archive_bounded(spark, job, run)
+
+
 def run_job(spark: SparkSession, job: ArchiveJob, log: RunLog | None = None, run_id=None):
-    """One scheduled run: skipped when disabled or empty, failed when anything breaks.
+    """One scheduled run by the job's method: skipped when disabled or empty, failed when
+    anything breaks.
 
     With a log, a job that failed ``max_failures`` times in a row is not tried again until
     a run of it is logged that did not fail.
@@ -450,25 +486,82 @@ def run_job(spark: SparkSession, job: ArchiveJob, log: RunLog | None = None, run
     started, run = utc_now(), run_id or new_run_id()
     failures = log.failures_in_row(job.name) if log is not None else 0
     if not job.enabled:
-        result = _result(job, run, "bounded", SKIPPED, started, message="job is disabled")
+        result = _result(job, run, job.method, SKIPPED, started, message="job is disabled")
     elif failures >= job.max_failures:
         # no row in the log: a skipped run would count as one that did not fail
         text = f"disabled after {failures} failures in a row"
-        return _result(job, run, "bounded", SKIPPED, started, message=text)
+        return _result(job, run, job.method, SKIPPED, started, message=text)
     else:
         try:
-            result = archive_bounded(spark, job, run)
+            result = _dispatch(spark, job, run)
         except Exception as error:  # one bad job must not stop the others
             text = str(error)
-            result = _result(job, run, "bounded", FAILED, started, message=text)
+            result = _result(job, run, job.method, FAILED, started, message=text)
+            _release(spark, job, run)
     if log is not None:
         log.append([result])
     return result
 
 
-def archive_many(spark: SparkSession, jobs, log: RunLog | None = None) -> list[RunResult]:
-    """Run jobs one after the other and keep going after a failure."""
-    return [run_job(spark, job, log) for job in jobs]
+def _release(spark: SparkSession, job: ArchiveJob, run: str) -> None:
+    """Free the rows a failed run had claimed, so that the job's next run takes them again."""
+    source = Store(spark, job.source)
+    if source.exists() and run in source.snapshot().intents:
+        abandon_move(spark, source, run, Store(spark, job.target))
+
+
+def archive_many(spark: SparkSession, jobs, log: RunLog | None = None, at_once=1) -> list[RunResult]:
+    """Run jobs, up to ``at_once`` of them side by side, and keep going after a failure.
+
+    Jobs that share a source or a target run one after the other, in the given order; each
+    of the others gets a scheduler pool of its own, so a long one doesn't hold up short ones.
+    Results come in the order of the jobs.
+    """
+    jobs = list(jobs)
+    if at_once <= 1:
+        return [run_job(spark, job, log) for job in jobs]
+    chains = _chains(jobs)
+    log_lock = Lock()
+
+    def run_chain(places: list[int]) -> list[tuple[int, RunResult]]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"archive-{places[0]}")
+        done = []
+        for i in places:
+            done.append((i, run_job(spark, jobs[i], _Locked(log, log_lock) if log else None)))
+        return done
+
+    with ThreadPoolExecutor(at_once) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(run_chain), c) for c in chains]
+        found = dict(pair for r in runs for pair in r.result())
+    return [found[i] for i in range(len(jobs))]
+
+
+def _chains(jobs) -> list[list[int]]:
+    """Places of the jobs, those connected by a table together."""
+    chains: list[tuple[set, list[int]]] = []
+    for i, job in enumerate(jobs):
+        tables, places = {job.source.rstrip("/"), job.target.rstrip("/")}, [i]
+        for other in [c for c in chains if c[0] & tables]:
+            chains.remove(other)
+            tables |= other[0]
+            places += other[1]
+        chains.append((tables, sorted(places)))
+    return [places for _, places in chains]
+
+
+class _Locked:
+    """A run log that one thread at a time appends to."""
+
+    def __init__(self, log: RunLog, lock):
+        self.log, self.lock = log, lock
+
+    def failures_in_row(self, job: str) -> int:
+        with self.lock:
+            return self.log.failures_in_row(job)
+
+    def append(self, results) -> None:
+        with self.lock:
+            self.log.append(results)
 
 
 def summarise(log_rows: DataFrame) -> DataFrame:

@@ -270,6 +270,9 @@ class ArchiveJob:
     left in the source and counted. 'fail': a known key fails the run. 'append': keys order
     the rows at most; exactly the rows written leave the source, and the run id alone tells
     a repeated run.
+
+    ``method`` is what a scheduled run does: 'bounded', 'copy' or 'move' of all matching rows,
+    or 'partition', which archives partition ``partition_no`` of a partitioned source.
     """
 
     name: str
@@ -288,6 +291,8 @@ class ArchiveJob:
     as_of: datetime | None = None
     exclude: tuple[str, ...] = field(default_factory=tuple)
     order_by: tuple[str, ...] = field(default_factory=tuple)
+    method: str = "bounded"
+    partition_no: int | None = None
 
     def __post_init__(self):
         for label in ("name", "source", "target"):
@@ -301,6 +306,10 @@ class ArchiveJob:
             raise ValueError("max_failures must be positive")
         if self.on_duplicate not in ("fail", "skip", "append"):
             raise ValueError("on_duplicate is 'fail', 'skip' or 'append'")
+        if self.method not in ("bounded", "copy", "move", "partition"):
+            raise ValueError("method is 'bounded', 'copy', 'move' or 'partition'")
+        if (self.method == "partition") != (self.partition_no is not None):
+            raise ValueError("a partition job, and no other, needs a partition_no")
 
     def describe(self) -> str:
         return json.dumps({"job": self.name, "source": self.source, "target": self.target})

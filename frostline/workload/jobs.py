@@ -6,11 +6,14 @@ what the job left behind. The given files are adopted as the source and only rea
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frostline.plans import archive as ar
 from frostline.plans import maintain as mt
-from frostline.plans.runs import FAILED, SKIPPED, RunLog
+from frostline.plans.runs import RunLog
 from frostline.session import scratch_path
 from frostline.sources import files
 from frostline.sources.store import Store
@@ -189,6 +192,94 @@ def archive_move_conflicting_rows(spark, sf):
     return sides[0].unionByName(sides[1])
 
 
+# Orders that a loader adds to the source while a move is under way: old, with new keys.
+LATE = f"SELECT o_orderkey + 100000000 AS o_orderkey FROM orders WHERE {OLD} AND o_orderkey % 10 = 0"
+
+
+def _late(rows, key):
+    return rows.withColumn(key, (F.col(key) + 100_000_000).cast(rows.schema[key].dataType))
+
+
+@query(f"SELECT 'source' AS side, o_orderkey FROM orders WHERE NOT ({OLD}) UNION ALL "
+       f"SELECT 'target', o_orderkey FROM orders WHERE {OLD} UNION ALL "
+       f"SELECT 'target', o_orderkey FROM ({LATE})")
+def archive_move_source_raced(spark, sf):
+    """The source is appended to between the two commits of a move, in 'append' mode: the run
+    is taken up again, another run moves what came meanwhile, and no row goes twice."""
+    root, store = _adopted(spark, sf)
+    job = _job(root, on_duplicate="append")
+    old = store.read().filter(ar.job_predicate(job, store.snapshot().schema))
+    late = _late(old.filter("o_orderkey % 10 = 0"), "o_orderkey")
+    ar.begin_move(spark, job, "first")
+    ar.load_move(spark, job, "first")
+    store.append(late)  # here the first run stops
+    ar.archive_move(spark, job, "second")
+    ar.archive_move(spark, job, "first")
+    sides = [s.read().select(F.lit(n).alias("side"), "o_orderkey")
+             for n, s in (("source", store), ("target", Store(spark, job.target)))]
+    return sides[0].unionByName(sides[1])
+
+
+RACED = f"""
+WITH taken AS (
+  SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey, row_number() OVER (
+    ORDER BY l_orderkey) AS r FROM lineitem WHERE {SHIPPED}) WHERE r <= 3003 GROUP BY 1
+), total AS (
+  SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey FROM lineitem UNION ALL
+    SELECT l_orderkey + 100000000 FROM lineitem WHERE {SHIPPED} AND l_linenumber = 1) GROUP BY 1
+)
+SELECT 'target' AS side, l_orderkey, n AS rows FROM taken UNION ALL
+SELECT 'source', a.l_orderkey, a.n - coalesce(t.n, 0) FROM total a LEFT JOIN taken t
+ON a.l_orderkey = t.l_orderkey WHERE a.n > coalesce(t.n, 0)
+"""
+
+
+@query(RACED)
+def archive_bounded_raced(spark, sf):
+    """Three bounded runs over repeated keys claim their rows while a loader appends, and end in
+    another order than they began."""
+    root, store = _adopted(spark, sf, "lineitem")
+    job = ArchiveJob(
+        name="items", source=store.path, target=f"{root}/archive", filter_column="l_shipdate",
+        where="<= DATEADD(DAY, -1000, GETDATE())", keys=("l_orderkey",), as_of=AS_OF,
+        batch_size=1, max_rows=1001, on_duplicate="append",
+    )
+    old = store.read().filter(ar.job_predicate(job, store.snapshot().schema))
+    late = _late(old.filter("l_linenumber = 1"), "l_orderkey")
+    ar.begin_move(spark, job, "a", bounded=True)
+    store.append(late)
+    ar.begin_move(spark, job, "b", bounded=True)
+    ar.load_move(spark, job, "a")
+    for run in ("c", "b", "a"):
+        ar.archive_bounded(spark, job, run)
+    sides = [s.read().groupBy(F.lit(n).alias("side"), "l_orderkey").agg(F.count(F.lit(1)).alias("rows"))
+             for n, s in (("source", store), ("target", Store(spark, job.target)))]
+    return sides[0].unionByName(sides[1])
+
+
+CLASHING = ("_pno", "_at", "_bounds", "_row", "_file", "bits", "span")
+
+
+@query("SELECT side, o_orderkey, pno, " + ", ".join(f"o_orderkey + {i} AS {c}" for i, c in enumerate(CLASHING))
+       + f" FROM (SELECT CASE WHEN r <= 3000 THEN 'target' ELSE 'source' END AS side, o_orderkey, pno "
+       f"FROM (SELECT o_orderkey, {pno_sql('o_orderdate', YEARS)} AS pno, CASE WHEN {OLD} THEN row_number() "
+       f"OVER (PARTITION BY {OLD} ORDER BY o_orderkey) ELSE 1000000000 END AS r FROM orders))")
+def convert_with_clashing_columns(spark, sf):
+    """A table whose columns bear the names of helper columns is partitioned, and rows of it
+    are moved; every value stays what it was."""
+    root = scratch_path(spark, "job")
+    columns = {c: F.col("o_orderkey") + F.lit(i).cast("bigint") for i, c in enumerate(CLASHING)}
+    store = Store(spark, f"{root}/orders")
+    store.append(table(spark, sf, "orders").withColumns(columns))
+    job = _job(root, batch_size=1000, max_rows=3000)
+    mt.to_partitioned(spark, store.path, by_year(), content=True)
+    Store(spark, job.target).create(store.snapshot().schema, by_year())
+    ar.archive_bounded(spark, job)
+    sides = [_numbered(spark, s).select(F.lit(n).alias("side"), "o_orderkey", "pno", *CLASHING)
+             for n, s in (("source", store), ("target", Store(spark, job.target)))]
+    return sides[0].unionByName(sides[1])
+
+
 PNO = pno_sql("o_orderdate", YEARS)
 
 
@@ -275,18 +366,71 @@ def archive_many_jobs(spark, sf):
     return ar.summarise(log.read())
 
 
-@query("SELECT * FROM (VALUES (3, 2)) AS v(failed, disabled) WHERE (SELECT count(*) FROM orders) > 0")
+def _years(spark, sf, root):
+    """The orders as one table per year."""
+    orders = table(spark, sf, "orders")
+    for start in YEARS[:-1]:
+        edges = [F.lit(f"{int(start[:4]) + i}-01-01").cast("timestamp_ntz") for i in (0, 1)]
+        inside = (F.col("o_orderdate") >= edges[0]) & (F.col("o_orderdate") < edges[1])
+        Store(spark, f"{root}/{start[:4]}").append(orders.filter(inside))
+
+
+# Runs of three tries per year: a year with known keys fails twice and is skipped then; another
+# moves its rows at the first try and finds nothing at the others.
+@query("SELECT job, status, CAST(count(*) AS BIGINT) AS runs, CAST(max(CASE WHEN status = 2 THEN old ELSE 0 "
+       "END) AS BIGINT) AS rows FROM (SELECT y AS job, old, CASE WHEN bad > 0 THEN CASE WHEN try > 2 "
+       "THEN 4 ELSE 3 END WHEN old = 0 OR try > 1 THEN 4 ELSE 2 END AS status FROM (SELECT "
+       "CAST(year(o_orderdate) AS VARCHAR) AS y, count(*) FILTER (WHERE o_orderstatus = 'F') AS old, "
+       "count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT o_orderkey FROM orders WHERE "
+       "o_custkey % 500 = 0 AND o_orderstatus = 'F' AND year(o_orderdate) % 2 = 1)) AS bad FROM orders "
+       "WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '2001-01-01' GROUP BY 1), "
+       "(VALUES (1), (2), (3)) AS t(try)) GROUP BY 1, 2")
 def archive_many_jobs_disabled(spark, sf):
-    """A job that breaks each time is tried three times, and skipped the other two."""
-    root, _ = _adopted(spark, sf)
+    """One job per year moves the finished orders. The archive of the odd years already holds
+    some of their keys, which a job is told to fail at: it is tried twice, then skipped."""
+    root = scratch_path(spark, "job")
+    _years(spark, sf, root)
+    jobs = []
+    for start in YEARS[:-1]:
+        year = start[:4]
+        job = _job(root, name=year, source=f"{root}/{year}", target=f"{root}/archive-{year}",
+                   filter_column="o_orderstatus", where="= 'F'", method="move", on_duplicate="fail", max_failures=2)
+        if int(year) % 2:
+            known = Store(spark, job.source).read().filter("o_custkey % 500 = 0 AND o_orderstatus = 'F'")
+            Store(spark, job.target).append(known)
+        jobs.append(job)
     log = RunLog(spark, f"{root}/runs")
-    broken = _job(root, name="broken", where="< 5; --", max_failures=3)
-    results = [r for _ in range(5) for r in ar.archive_many(spark, [broken], log)]
-    disabled = sum(r.status == SKIPPED for r in results)
-    failed = log.read().filter(F.col("status") == FAILED)
-    return failed.agg(
-        F.count(F.lit(1)).cast("int").alias("failed"), F.lit(disabled).alias("disabled")
-    )
+    results = [r for _ in range(3) for r in ar.archive_many(spark, jobs, log, at_once=3)]
+    runs = spark.createDataFrame([(r.job, r.status, r.rows) for r in results], "job string, status int, rows bigint")
+    return runs.groupBy("job", "status").agg(F.count(F.lit(1)).alias("runs"), F.max("rows").alias("rows"))
+
+
+@query("SELECT job, method, status, rows, target_rows FROM (SELECT 'copy' AS job, 'copy' AS method, "
+       f"2 AS status, CAST(count(*) FILTER (WHERE {OLD}) AS BIGINT) AS rows, "
+       f"CAST(count(*) FILTER (WHERE {OLD}) AS BIGINT) AS target_rows FROM orders UNION ALL "
+       f"SELECT 'move', 'move', 2, count(*) FILTER (WHERE {OLD}), count(*) FILTER (WHERE {OLD}) FROM orders "
+       f"UNION ALL SELECT 'bounded', 'bounded', 2, least(2000, count(*) FILTER (WHERE {OLD})), "
+       f"least(2000, count(*) FILTER (WHERE {OLD})) FROM orders UNION ALL "
+       f"SELECT 'partition', 'partition', 2, count(*) FILTER (WHERE {pno_sql('o_orderdate', YEARS)} = 2), "
+       f"count(*) FILTER (WHERE {pno_sql('o_orderdate', YEARS)} = 2) FROM orders)")
+def archive_many_methods(spark, sf):
+    """Four jobs on four tables, one of each method, side by side."""
+    root = scratch_path(spark, "job")
+    jobs = []
+    for method in ("copy", "move", "bounded", "partition"):
+        store = Store(spark, f"{root}/{method}")
+        store.adopt(f"{sf}/orders.parquet")
+        limits = dict(batch_size=500, max_rows=2000) if method == "bounded" else {}
+        if method == "partition":
+            mt.to_partitioned(spark, store.path, by_year())
+            limits = dict(partition_no=2)
+        jobs.append(_job(root, name=method, method=method, source=store.path, target=f"{root}/{method}-archive", **limits))
+    results = ar.archive_many(spark, jobs, at_once=4)
+    landed = [Store(spark, j.target).read().agg(F.lit(j.name).alias("job"), F.count(F.lit(1)).alias("target_rows"))
+              for j in jobs]
+    told = [(r.job, r.method, r.status, r.rows) for r in results]
+    runs = spark.createDataFrame(told, "job string, method string, status int, rows bigint")
+    return runs.join(reduce(DataFrame.unionByName, landed), "job")
 
 
 # Streams.
