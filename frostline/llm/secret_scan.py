@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,11 @@ NEAR = _near()
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 
 
+DATE_SIZES = (4, 8, 9, 10)
+MOST_PERIOD = 8
+_TWO = math.log10(2)
+
+
 def base_spans(text: str, lowered: str | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns; matches that fall short are dropped."""
     lowered = text.lower() if lowered is None else lowered
@@ -118,56 +124,65 @@ def substrings(value: str) -> set[str]:
     return out
 
 
+def _single(value: str) -> float:
+    """Power of ten of the guesses for one character by brute force."""
+    pool = sum(size for size, has in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(map(has, value)))
+    return math.log10(pool + 33 * any(not c.isalnum() for c in value) or 10)
+
+
+def _way(a: str, b: str):
+    """The direction from a key to one beside it, or along the alphabet; None if neither."""
+    return NEAR.get(a, {}).get(b) or (ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 else None)
+
+
 def guess_cost(value: str, words: dict[str, float]) -> float:
-    """Power of ten of the guesses for the cheapest cut; ``words`` has those of words."""
-    n = len(value)
-    steps: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # start: (end, cost)
+    """Power of ten of the guesses for the cheapest cut; ``words`` has those of words.
+
+    ``best[j]`` is the cheapest cut of the first j characters: its last segment is a single
+    character, a word, a date, a unit of up to eight characters and its repeats, or a walk over
+    the keyboard or the alphabet, each at every start.
+    """
+    n, single = len(value), _single(value)
     lowered = value.lower()
     lowered = lowered if len(lowered) == n else value
     plain = lowered.translate(LEET)
     low, high = WORD_SIZES
-    for i in range(n):
-        for j in range(i + low, min(i + high, n) + 1):
-            for form, extra in ((lowered, 0.0), (plain, math.log10(2))):
+    ways = [None, *(_way(a, b) for a, b in zip(lowered, lowered[1:]))]  # into each character
+    turns = np.zeros(n + 1)  # changes of way up to each character
+    for k in range(2, n):
+        turns[k] = turns[k - 1] + (ways[k] != ways[k - 1])
+    same = np.zeros((MOST_PERIOD + 1, n + 1), np.int64)  # characters before j that repeat one a period before
+    codes = np.array([ord(c) for c in value])
+    for p in range(1, min(MOST_PERIOD, n - 1) + 1):
+        equal = np.concatenate([np.zeros(p, bool), codes[p:] == codes[:-p]])
+        at = np.arange(1, n + 1)
+        same[p, 1:] = at - np.maximum.accumulate(np.where(equal, 0, at))
+    best, walk = np.zeros(n + 1), 0
+    lengths = np.log10(np.maximum(np.arange(n + 2), 1))
+    for j in range(1, n + 1):
+        least = best[j - 1] + single
+        for i in range(max(0, j - high), j - low + 1):
+            for form, extra in ((lowered, 0.0), (plain, _TWO)):
                 if (cost := words.get(form[i:j])) is not None:
-                    capitals = math.log10(2) if value[i:j] != lowered[i:j] else 0.0
-                    steps[i].append((j, cost + extra + capitals))
-    for i in range(n):
-        for m in (DATE.match(value, i),):
-            if m:
-                steps[i].append((m.end(), math.log10(365 * 150) if m.end() - i > 4 else math.log10(150)))
-    pool = sum(size for size, has in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(map(has, value)))
-    single = math.log10(pool + 33 * any(not c.isalnum() for c in value) or 10)
-    for period in range(1, 9):  # a unit of so many characters and its repeats
-        i = 0
-        while i + 2 * period <= n:
-            j = i + period
-            while j < n and value[j] == value[j - period]:
-                j += 1
-            times = (j - i) // period
-            if times * period >= 3 and times >= 2:
-                steps[i].append((i + times * period, period * single + math.log10(times)))
-            i = max(i + 1, j - period)
-    i = 0
-    while i < n - 2:  # neighbours on the keyboard, or in order of the alphabet
-        j, turns, way = i + 1, 0, None
-        while j < n:
-            a, b = lowered[j - 1], lowered[j]
-            step = NEAR.get(a, {}).get(b) or (ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 else None)
-            if step is None:
-                break
-            turns, way = turns + (step != way), step
-            j += 1
-        if j - i >= 3:
-            steps[i].append((j, math.log10(47 * (j - i)) + turns * math.log10(4)))
-        i = max(i + 1, j - 1)
-    best = [0.0] + [math.inf] * n
-    for i in range(n):
-        here = best[i]
-        best[i + 1] = min(best[i + 1], here + single)
-        for end, cost in steps[i]:
-            best[end] = min(best[end], here + cost)
-    return best[n]
+                    capitals = _TWO if value[i:j] != lowered[i:j] else 0.0
+                    least = min(least, best[i] + cost + extra + capitals)
+        if value[j - 1].isdigit():
+            for size in DATE_SIZES:
+                if size <= j and DATE.fullmatch(value, j - size, j):
+                    least = min(least, best[j - size] + math.log10(365 * 150 if size > 4 else 150))
+        for p in range(1, MOST_PERIOD + 1):
+            if same[p, j] >= p:  # the unit and at least one repeat end here
+                times = np.arange(max(2, -(-3 // p)), same[p, j] // p + 2)
+                if len(times):
+                    least = min(least, float((best[j - times * p] + lengths[times]).min()) + p * single)
+        if ways[j - 1] is None:
+            walk = j - 1
+        if j - walk >= 3:
+            starts = np.arange(walk, j - 2)
+            costs = best[starts] + lengths[j - starts] + (1 + turns[j - 1] - turns[starts + 1]) * math.log10(4)
+            least = min(least, float(costs.min()) + math.log10(47))
+        best[j] = least
+    return float(best[n])
 
 
 def _scan(batches):
@@ -291,7 +306,9 @@ def redact(docs: DataFrame, guesses: float = GUESSES, mark: str = "[SECRET]") ->
     Rows without secrets stay as they are, null texts too.
     """
     names = docs.columns
-    found = find_secrets(docs, guesses, tuple(names))
+    # the whole row as one value, so that no column's name can clash
+    packed = docs.select(F.struct(*names).alias("row__"), F.col("text"))
+    found = find_secrets(packed, guesses, ("row__", "text"))
     clean, dirty = found.where(F.size("_spans") == 0), found.where(F.size("_spans") > 0)
 
     def cut(batches):
@@ -304,7 +321,9 @@ def redact(docs: DataFrame, guesses: float = GUESSES, mark: str = "[SECRET]") ->
                         out += [text[at:start], mark]
                     at = max(at, end)
                 texts.append("".join([*out, text[at:]]))
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([batch.column("row__"), pa.array(texts, pa.string())], ["row__", "text"])
 
-    return clean.select(*names).union(dirty.select(*names, "_spans").mapInArrow(cut, docs.schema))
+    schema = packed.schema
+    mended = dirty.select("row__", "text", "_spans").mapInArrow(cut, schema)
+    columns = [F.col("text") if n == "text" else F.col("row__")[n].alias(n) for n in names]
+    return clean.select(*columns).union(mended.select(*columns))
