@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from frostline.llm.common import text_slices, whole_text
+from frostline.functions.names import free_name
+from frostline.llm.common import refuse_names, text_slices, whole_text
 from frostline.llm.pretokens import Pieces
 
 CACHE_PIECES = 300_000
@@ -203,18 +204,21 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
     ids; repeated rows and null ids stay as they are; an empty table gives no rows.
     """
 
+    refuse_names(keep, "ids", "ends")
+    text = free_name("__text__", *keep)
+
     def run(batches):
         cache = PieceCache(merged_pieces(path))
-        for batch in text_slices(batches, "__text__"):
+        for batch in text_slices(batches, text):
             table = pa.Table.from_batches([batch])
-            texts = table["__text__"].to_pylist()
+            texts = table[text].to_pylist()
             encoded = list(encode_texts(texts, cache))
             columns = {c: table[c] for c in keep}
             columns["ids"] = pa.array([i.tobytes() for i, _ in encoded], pa.binary())
             columns["ends"] = pa.array([e.tobytes() for _, e in encoded], pa.binary())
             yield from pa.table(columns).to_batches()
 
-    rows = docs.select(*keep, whole_text(text_col).alias("__text__"))
+    rows = docs.select(*keep, whole_text(text_col).alias(text))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(run, f"{kinds}, ids binary, ends binary")
 

@@ -33,6 +33,13 @@ def parallelism(spark: SparkSession) -> int:
     )
 
 
+def refuse_names(keep, *made: str) -> None:
+    """A column to keep must not be named like one the operator adds."""
+    clash = {n.lower() for n in keep} & {n.lower() for n in made}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are added here; rename them before")
+
+
 SLICE_CHARS = 2_000_000
 
 

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm import pii_model
-from frostline.llm.common import text_slices, whole_text
+from frostline.functions.names import free_name
+from frostline.llm.common import refuse_names, text_slices, whole_text
 from frostline.llm.pii_model import KINDS, TAGS
 
 WINDOW, STRIDE = 64, 32
@@ -225,13 +226,15 @@ def find_personal_data(docs: DataFrame, parameters: dict, keep: tuple[str, ...]
     """
     shared = docs.sparkSession.sparkContext.broadcast(parameters)  # of fixed size
     span = pa.list_(pa.struct([("place", pa.int32()), ("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
+    refuse_names(keep, "base", "spans")
+    column = free_name("__text__", *keep)
 
     def structs(spans):
         return [{"place": KINDS.index(k), "start": s, "kind": k, "end": e} for k, s, e in spans]
 
     def run(batches):
-        for batch in text_slices(batches, "__text__"):
-            texts = batch.column("__text__").to_pylist()
+        for batch in text_slices(batches, column):
+            texts = batch.column(column).to_pylist()
             bases = [base_spans(t) for t in texts]
             more = model_spans(texts, bases, shared.value)
             columns = [batch.column(c) for c in keep]
@@ -239,9 +242,9 @@ def find_personal_data(docs: DataFrame, parameters: dict, keep: tuple[str, ...]
             columns.append(pa.array([structs(b + m) for b, m in zip(bases, more)], span))
             yield pa.RecordBatch.from_arrays(columns, [*keep, "base", "spans"])
 
-    rows = docs.select(*keep, whole_text().alias("__text__"))
+    rows = docs.select(*keep, whole_text().alias(column))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    possible = F.col("__text__").rlike(TRIGGER)
+    possible = F.col(column).rlike(TRIGGER)
     found = rows.where(possible).mapInArrow(run, ", ".join([*kinds, f"base array<{SPAN}>", f"spans array<{SPAN}>"]))
     none = F.array().cast(f"array<{SPAN}>")
     return found.union(rows.where(~possible).select(*keep, none.alias("base"), none.alias("spans")))

@@ -145,9 +145,22 @@ def _both_ways(scores: np.ndarray, m: np.ndarray):
 
 
 def marginals(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The probability of each tag at each place, over all sequences."""
-    ahead, back, total = _both_ways(scores, moves + FORBIDDEN)
-    return np.exp(ahead + back - total[:, None, None])
+    """The probability of each tag at each place, over all sequences.
+
+    Messages are scaled at every step, and the tags of each place to one, so that a stretch may
+    be of any length.
+    """
+    scores, m = scores.astype(np.float64), (moves + FORBIDDEN).astype(np.float64)
+    ahead, back = np.empty_like(scores), np.zeros_like(scores)
+    steps = scores.shape[1]
+    for t in range(steps):
+        here = scores[:, t] + (_logsumexp(ahead[:, t - 1, :, None] + m, 1) if t else 0)
+        ahead[:, t] = here - _logsumexp(here, 1)[:, None]
+    for t in range(steps - 2, -1, -1):
+        here = _logsumexp(m + (scores[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        back[:, t] = here - _logsumexp(here, 1)[:, None]
+    both = ahead + back
+    return np.exp(both - _logsumexp(both, 2)[:, :, None])
 
 
 def crf_gradients(scores: np.ndarray, tags: np.ndarray, moves: np.ndarray):
