@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.common import text_slices
+from frostline.functions.names import free_names
+from frostline.llm.common import refuse_names, text_slices
 from frostline.llm.shingles import shingle_sets, word_hashes
 
 BUCKETS = 1 << 15
@@ -181,7 +182,8 @@ def train(labelled: DataFrame, epochs: int = EPOCHS) -> Model:
             {"bias": [float(m.bias)], "data": [np.concatenate([v.reshape(-1) for v in values]).astype("<f8").tobytes()]}
         )
 
-    found = labelled.coalesce(1).mapInArrow(run, "bias double, data binary").collect()
+    # a shuffle of the picked rows alone: a coalesce would read all documents in the one task
+    found = labelled.repartition(1).mapInArrow(run, "bias double, data binary").collect()
     if not found:
         return fit([], np.zeros(0))
     data = np.frombuffer(found[0]["data"], "<f8")
@@ -211,15 +213,17 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     ids are scored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    refuse_names(keep, "score")
+    text, length = free_names(keep, "__text__", "__n_chars__")
 
     def run(batches):
-        for batch in text_slices(batches, "__text__", SCORE_CHARS):
-            texts = _to_bytes(batch.column("__text__").to_pylist())
-            scores = shared.value.scores(texts, batch.column("__n_chars__").to_pylist())
+        for batch in text_slices(batches, text, SCORE_CHARS):
+            texts = _to_bytes(batch.column(text).to_pylist())
+            scores = shared.value.scores(texts, batch.column(length).to_pylist())
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*keep, "score"])
 
-    rows = docs.select(*keep, F.col("text").alias("__text__"), F.col("n_chars").cast("long").alias("__n_chars__"))
+    rows = docs.select(*keep, F.col("text").alias(text), F.col("n_chars").cast("long").alias(length))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     return rows.mapInArrow(run, ", ".join([*kinds, "score double"]))
 
