@@ -4,8 +4,9 @@ Every document draws an exponential key, divided by its quality weight; the smal
 come first. A source's target is met by complete epochs over all its documents and, for the
 rest, by the documents first in key order, taken whole until their prefix sum reaches it.
 
-The prefix sum never sorts a whole source: keys fall into ranges of about ``RANGE_ROWS``
-documents, ranges are summed, and only the one range in which the budget ends is sorted.
+The prefix sum never sorts a whole source. Quantiles of a source's own keys cut it into steps of
+about equal numbers of documents; their words are summed, and the step in which the budget ends
+is cut again, until it holds few documents. Only those are put in order.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from frostline.session import write_scratch
 
 WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
 MAX_EPOCHS = 3
-RANGE_ROWS = 1_000
+STEPS = 64  # of one round
+FEW = 1_000  # documents that are put in order
 MARKS = "#*$%&|<>!"
 
 
@@ -79,56 +81,80 @@ def source_targets(keys: DataFrame, weights: tuple[int, ...], most: int) -> Data
         "target",
         "epochs",
         (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"),
-        (F.lit(1) + F.floor(F.col("n_docs") / RANGE_ROWS)).cast("long").alias("ranges"),
+        "n_docs",
     )
 
 
 def plan_mix(keys: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
-    """One row per source: its target, its epochs, and the last key taken once more.
-
-    A document is taken once more if its key range ``at`` lies before ``end_at``, or in it
-    with a key up to ``last_key``.
-    """
+    """One row per source: its size, target and epochs, and the last key taken once more."""
     sources = write_scratch(source_targets(keys, weights, most), "mix-sources")
-    # sources come with a size of one row each, so Spark sends them to the keys, not back
-    placed = keys.where("size > 0").join(sources, keys["source"].eqNullSafe(sources["source"])).select(
-        keys["source"], "size", "key", "rest", range_of(F.col("key"), F.col("ranges")).alias("at")
+    # per source the step that holds the end of its budget: keys above ``low``, up to ``high``
+    step = sources.select(
+        F.col("source").alias("of_source"), "rest", "n_docs", F.lit(-1.0).alias("low"),
+        F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("before"),
+    )
+    held = sources.agg(F.max("n_docs")).first()[0] or 0
+    while held > FEW:
+        step = write_scratch(_closer(keys, step), "mix-step")
+        left = step.agg(F.max("n_docs")).first()[0] or 0
+        if 2 * left > held:
+            break  # rows that share a key are not told apart by steps
+        held = left
+    # rows of one key are taken alike, so they count together
+    inside = _inside(keys, step).groupBy("of_source", "key").agg(
+        F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before")
     )
-    sums = placed.groupBy("source", "at").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    so_far = Window.partitionBy("source").orderBy("at")
-    sums = sums.withColumn("before", F.sum("words").over(so_far) - F.col("words"))
-    # the last range that starts before the budget is spent
-    ends = (
-        sums.where(F.col("before") < F.col("rest"))
-        .groupBy(F.col("source").alias("end_source"))
-        .agg(F.max(F.struct("at", "before")).alias("end"))
-        .select("end_source", F.col("end.at").alias("end_at"), F.col("end.before").alias("before"))
-    )
-    ends = write_scratch(ends, "mix-ends")
-    inside = placed.join(ends, F.col("source").eqNullSafe(F.col("end_source")) & (F.col("at") == F.col("end_at")))
-    run = Window.partitionBy("end_source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    middle = 2 * (F.col("before") + F.sum("size").over(run)) - F.col("size")
+    run = Window.partitionBy("of_source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    middle = 2 * (F.col("before") + F.sum("words").over(run)) - F.col("words")
     last = (
         inside.withColumn("in", middle < 2 * F.col("rest"))
-        .groupBy(F.col("end_source").alias("last_source"))
+        .groupBy(F.col("of_source").alias("last_source"))
         .agg(F.max(F.when(F.col("in"), F.col("key"))).alias("last_key"))
     )
-    whole = sources.join(ends.drop("before"), F.col("source").eqNullSafe(F.col("end_source")), "left")
+    whole = sources.join(step.select("of_source", "low"), F.col("source").eqNullSafe(F.col("of_source")))
     whole = whole.join(last, F.col("source").eqNullSafe(F.col("last_source")), "left")
-    names = ("source_size", "target", "epochs", "ranges", "end_at", "last_key")
-    return write_scratch(whole.select(F.col("source").alias("plan_source"), *names), "mix-plan")
-
-
-def range_of(key: Column, ranges: Column) -> Column:
-    """-expm1(-key) maps keys onto (0, 1) without changing their order."""
-    return F.floor(-F.expm1(-key) * ranges).cast("long")
+    cut = F.coalesce("last_key", "low").alias("cut")
+    return write_scratch(whole.select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", cut), "mix-plan")
+
+
+def _inside(keys: DataFrame, step: DataFrame) -> DataFrame:
+    """The documents in their source's step; a row per source is joined to them."""
+    here = keys["source"].eqNullSafe(step["of_source"])
+    rows = keys.where("size > 0").select("source", "size", "key").join(step, here)
+    return rows.where((F.col("key") > F.col("low")) & (F.col("key") <= F.col("high")))
+
+
+def _closer(keys: DataFrame, step: DataFrame) -> DataFrame:
+    """The part of each source's step in which the budget ends."""
+    inside = _inside(keys, step)
+    quantiles = F.percentile_approx("key", [i / STEPS for i in range(1, STEPS)], 20 * STEPS)
+    edges = inside.groupBy(F.col("of_source").alias("edge_source")).agg(F.array_distinct(quantiles).alias("edges"))
+    edges = write_scratch(step.join(edges, F.col("of_source").eqNullSafe(F.col("edge_source")), "left"), "mix-edges")
+    edges = edges.withColumn("edges", F.coalesce("edges", F.array().cast("array<double>"))).drop("edge_source")
+    rows = _inside(keys, edges)
+    at = F.size(F.filter("edges", lambda e: e < F.col("key")))
+    sums = rows.groupBy("of_source", at.alias("at")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("of_source").orderBy("at")
+    sums = sums.withColumn("less", F.sum("words").over(so_far) - F.col("words"))
+    of = F.col("of_source").alias("sum_source")
+    sums = sums.select(of, "at", "less", "n").join(edges, F.col("sum_source").eqNullSafe(F.col("of_source")))
+    # the last part that starts before the budget is spent
+    end = F.max(F.struct("at", "less", "n")).alias("end")
+    ends = sums.where((F.col("before") + F.col("less") < F.col("rest")) | (F.col("at") == 0)).groupBy("sum_source").agg(end)
+    found = edges.join(ends, F.col("of_source").eqNullSafe(F.col("sum_source")), "left")
+    above = F.try_element_at("edges", F.coalesce(F.col("end.at"), F.lit(0)) + 1)
+    below = F.when(F.col("end.at") > 0, F.try_element_at("edges", F.col("end.at")))
+    return found.select(
+        "of_source", "rest", F.coalesce("end.n", F.lit(0)).cast("long").alias("n_docs"),
+        F.coalesce(below, F.col("low")).alias("low"), F.coalesce(above, F.col("high")).alias("high"),
+        (F.col("before") + F.coalesce("end.less", F.lit(0))).cast("long").alias("before"),
+    )
 
 
 def times_taken(keys: DataFrame, plan: DataFrame) -> DataFrame:
     """``keys`` with source_size, target, and how often each document is taken."""
-    at = range_of(F.col("key"), F.col("ranges"))
-    more = (at < F.col("end_at")) | ((at == F.col("end_at")) & (F.col("key") <= F.col("last_key")))
-    times = F.when(F.col("size") > 0, F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(0)
+    more = (F.col("key") <= F.col("cut")).cast("long")
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.coalesce(more, F.lit(0))).otherwise(0)
     joined = keys.join(plan, keys["source"].eqNullSafe(plan["plan_source"]))
     return joined.select(*keys.columns, "source_size", "target", times.cast("long").alias("times"))
 
@@ -149,8 +175,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPO
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: int = 1) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Rows of size 0 (null or empty texts) are never taken. Null ids, null sources, equal rows and
+    empty tables are treated as in ``mix``; no column's name matters.
+    """
     plan = plan_mix(write_scratch(keyed(docs, seed), "mix-keys"), weights, most)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    rows = times_taken(keyed(docs, seed, others), plan).where("times > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_n")).drop("_n")
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row__"))
+    rows = times_taken(keyed(packed, seed, ("row__",)), plan).where("times > 0")
+    rows = rows.select("row__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("n"))
+    return rows.select(*[F.col("row__")[c].alias(c) for c in docs.columns])
