@@ -74,9 +74,11 @@ def intervals(events: DataFrame) -> DataFrame:
 
     ``until`` is the day of the next event and exclusive, null where none follows. Of several
     events of a key on one day a removal counts before an addition, and 'block' before
-    'allow'. Events without a kind, key or day are no entries.
+    'allow'. Events without a kind, key or day are no entries. Hosts and domains are compared in
+    lower case, paths as they are.
     """
     kinds = events.where("kind IS NOT NULL AND key IS NOT NULL AND day IS NOT NULL")
+    kinds = kinds.withColumn("key", F.concat(F.lower(F.regexp_extract("key", "^[^/]*", 0)), F.regexp_extract("key", "/.*$", 0)))
     removed = F.max(F.when(F.col("action") == "remove", 1).otherwise(0))
     blocked = F.max(F.when(F.col("verdict") == "block", 1).otherwise(0))
     daily = kinds.groupBy("kind", "key", "day").agg(removed.alias("removed"), blocked.alias("blocked"))
@@ -130,16 +132,18 @@ def fetch_day(page_id: Column) -> Column:
 
 
 def list_history(pages: DataFrame) -> DataFrame:
-    """List events about the crawl's own domains, hosts and first path segments.
+    """List events about the crawl's own domains, hosts and path prefixes of every depth.
 
     The tables hold no lists, so which keys were listed, and when, is drawn from the keys.
     """
-    sites = pages.select(*site_columns(F.col("url"), 1)).where("host IS NOT NULL").distinct()
-    host, first = F.col("host"), F.col("path")
+    sites = pages.select(host_of(F.col("url")).alias("host"), segments_of(F.col("url")).alias("parts"))
+    sites = sites.where("host IS NOT NULL").distinct()
+    host, parts = F.col("host"), F.col("parts")
     parent = F.regexp_replace(host, r"^[^.]+\.", "")
     hosts = sites.select(F.lit("host").alias("kind"), host.alias("key")).distinct()
     above = sites.where(F.size(F.split(parent, r"\.")) >= 3).select(F.lit("domain").alias("kind"), parent.alias("key"))
-    prefixes = sites.where("path <> ''").select(F.lit("prefix").alias("kind"), F.concat_ws("/", host, first).alias("key"))
+    each = F.transform(parts, lambda _, i: F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i + 1), "/")))
+    prefixes = sites.select(F.lit("prefix").alias("kind"), F.explode(each).alias("key"))
     keys = hosts.union(above.distinct()).union(prefixes.distinct()).withColumn("d", _drawn(F.col("key")))
     rules = (  # kind, every n-th key, day within, days later, action, verdict
         ("host", 3, 200, 0, "add", "block"),
