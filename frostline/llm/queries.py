@@ -95,7 +95,7 @@ WITH named AS (
   SELECT page_id, DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS day,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'),
-                lambda s: s <> '')[1:2] AS parts
+                lambda s: s <> '') AS parts
   FROM pages
 ), keys AS (
   SELECT DISTINCT 'host' AS kind, host AS key FROM named WHERE host IS NOT NULL
@@ -103,7 +103,8 @@ WITH named AS (
   SELECT DISTINCT 'domain', regexp_replace(host, '^[^.]+\.', '') FROM named
   WHERE len(string_split(regexp_replace(host, '^[^.]+\.', ''), '.')) >= 3
   UNION ALL
-  SELECT DISTINCT 'prefix', host || '/' || parts[1] FROM named WHERE host IS NOT NULL AND len(parts) > 0
+  SELECT DISTINCT 'prefix', unnest(list_transform(range(1, len(parts) + 1),
+    lambda i: host || '/' || array_to_string(parts[1:i], '/'))) FROM named WHERE host IS NOT NULL
 ), drawn AS (
   SELECT *, CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) AS d FROM keys
 ), rules(kind, every, within, later, action, verdict) AS (VALUES
@@ -122,8 +123,7 @@ WITH named AS (
   FROM named n JOIN events e ON e.day <= n.day AND (
        e.kind = 'host' AND e.key = n.host
     OR e.kind = 'domain' AND (e.key = n.host OR ends_with(n.host, '.' || e.key))
-    OR e.kind = 'prefix' AND (e.key = n.host || '/' || n.parts[1]
-                              OR e.key = n.host || '/' || n.parts[1] || '/' || n.parts[2]))
+    OR e.kind = 'prefix' AND starts_with(n.host || '/' || array_to_string(n.parts, '/') || '/', e.key || '/'))
 ), active AS (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY weight DESC) AS best,
     count(*) OVER (PARTITION BY page_id) AS n_active
@@ -203,8 +203,8 @@ def op10_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
-  FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
+  FROM (SELECT DISTINCT vec_id, embedding FROM embeddings)
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (

@@ -36,8 +36,8 @@ from frostline.llm.common import parallelism, text_slices, whole_text
 END_ID = 2
 SAMPLE = 512
 BLOCK = 4096  # documents that are written or read together
-CACHED = 300_000  # pieces of each generation of the cache
-GROUP_CHARS = 1_000_000
+CACHED = 600_000  # pieces of each generation of the cache
+GROUP_CHARS = 2_000_000
 SPACE = "\u0120"  # how the vocabulary file writes the byte of a space (fixed value)
 MAGIC = b"EFTOKEN1"
 READ_IDS = 1 << 20

@@ -23,23 +23,40 @@ from frostline.session import write_scratch
 
 BLOCK_ROWS = 65_536
 CHUNK_ROWS = 128
-LIMIT = 2**30  # quantised components are kept within +-LIMIT, so that sums fit 64 bits
+SUM_BITS = 60  # sums of slices and their offsets are kept in 64-bit integers
+
+
+class ScoresTooLarge(ValueError):
+    """Inner products of these vectors may not fit 64-bit integers."""
+
+
+def check_sums(vectors: DataFrame, queries: DataFrame, vector_col: str, scale: int) -> None:
+    """Fails if a product sum can pass ``SUM_BITS`` bits: the longest vector's length times the
+    largest component on either side. Two numbers per side come back."""
+    sides = []
+    for side in (vectors, queries):
+        x = F.col(vector_col)
+        largest = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))
+        sides.append(side.where(_takes_part(x)).agg(F.max(largest), F.max(F.size(x))).first())
+    (a, n), (b, m) = sides
+    if a is not None and b is not None and (a * scale + 1) * (b * scale + 1) * min(n, m) >= 2.0**SUM_BITS:
+        raise ScoresTooLarge(f"components up to {a} and {b} in {min(n, m)} dimensions, times {scale} each")
+
+
+def _takes_part(x):
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    return x.isNotNull() & finite
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, q): floor(scale * x) per component, for the vectors that take part."""
     x = F.col(vector_col)
-    finite = F.forall(
-        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))
-    )
-    whole = F.transform(
-        x, lambda v: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(v.cast("double") * scale))).cast("long")
-    )
+    whole = F.transform("x", lambda v: F.floor(v.cast("double") * scale).cast("long"))
     return (
-        vectors.where(F.col(id_col).isNotNull() & x.isNotNull())
-        .where(finite)
-        .select(F.col(id_col).cast("long").alias("id"), whole.alias("q"))
-        .dropDuplicates(["id", "q"])
+        vectors.where(F.col(id_col).isNotNull() & _takes_part(x))
+        .select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+        .dropDuplicates(["id", "x"])
+        .select("id", whole.alias("q"))
     )
 
 
@@ -229,9 +246,11 @@ def top_k(
     fewer candidates than k all are returned. Rows without an id, and vectors that are null
     or hold a null or non-finite component, take no part. Equal rows count once; rows that
     share an id but not the vector are ranked each by itself. Vectors of other lengths are
-    compared over the length they share. Empty tables give an empty result.
+    compared over the length they share. Components so large that a score may pass 60 bits are
+    an error (``ScoresTooLarge``), never a wrong score. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
+    check_sums(vectors, queries, vector_col, scale)
     rows = write_scratch(quantise(vectors, id_col, vector_col, scale), "vectors")
     asked = quantise(queries, id_col, vector_col, scale)
     n_rows, n_asked = rows.count(), asked.count()

@@ -8,6 +8,7 @@ from datetime import date
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from frostline.llm import bpe, factorisation, mixing, topk_bitsliced, url_lists
@@ -27,7 +28,7 @@ def test_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert "shingles" in OP5_SQL
 
 
@@ -83,7 +84,7 @@ def _mixture_rows():
 
 
 def test_mixture(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
+    monkeypatch.setattr(mixing, "FEW", 20)
     table = _mixture_rows()
     found = mixing.mix(spark.createDataFrame(table, DOCS)).collect()
     wanted, target, size = mixed(table)
@@ -134,7 +135,7 @@ def test_url_lists(spark):
         m = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)[^/?#]*(/[^?#]*)?", url or "")
         if not m or when is None:
             return 0, None, False
-        host, parts = m[1].lower(), [p for p in (m[2] or "").split("/") if p][:2]
+        host, parts = m[1].lower(), [p for p in (m[2] or "").split("/") if p]
         labels = host.split(".")
         keys = [("domain", ".".join(labels[-k:]), k) for k in range(2, len(labels) + 1)] + [("host", host, 1000)]
         keys += [("prefix", "/".join([host, *parts[: k + 1]]), 1001 + k) for k in range(len(parts))]
@@ -155,6 +156,52 @@ def test_url_lists(spark):
     assert not any(r.blocked for r in url_lists.evaluate(asked, entries.limit(0), keep=("page_id",)).collect())
 
 
+def test_keys_in_any_case(spark):
+    events = [("host", "A.com", "block"), ("prefix", "B.org/Path", "block"), ("domain", "C.Net", "block")]
+    entries = spark.createDataFrame([(k, key, date(2024, 1, 1), "add", v) for k, key, v in events], "kind string, key string, day date, action string, verdict string")
+    urls = {"http://a.com/": True, "http://b.ORG/Path/x": True, "http://b.org/path": False, "http://x.c.net": True}
+    asked = spark.createDataFrame([(u, date(2024, 1, 2)) for u in urls], "url string, fetched date")
+    assert {r.url: r.blocked for r in url_lists.evaluate(asked, entries, keep=("url",)).collect()} == urls
+
+
+def test_large_components_are_exact_or_refused(spark):
+    one = spark.createDataFrame([(0, [1.0]), (1, [2.0**24]), (2, [2.0**25]), (3, [2.0**26])], "vec_id long, embedding array<double>")
+    found = topk_bitsliced.top_k(one, one.where("vec_id = 0")).collect()
+    assert [(r.vec_id, r.score) for r in found] == [(3, 2**38), (2, 2**37), (1, 2**36)]
+    wide = spark.createDataFrame([(0, [2.0**24] * 16), (1, [2.0**24] * 16)], "vec_id long, embedding array<double>")
+    with pytest.raises(topk_bitsliced.ScoresTooLarge):
+        topk_bitsliced.top_k(wide, wide)
+    near = spark.createDataFrame([(5, [1.001]), (5, [1.002]), (5, [1.002]), (6, [1.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk_bitsliced.top_k(near, near.where("vec_id = 6")).collect()] == [5, 5]
+
+
+def test_mixture_of_texts_full_of_marks(spark):
+    """Keys far from those of plain prose: their steps are as even as any."""
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("x "), F.repeat(F.lit("#"), 60)).alias("text")
+    )
+    docs = docs.union(spark.range(5_000).select(F.col("id") + 50_000, F.lit("t"), F.lit("plain words here")))
+    keys = mixing.keyed(docs, 1).cache()
+    sources = mixing.source_targets(keys, mixing.WEIGHTS, mixing.MAX_EPOCHS)
+    step = sources.select(
+        F.col("source").alias("of_source"), "rest", "n_docs", F.lit(-1.0).alias("low"),
+        F.lit(float("inf")).alias("high"), F.lit(0).cast("long").alias("before"),
+    )
+    assert mixing._closer(keys, step).agg(F.max("n_docs")).first()[0] < 1_000
+    found = mixing.mix(docs).groupBy("doc_id", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    for r in found.groupBy((F.col("doc_id") < 50_000).alias("s")).agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 3
+
+
+def test_fitting_task_reads_the_picked_rows_only(spark, plan):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    assert "Coalesce" not in plan(factorisation.training_rows(docs, labels).repartition(1))
+    import inspect
+
+    assert "coalesce(1)" not in inspect.getsource(factorisation.train).split('"""')[-1]
+
+
 def test_deep_url_prefixes(spark):
     deep = "/".join(f"s{n}" for n in range(40))
     events = [

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from frostline.llm import pii, pii_model, quality_rules, secret_scan
 from frostline.llm.queries import QUERIES
 from tests.llm.helpers import DOCS, documents, empty, prose, rows, sha, words
@@ -185,45 +187,115 @@ def test_covered_by_several_spans():
 
 
 def slow_cost(value, word_costs):
-    """The cheapest cut by trying all segments, words and single characters only."""
-    pool = sum(n for n, f in ((26, str.islower), (26, str.isupper), (10, str.isdigit)) if any(map(f, value)))
-    single = math.log10(pool + 33 * any(not c.isalnum() for c in value))
-    if not value:
-        return 0.0
-    best = single * len(value)
-    for i in range(len(value)):
-        for j in range(i + 1, len(value) + 1):
-            if value[i:j] in word_costs:
-                left = slow_cost_part(value[:i], word_costs, single) + word_costs[value[i:j]]
-                best = min(best, left + slow_cost_part(value[j:], word_costs, single))
-    return best
-
-
-def slow_cost_part(value, word_costs, single):
-    best = single * len(value)
-    for i in range(len(value)):
-        for j in range(i + 1, len(value) + 1):
-            if value[i:j] in word_costs:
-                best = min(
-                    best,
-                    slow_cost_part(value[:i], word_costs, single) + word_costs[value[i:j]] + slow_cost_part(value[j:], word_costs, single),
-                )
-    return best
-
-
-def test_guess_cost():
-    costs = {"kez": 1.0, "zkem": 2.5, "mik": 0.5, "kem": 3.0}
+    """The cheapest cut by recursion over all segments of all five kinds."""
+    low = value.lower()
+    single = secret_scan._single(value)
+    rows = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+    place = {c: (r, i) for r, row in enumerate(rows) for i, c in enumerate(row)}
+
+    def way(a, b):
+        if a in place and b in place:
+            (r, i), (q, j) = place[a], place[b]
+            if (r == q and abs(i - j) == 1) or (abs(r - q) == 1 and (j - i) * (r - q) in (0, 1)):
+                return q - r, j - i
+        return ord(b) - ord(a) if abs(ord(b) - ord(a)) == 1 else None
+
+    def segment(i, j):
+        found, part, n = [], value[i:j], j - i
+        if n == 1:
+            found.append(single)
+        for form, extra in ((low, 0.0), (low.translate(secret_scan.LEET), math.log10(2))):
+            if 3 <= n <= 20 and form[i:j] in word_costs:
+                found.append(word_costs[form[i:j]] + extra + math.log10(2) * (part != low[i:j]))
+        if secret_scan.DATE.fullmatch(part):
+            found.append(math.log10(365 * 150 if n > 4 else 150))
+        for p in range(1, 9):
+            if n % p == 0 and n // p >= 2 and n >= 3 and part == part[:p] * (n // p):
+                found.append(p * single + math.log10(n // p))
+        ways = [way(a, b) for a, b in zip(low[i:j], low[i + 1 : j])]
+        if n >= 3 and None not in ways:
+            changes = sum(a != b for a, b in zip(ways, ways[1:]))
+            found.append(math.log10(47 * n) + (1 + changes) * math.log10(4))
+        return min(found, default=math.inf)
+
+    best = {len(value): 0.0}
+    for i in reversed(range(len(value))):
+        best[i] = min(segment(i, j) + best[j] for j in range(i + 1, len(value) + 1))
+    return best[0]
+
+
+def test_guess_cost_is_that_of_the_cheapest_cut():
+    costs = {"kez": 1.0, "zkem": 2.5, "mik": 0.5, "kem": 3.0, "hospital": 5.0, "apple": 3.5, "ase": 1.1}
     rng = random.Random(2)
-    for _ in range(60):
-        value = "".join(rng.choice(["kez", "m", "k", "ik", "e", "z"]) for _ in range(4))[:9]
-        plain = secret_scan.guess_cost(value, costs)
-        assert plain <= slow_cost(value, costs) + 1e-9
+    parts = ["kez", "m", "k", "ik", "e", "Z", "qwe", "rty", "aaaa", "abab", "1999", "2019-03-04", "a$e", "fed", "12", "9x", "Kem", "é"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    values += ["".join(rng.choice("abc123qw") for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    for value in [*values, "qwertyhospital", "aaaapple", "04032019x", "a" * 40, "abcabcabc"]:
+        assert math.isclose(secret_scan.guess_cost(value, costs), slow_cost(value, costs), abs_tol=1e-9), value
+    assert secret_scan.guess_cost("qwertyhospital", costs) < 9
+    assert secret_scan.guess_cost("aaaapple", costs) < 6
     assert secret_scan.guess_cost("a" * 12, {}) < 4
     assert secret_scan.guess_cost("qwertyuiop", {}) < 6
     assert secret_scan.guess_cost("20190304", {}) < 5
     assert secret_scan.guess_cost("9f8aK2lQz7Pw", {}) > 15
 
 
+def test_marginals_and_viterbi_against_all_sequences():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    moves = rng.normal(size=(pii_model.TAGS, pii_model.TAGS)).astype(np.float32)
+    scores = rng.normal(size=(1, 4, pii_model.TAGS)).astype(np.float32)
+    m = moves + pii_model.FORBIDDEN
+    sums, best = np.zeros((4, pii_model.TAGS)), (-np.inf, None)
+    for tags in itertools.product(range(pii_model.TAGS), repeat=4):
+        value = sum(scores[0, t, y] for t, y in enumerate(tags)) + sum(m[a, b] for a, b in zip(tags, tags[1:]))
+        best = max(best, (value, tags))
+        for t, y in enumerate(tags):
+            sums[t, y] += np.exp(value)
+    assert np.allclose(pii_model.marginals(scores, moves)[0], sums / sums.sum(axis=1, keepdims=True), atol=1e-6)
+    assert tuple(pii_model.viterbi(scores, moves)[0]) == best[1]
+
+
+def test_marginals_of_a_very_long_stretch():
+    rng = np.random.default_rng(4)
+    moves = rng.normal(size=(pii_model.TAGS, pii_model.TAGS)).astype(np.float32)
+    once = (5 * rng.normal(size=(1, 200, pii_model.TAGS))).astype(np.float32)
+    sure = pii_model.marginals(np.tile(once, (1, 500, 1)), moves)
+    assert np.isfinite(sure).all() and np.allclose(sure.sum(axis=2), 1)
+    short = pii_model.marginals(np.tile(once, (1, 3, 1)), moves)  # far from the ends alike
+    assert np.allclose(sure[0, 200:400], short[0, 200:400], atol=1e-4)
+
+
+def test_names_that_clash(spark):
+    import pytest
+
+    from frostline.llm import bpe, factorisation, mixing
+    from frostline.llm.queries import vocabulary
+
+    text = "my password = hunter2hunter2x and more plain words to fill the line"
+    rows_ = spark.createDataFrame([(1, text, "a", 5), (2, "plain words", "b", 5)], "doc_id long, text string, source string, n_chars long")
+    names = ("_row", "_base", "_spans", "row__", "size", "target", "key", "times", "__text__", "cut", "ids_", "n")
+    for c in names:
+        rows_ = rows_.withColumn(c, F.col("doc_id") + 7)
+    for found in (secret_scan.redact(rows_), mixing.mixed_documents(rows_)):
+        assert found.columns == rows_.columns
+        assert all(r[c] == r.doc_id + 7 for r in found.collect() for c in names)
+    p = pii.train(rows_, steps=1)
+    found = pii.find_personal_data(rows_, p, keep=("doc_id", "__text__")).collect()
+    assert all(r["__text__"] == r.doc_id + 7 for r in found)
+    model = factorisation.fit([], np.zeros(0))
+    scored = factorisation.score(rows_.withColumn("__n_chars__", F.lit(3)), model, keep=("__n_chars__", "__text__"))
+    assert {tuple(r)[:2] for r in scored.collect()} == {(3, 8), (3, 9)}
+    encoded = bpe.encode(rows_, vocabulary("byte_bpe_multi_50k.tiktoken"), keep=("doc_id", "__text__"))
+    assert all(r["__text__"] == r.doc_id + 7 for r in encoded.collect())
+    clash = rows_.withColumns({"ids": F.lit(1), "score": F.lit(1)})
+    with pytest.raises(ValueError):
+        bpe.encode(clash, vocabulary("byte_bpe_multi_50k.tiktoken"), keep=("ids",))
+    with pytest.raises(ValueError):
+        factorisation.score(clash, model, keep=("score",))
+
+
 PERSONAL = [
     "mail a.b+c@x-y.example.com, a@b.c@d.e or @x.y a@b a@b.c.",
     "ip 1.2.3.4.5.6.7.8 256.1.1.1 010.001.1.255 1.2.3 " + "1" * 5000 + ".1.1.1",
