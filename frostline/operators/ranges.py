@@ -87,9 +87,9 @@ def with_partition_no(df: DataFrame, spec: PartitionSpec, name: str = "_pno") ->
     return out.withColumn(name, F.expr(f"CAST({at} + 1 AS INT)")).drop(bounds, at)
 
 
-def partition_predicate(spec: PartitionSpec, number: int) -> Column:
-    """Bounds of one partition as a predicate the scan can push down."""
-    lower, upper = spec.bounds(number)
+def partition_predicate(spec: PartitionSpec, number: int, last: int | None = None) -> Column:
+    """Bounds of a partition, or of several in a row, as a predicate the scan can push down."""
+    lower, upper = spec.bounds(number)[0], spec.bounds(last or number)[1]
     value = F.col(spec.column)
     parts = []
     if lower is not None:
@@ -140,12 +140,19 @@ def partition_list(spark: SparkSession, spec: PartitionSpec) -> DataFrame:
     )
 
 
-def _counted(df: DataFrame, spec: PartitionSpec) -> DataFrame:
-    """The partition list with row counts; both sides have at most k + 1 rows."""
+def _counted(df: DataFrame, spec: PartitionSpec, chosen=None) -> DataFrame:
+    """The partition list with row counts; both sides have at most k + 1 rows.
+
+    ``chosen`` names the partitions wanted: then the scan is bounded by the first and the last.
+    """
+    listed = partition_list(df.sparkSession, spec)
+    if chosen is not None:
+        listed = listed.filter(F.col("partition_number").isin(*chosen))
+        inside = partition_predicate(spec, min(chosen), max(chosen)) if chosen else F.lit(False)
+        df = df.filter(inside)
     counts = F.broadcast(partition_rows(df, spec))
     return (
-        partition_list(df.sparkSession, spec)
-        .join(counts, "partition_number", "left")
+        listed.join(counts, "partition_number", "left")
         .withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
     )
 
@@ -319,10 +326,11 @@ def merge_impact(df: DataFrame, spec: PartitionSpec, key=None) -> DataFrame:
     Boundary i separates partitions i and i + 1.
     """
     by_number = Window.orderBy("partition_number")  # at most k + 1 rows
-    pairs = (
-        _counted(df, spec)
+    left = None if key is None else spec.boundary_index(key) + 1
+    return (
+        _counted(df, spec, None if key is None else [left, left + 1])
         .withColumn("right_rows", F.lead("row_count").over(by_number))
-        .filter(F.col("upper_bound").isNotNull())
+        .filter(F.col("upper_bound").isNotNull() if key is None else F.col("partition_number") == left)
         .select(
             "sort_key",
             F.col("upper_bound").alias("boundary"),
@@ -334,15 +342,13 @@ def merge_impact(df: DataFrame, spec: PartitionSpec, key=None) -> DataFrame:
             ((F.col("row_count") == 0) | (F.col("right_rows") == 0)).alias("blocked"),
         )
     )
-    if key is None:
-        return pairs
-    return pairs.filter(F.col("left_partition") == spec.boundary_index(key) + 1)
 
 
 def safety(df: DataFrame, spec: PartitionSpec, key=None) -> DataFrame:
     """Whether each partition still holds data and so must be staged out first."""
     has_data = F.col("row_count") > 0
-    report = _counted(df, spec).select(
+    known = key is not None and str(key).isdigit() and 1 <= int(key) <= spec.partition_count
+    report = _counted(df, spec, [int(key)] if known else None).select(
         F.col("sort_key").alias("boundary_key"),
         "row_count",
         has_data.alias("has_data"),
@@ -353,7 +359,7 @@ def safety(df: DataFrame, spec: PartitionSpec, key=None) -> DataFrame:
     )
     if key is None:
         return report
-    if str(key).isdigit() and 1 <= int(key) <= spec.partition_count:
+    if known:
         return report.filter(F.col("boundary_key") == key)
     return df.sparkSession.range(1).select(
         F.lit(key).alias("boundary_key"),
@@ -370,12 +376,15 @@ def partitions_to_archive(df: DataFrame, spec: PartitionSpec, condition) -> Data
     ``condition`` gets the boundary as a typed column and returns a Column.
     """
     typed = F.col("upper_bound").try_cast(spec.kind.spark_type)
-    chosen = F.col("upper_bound").isNotNull() & condition(typed)
-    return (
-        _counted(df, spec)
-        .filter(chosen)
-        .select("partition_number", "boundary_value", "row_count")
-    )
+    chosen = _numbers_where(df, spec, F.col("upper_bound").isNotNull() & condition(typed))
+    return _counted(df, spec, chosen).select("partition_number", "boundary_value", "row_count")
+
+
+def _numbers_where(df: DataFrame, spec: PartitionSpec, chosen: Column) -> list[int]:
+    """Numbers of the partitions whose bounds meet a condition, from the list alone (at most
+    k + 1 rows), so that the table is read for these only."""
+    listed = partition_list(df.sparkSession, spec).filter(chosen).select("partition_number")
+    return [r["partition_number"] for r in listed.collect()]
 
 
 def find_partition(df: DataFrame, spec: PartitionSpec, key) -> DataFrame:
@@ -409,8 +418,9 @@ def expired_partitions(df: DataFrame, spec: PartitionSpec, keep: Retention, as_o
     ``keep_latest`` ranks the non-empty partitions from the newest; ``keep_days``
     expires a partition once its upper bound is that many days before ``as_of``.
     """
-    filled = _counted(df, spec).filter(F.col("row_count") > 0)
+    has_rows = F.col("row_count") > 0
     if keep.keep_latest is not None:
+        filled = _counted(df, spec).filter(has_rows)
         newest = Window.orderBy(F.desc("partition_number"))  # at most k + 1 rows
         expired = filled.withColumn("_age", F.row_number().over(newest)).filter(
             F.col("_age") > keep.keep_latest
@@ -420,7 +430,8 @@ def expired_partitions(df: DataFrame, spec: PartitionSpec, keep: Retention, as_o
             raise ValueError("keep_days needs a date boundary and as_of")
         cutoff = as_of - timedelta(days=keep.keep_days)
         edge = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")
-        expired = filled.filter(F.col("upper_bound").cast("timestamp_ntz") <= edge)
+        old = _numbers_where(df, spec, F.col("upper_bound").cast("timestamp_ntz") <= edge)
+        expired = _counted(df, spec, old).filter(has_rows)
     return expired.select("partition_number", "boundary_value", "row_count")
 
 

@@ -183,6 +183,16 @@ def merge_impact(spark, sf):
     return rg.merge_impact(table(spark, sf, "orders"), _wide())
 
 
+@query("SELECT '0004' AS sort_key, '1998-01-01 00:00:00.0000000' AS boundary, "
+       "CAST(4 AS INTEGER) AS left_partition, CAST(5 AS INTEGER) AS right_partition, l AS left_rows, "
+       "r AS right_rows, CAST(l + r AS BIGINT) AS merged_rows, l = 0 OR r = 0 AS blocked FROM (SELECT "
+       "CAST(count(*) FILTER (o_orderdate < TIMESTAMP '1998-01-01') AS BIGINT) AS l, "
+       "CAST(count(*) FILTER (o_orderdate >= TIMESTAMP '1998-01-01') AS BIGINT) AS r FROM orders "
+       "WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1999-01-01')")
+def merge_impact_of_boundary(spark, sf):
+    return rg.merge_impact(table(spark, sf, "orders"), _wide(), "0004")
+
+
 @query(_detail(WIDE_LIST, WIDE_PNO,
                "lpad(CAST(n AS VARCHAR), 4, '0') AS boundary_key, "
                "CAST(coalesce(c, 0) AS BIGINT) AS row_count, coalesce(c, 0) > 0 AS has_data, "

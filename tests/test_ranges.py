@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline.operators import ranges as rg
-from frostline.spec import PartitionSpec, ValueKind
+from frostline.spec import PartitionSpec, Retention, ValueKind
 
 ORDERS = "/root/testdata/sf0.001/orders.parquet"
 
@@ -98,6 +98,33 @@ def test_merge_guard(spark):
     assert (row.left_rows, row.right_rows, row.merged_rows, row.blocked) == (0, 5, 5, True)
 
 
+def test_reports_on_some_partitions_read_those_only(spark, plan):
+    """A merge at one boundary reads both sides, retention what can expire."""
+    orders = spark.read.parquet(ORDERS)
+    years = tuple(f"{y}-01-01" for y in range(1996, 2002))
+    spec = PartitionSpec("o_orderdate", ValueKind.DATETIME2, years)
+    cut = lambda b: b < F.lit("1998-06-01").cast("timestamp_ntz")
+    keep = Retention(keep_days=1)
+    reports = [
+        ("1998-01-01", rg.merge_impact(orders, spec, "0002")),  # partitions 2 and 3
+        ("1997-01-01", rg.safety(orders, spec, "0002")),
+        ("1998-01-01", rg.partitions_to_archive(orders, spec, cut)),
+        ("2000-01-01", rg.expired_partitions(orders, spec, keep, datetime(2000, 1, 2))),
+    ]
+    for upper, report in reports:
+        pushed = [x for x in plan(report).splitlines() if "PushedFilters" in x]
+        assert pushed and all(f"LessThan(o_orderdate,{upper}" in x for x in pushed), pushed
+
+
+def test_no_partition_chosen_gives_no_rows(spark):
+    df = spark.createDataFrame([(datetime(2024, 5, 1),), (None,)], "d timestamp_ntz")
+    spec = PartitionSpec("d", ValueKind.DATE, ("2024-01-01",))
+    never = rg.partitions_to_archive(df, spec, lambda b: F.lit(False))
+    assert never.collect() == []
+    first = rg.partitions_to_archive(df, spec, lambda b: F.lit(True)).collect()
+    assert [(r.partition_number, r.row_count) for r in first] == [(1, 1)]  # NULLs lie in 1
+
+
 def test_numeric_steps():
     assert list(rg.numeric_steps(0, 30, 10)) == [10, 20, 30]
     assert list(rg.numeric_steps(0, 30, 10, include_end=False)) == [10, 20]
