@@ -198,11 +198,11 @@ class Store:
 
     # Versions.
 
-    def _commits(self) -> str:
+    def commits_path(self) -> str:
         return f"{self.path}/_commits"
 
     def versions(self) -> list[int]:
-        found = paths.names(self.spark, self._commits())
+        found = paths.names(self.spark, self.commits_path())
         return sorted(int(n[:-5]) for n in found if n.endswith(".json") and n[:-5].isdigit())
 
     def exists(self) -> bool:
@@ -213,14 +213,14 @@ class Store:
         if not found:
             raise FileNotFoundError(f"no table at {self.path}")
         chosen = found[-1] if version is None else version
-        text = paths.read_text(self.spark, f"{self._commits()}/{chosen:020d}.json")
+        text = paths.read_text(self.spark, f"{self.commits_path()}/{chosen:020d}.json")
         return Snapshot.from_json(text)
 
     def commit(self, changed: Snapshot) -> Snapshot:
         """Publish a changed snapshot as the version after the one it came from."""
         nxt = replace(changed, version=changed.version + 1)
-        draft = f"{self._commits()}/.draft-{uuid.uuid4().hex}"
-        place = f"{self._commits()}/{nxt.version:020d}.json"
+        draft = f"{self.commits_path()}/.draft-{uuid.uuid4().hex}"
+        place = f"{self.commits_path()}/{nxt.version:020d}.json"
         if not paths.write_once(self.spark, draft, place, nxt.to_json()):
             raise CommitConflict(f"{self.path} has moved past version {changed.version}")
         return nxt

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from datetime import datetime
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from frostline.operators.checks import guard_duplicates
 from frostline.operators.joins import within_keys_of
-from frostline.plans.archive import job_predicate
+from frostline.plans.archive import archive_bounded, archive_move, job_predicate
 from frostline.sources import paths
 from frostline.sources.store import Store
 from frostline.spec import ArchiveJob
@@ -64,6 +65,48 @@ def archive_stream(stream: DataFrame, job: ArchiveJob, checkpoint: str, interval
     return writer.trigger(processingTime=interval).start()
 
 
+def move_stream(
+    spark: SparkSession, job: ArchiveJob, checkpoint: str, interval=None, moves_per_tick=None
+):
+    """Move matching rows of a stored table to its target as they come.
+
+    The table's own list of commits is the stream: a new version starts a tick, and a tick is a
+    series of bounded moves of at most ``job.max_rows`` rows (one move of all matching rows where
+    that is unset), ended by one that finds nothing left or after ``moves_per_tick``. A move is
+    a commit too, so a backlog left by that limit starts the next tick by itself; the stream
+    comes to rest once a tick finds no row.
+
+    A move's run id comes from the checkpoint, the tick and its place in the tick: a replayed
+    tick takes up the very moves it had begun and adds nothing twice.
+
+    ``interval`` keeps the query running; without it, it works off the commits that are there in
+    one tick and ends, and a backlog waits for the next start. Moves always begin with the newest
+    version. Jobs that keep their source rows are for ``archive_stream``.
+    """
+    if not job.delete_source:
+        raise ValueError("a moving stream needs a job that deletes its source rows")
+    if moves_per_tick is not None and moves_per_tick < 1:
+        raise ValueError("moves_per_tick must be positive, or None for no limit")
+    source = Store(spark, job.source)
+    source.snapshot()  # there must be a table
+    origin = f"{job.name}-{zlib.crc32(checkpoint.encode()):08x}"
+    move = archive_move if job.max_rows is None else archive_bounded
+
+    def tick(commits: DataFrame, number: int) -> None:
+        for place in count():
+            result = move(spark, job, f"{origin}-{number}-{place}")
+            if not result.rows_left or place + 1 == moves_per_tick:
+                return
+
+    # Only that there are new commits matters, not what they say: no commit is read.
+    commits = spark.readStream.schema("value string").option("pathGlobFilter", "[0-9]*.json")
+    writer = commits.text(source.commits_path()).writeStream.foreachBatch(tick)
+    writer = writer.option("checkpointLocation", checkpoint)
+    if interval is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=interval).start()
+
+
 def stale_stream(
     beats: DataFrame, *, task, ts, status, terminal=(), timeout="5 minutes", delay
 ) -> DataFrame:

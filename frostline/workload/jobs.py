@@ -446,6 +446,25 @@ def archive_stream(spark, sf):
     return Store(spark, job.target).read()
 
 
+@query(f"SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN {OLD} THEN 'target' ELSE 'source' "
+       "END AS side FROM orders")
+def archive_stream_moved(spark, sf):
+    """Half of the table comes, then the other, each worked off by bounded moves."""
+    root = scratch_path(spark, "stream-moved")
+    orders = table(spark, sf, "orders")
+    budget = max(1, orders.count() // 6)
+    job = _job(root, max_rows=budget, batch_size=min(budget, 5_000))
+    source = Store(spark, job.source)
+    for half in (0, 1):
+        source.append(orders.filter(F.pmod("o_orderkey", F.lit(2)) == half))
+        streams.move_stream(spark, job, f"{root}/checkpoint").awaitTermination()
+    both = [
+        store.read().select("o_orderkey", "o_custkey", "o_totalprice", F.lit(side).alias("side"))
+        for store, side in ((source, "source"), (Store(spark, job.target), "target"))
+    ]
+    return both[0].unionByName(both[1])
+
+
 def _drained(stream, root):
     """Everything a query emits until its source is worked off."""
     (
@@ -483,6 +502,42 @@ def stale_heartbeat_stream(spark, sf):
     )
 
 
+SLICES = 6
+JITTER = 600  # seconds
+
+
+@query("WITH w AS (SELECT max(ts) AS top, (CAST(floor(epoch(max(ts))) AS BIGINT) - "
+       f"CAST(floor(epoch(min(ts))) AS BIGINT)) // {SLICES} + 1 + {2 * JITTER} AS delay FROM events) "
+       "SELECT user_id, last_heartbeat, last_heartbeat + INTERVAL 5 MINUTE AS stale_at, "
+       "last_status, heartbeats FROM (SELECT user_id, max(ts) AS last_heartbeat, "
+       "arg_max(event_type, ts) AS last_status, CAST(count(*) AS BIGINT) AS heartbeats FROM ("
+       "SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 5 MINUTE THEN 1 ELSE 0 END) OVER ("
+       "PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, ts - lag(ts) OVER ("
+       "PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY user_id, s), w "
+       "WHERE last_heartbeat + INTERVAL 5 MINUTE <= top - to_seconds(delay) "
+       "AND last_status NOT IN ('purchase', 'error')")
+def stale_heartbeat_ticks(spark, sf):
+    """The heartbeats come in slices of time, out of order within and across them, a file a tick;
+    the delay covers that disorder, so no beat is late."""
+    root = scratch_path(spark, "stale-ticks")
+    events = table(spark, sf, "events").withColumn("ts", F.to_timestamp("ts"))
+    seconds = F.unix_timestamp("ts")
+    low, high = events.agg(F.min(seconds), F.max(seconds)).first()
+    width = (high - low) // SLICES + 1
+    came = F.floor((seconds + F.pmod("event_id", F.lit(JITTER)) - low) / width)
+    for number in range(SLICES + 1):  # the files' times give their order; the last holds a rest
+        part = events.filter(F.least(came, F.lit(SLICES)) == number)
+        part.write.mode("append").parquet(f"{root}/beats")
+    stale = streams.stale_stream(
+        streams.file_stream(spark, f"{root}/beats", events.schema, 1),
+        task="user_id", ts="ts", status="event_type", terminal=("purchase", "error"),
+        delay=f"{width + 2 * JITTER} seconds",
+    )
+    return _drained(stale, root).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("last_heartbeat", "stale_at")}
+    )
+
+
 @query("SELECT * FROM events WHERE user_id = 5 AND ts >= TIMESTAMP '2024-01-12'")
 def tail_log_stream(spark, sf):
     events = table(spark, sf, "events")

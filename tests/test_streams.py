@@ -113,3 +113,93 @@ def test_tables_stream_as_a_file_or_a_folder(spark, tmp_path):
         query = stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
         query.awaitTermination()
         assert sorted(r.id for r in spark.table(name).collect()) == list(range(120))
+
+
+@pytest.fixture
+def mover(spark, tmp_path):
+    job = ArchiveJob("m", str(tmp_path / "source"), str(tmp_path / "moved"), filter_column="ts",
+                     where="< '2024-01-03'", batch_size=5, max_rows=10, on_duplicate="append",
+                     order_by=("id",))
+    Store(spark, job.source).append(spark.createDataFrame(entries(0, 40), SCHEMA))
+    return job
+
+
+def sides(spark, job):
+    return [sorted(r.id for r in Store(spark, p).read().collect()) for p in (job.source, job.target)]
+
+
+def test_moving_stream_follows_the_commits(spark, tmp_path, mover):
+    """Two rounds of appends; each matching row moves once, a bounded move at a time."""
+    checkpoint = str(tmp_path / "cp")
+    streams.move_stream(spark, mover, checkpoint).awaitTermination()
+    assert sides(spark, mover) == [[], list(range(40))]
+    moves = [r for r in Store(spark, mover.target).snapshot().runs.values()]
+    assert [m["rows"] for m in moves] == [10] * 4
+    Store(spark, mover.source).append(spark.createDataFrame(entries(40, 60), SCHEMA))
+    for _ in range(2):
+        streams.move_stream(spark, mover, checkpoint).awaitTermination()
+    assert sides(spark, mover) == [list(range(48, 60)), list(range(48))]
+
+
+@pytest.mark.parametrize("step", ["load_move", "finish_move"])
+def test_replayed_tick_goes_on_with_its_moves(spark, tmp_path, mover, monkeypatch, step):
+    """No keys: only the run ids keep a tick that died in its second move from adding twice."""
+    from frostline.plans import archive
+
+    checkpoint, calls, real = str(tmp_path / "cp"), [], getattr(archive, step)
+
+    def dies(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("crash")
+        return real(*args, **kwargs)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(archive, step, dies)
+        with pytest.raises(Exception):
+            streams.move_stream(spark, mover, checkpoint).awaitTermination()
+    Store(spark, mover.source).append(spark.createDataFrame(entries(40, 50), SCHEMA))
+    for _ in range(2):
+        streams.move_stream(spark, mover, checkpoint).awaitTermination()
+    assert sides(spark, mover) == [[48, 49], list(range(48))]
+
+
+def test_backlog_of_a_tick_starts_the_next(spark, tmp_path, mover):
+    query = streams.move_stream(spark, mover, str(tmp_path / "cp"), "0 seconds", moves_per_tick=1)
+    try:
+        for _ in range(20):
+            query.processAllAvailable()
+            if not sides(spark, mover)[0]:
+                break
+    finally:
+        query.stop()
+    assert sides(spark, mover) == [[], list(range(40))]
+    assert query.lastProgress["batchId"] >= 3
+    with pytest.raises(ValueError):
+        streams.move_stream(spark, mover, str(tmp_path / "cp"), moves_per_tick=0)
+
+
+def test_disordered_ticks_report_each_silence_once(spark, tmp_path):
+    """A file a tick, beats out of order; one later than the delay is dropped."""
+    folder = str(tmp_path / "in")
+    minute = lambda m: START + timedelta(minutes=m)
+    schema = "id bigint, ts timestamp, st string"
+    ticks = [
+        [(1, 4), (2, 0), (1, 0)],
+        [(1, 2), (1, 20), (2, 3)],  # 20 closes nothing yet: the delay is 15 minutes
+        [(1, 23), (2, 45), (1, 21)],  # 45 closes what ended by 30
+        [(2, 46), (1, 80)],
+        [(3, 81), (1, 1), (2, 79)],  # the beat of minute 1 is too late
+    ]
+    for tick in ticks:
+        drop(spark, folder, [(i, minute(m), "run") for i, m in tick], schema)
+    stream = streams.file_stream(spark, folder, spark.createDataFrame([], schema).schema, 1)
+    stale = streams.stale_stream(stream, task="id", ts="ts", status="st", delay="15 minutes")
+    query = (
+        stale.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = spark.read.schema(stale.schema).parquet(str(tmp_path / "out")).collect()
+    found = sorted((r.id, r.last_heartbeat, r.heartbeats) for r in got)
+    assert found == [(1, minute(4), 3), (1, minute(23), 3), (2, minute(3), 2), (2, minute(46), 2)]
