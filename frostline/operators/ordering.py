@@ -1,48 +1,96 @@
 """Order-dependent work that never sorts a whole group or table in one task.
 
-A running state over a long group is cut into segments of its order column: each
-segment is worked out on its own, the segments' summaries (one row each) carry the
-state across, and the two are joined on the segment.
+A running state over a long group is cut into segments of its order that hold equal numbers of
+rows: each segment is worked out on its own, and the segments' summaries (one row each) carry the
+state across, as a row that leads each segment in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline.functions.names import free_names
+from frostline.operators.ranges import with_partition_no
 from frostline.session import write_scratch
+from frostline.spec import PartitionSpec, ValueKind, boundary_lit
 
 # monotonically_increasing_id keeps the row's place in its partition in these bits.
 PLACE_BITS = 33
-# Consecutive integers that share a segment.
-SEGMENT_SPAN_BITS = 20
+# Most segments an order is cut into; their bounds are a constant of the plan.
+MOST_SEGMENTS = 10_000
 
 
-def segment_of(df: DataFrame, column: str) -> Column:
-    """Coarse part of an order column: the day of a time, 2^20 consecutive integers."""
-    dtype = df.schema[column].dataType
-    if isinstance(dtype, T.DateType):
-        return F.trunc(column, "month")
+def _kind(dtype) -> ValueKind | None:
+    """How a column's values are written as bounds; None if it can't be cut by quantiles."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.to_date(column)
-    if isinstance(dtype, T.IntegralType):
-        return F.shiftright(F.col(column).cast("bigint"), SEGMENT_SPAN_BITS)
-    raise ValueError(f"give a segment for a column of type {dtype.simpleString()}")
+        return ValueKind.DATETIME2
+    if isinstance(dtype, T.DateType):
+        return ValueKind.DATE
+    return ValueKind.BIGINT if isinstance(dtype, T.IntegralType) else None
+
+
+def _quantiles(df: DataFrame, column: str, slices: int) -> tuple[list, bool]:
+    """Bounds, with repeats, between slices of about equal rows, and whether the nulls alone would
+    fill one. Reads one column."""
+    kind = _kind(df.schema[column].dataType)
+    shares = [i / slices for i in range(1, slices)]
+    typed = F.col(column).cast(kind.spark_type)
+    bounds, nulls, rows = df.agg(
+        F.percentile_approx(typed, shares, 20 * slices), F.count_if(typed.isNull()), F.count("*")
+    ).first()
+    return bounds or [], nulls * slices > rows
+
+
+def with_segments(df: DataFrame, order, name: str, slices: int | None = None) -> DataFrame:
+    """Number the segments of an order: ranges of its columns with about equal rows, whichever
+    groups these belong to, so that a group's part of a segment is never more than that.
+
+    The bounds are counted quantiles of the first column, one value per slice (as many as
+    shuffle partitions). A value that fills whole slices by itself, or many nulls, are cut further
+    by the second column. Nulls come first. The rows themselves are not shuffled.
+    """
+    order = list(order)
+    kind = _kind(df.schema[order[0]].dataType)
+    if kind is None:
+        raise ValueError(f"give a segment for a column of type {df.schema[order[0]].dataType}")
+    if slices is None:
+        slices = min(MOST_SEGMENTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found, many_nulls = _quantiles(df, order[0], max(2, slices))
+    found = Counter(found)
+    bounds = sorted(found)
+    out = with_partition_no(df, PartitionSpec(order[0], kind, tuple(bounds)), name)
+    # a value that starts segment i + 2 and fills it, but for the greater ones behind it
+    full = [(i + 2, b) for i, b in enumerate(bounds) if found[b] > 1]
+    second = _kind(df.schema[order[1]].dataType) if len(order) > 1 else None
+    if second is None or not (full or many_nulls):
+        return out
+    alike = F.coalesce(F.col(order[0]).isin(*[boundary_lit(kind, b) for _, b in full]), F.lit(False))
+    if many_nulls:
+        alike |= F.col(order[0]).isNull()
+    inner = sorted(set(_quantiles(df.filter(alike), order[1], max(2, slices))[0]))
+    (at,) = free_names([*df.columns, name], "_inner")
+    out = with_partition_no(out, PartitionSpec(order[1], second, tuple(inner)), at)
+    behind = F.col(name).isin(*[i for i, _ in full], *[1] * many_nulls)
+    place = F.when(alike, F.col(at)).when(behind, len(inner) + 2).otherwise(0)
+    number = F.col(name).cast("bigint") * (len(inner) + 3) + place
+    return out.withColumn(name, number).drop(at)
 
 
 def adjacent_violations(df: DataFrame, value: str, by, order, segment=None) -> DataFrame:
     """Rows whose value does not exceed the one just before it in the group.
 
-    ``order`` names columns that fix the order within a group; the first one also
-    gives the segments.
+    ``order`` names columns that fix the order within a group; a ``segment`` that rises with
+    them replaces the counted ones.
     """
     by, order = list(by), list(order)
-    cut = segment_of(df, order[0]) if segment is None else segment
     seg, real = free_names(df.columns, "_seg", "_real")
     parts = [*by, seg]
-    rows = df.withColumn(seg, cut).withColumn(real, F.lit(1))
+    cut = with_segments(df, order, seg) if segment is None else df.withColumn(seg, segment)
+    rows = cut.withColumn(real, F.lit(1))
     # The last value of a segment joins the next one as an extra leading row, so the
     # table itself is shuffled once and NULL groups are treated like any other.
     last = rows.groupBy(*parts).agg(F.max_by(value, F.struct(*order)).alias(value))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from frostline.functions.metrics import audit_text, job_time
 from frostline.functions.names import free_names
-from frostline.operators.ordering import global_rank, segment_of
+from frostline.operators.ordering import global_rank, with_segments
 
 # Row counts used when none (or a non-positive one) is given, and the
 # heartbeat time-out.
@@ -192,47 +192,50 @@ def failure_streak(
 ) -> DataFrame:
     """Failures in a row at each run of a job, and whether the job would be disabled.
 
-    A failure adds one, any status in ``resets`` starts over, others leave the count.
-    Long histories are cut by day, so one busy job never sits in a single task.
+    A failure adds one, any status in ``resets`` starts over, others leave the count. Histories
+    are cut into segments of equally many rows (``with_segments``), so one busy job or day never
+    sits in a single task. A segment's summary is the failures after its last reset; composed in
+    order they give the count each segment starts with, which leads it in as an extra row.
     """
-    cut = segment_of(runs, ts) if segment is None else segment
-    seg, fail, reset, island, run, had_reset, still_open, era, upto, carry = free_names(
-        runs.columns, *[f"_{n}" for n in "seg fail reset island run had_reset open era upto carry".split()]
+    seg, fail, reset, real, failed_so_far, at_reset, had_reset, still_open, era, upto = free_names(
+        runs.columns, *[f"_{n}" for n in "seg fail reset real sum at had open era upto".split()]
     )
+    cut = with_segments(runs, [ts, tie], seg) if segment is None else runs.withColumn(seg, segment)
     state = F.col(status)
-    rows = (
-        runs.withColumn(seg, cut)
-        .withColumn(fail, F.coalesce(state == failed, F.lit(False)).cast("int"))
-        .withColumn(reset, F.coalesce(state.isin(*resets), F.lit(False)).cast("int"))
-    )
-    inside = Window.partitionBy(job, seg).orderBy(ts, tie)
+    rows = cut.withColumns({
+        fail: F.coalesce(state == failed, F.lit(False)).cast("bigint"),
+        reset: F.coalesce(state.isin(*resets), F.lit(False)),
+        real: F.lit(1),
+    })
+    inside = Window.partitionBy(job, seg).orderBy(real, ts, tie)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    on_island = Window.partitionBy(job, seg, island).orderBy(ts, tie)
-    local = rows.withColumn(island, F.sum(reset).over(so_far)).withColumn(
-        run, F.sum(fail).over(on_island.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    # One row per job and segment: failures after its last reset, and whether it had one.
-    ends = local.groupBy(job, seg).agg(
-        F.max(reset).alias(had_reset),
-        F.max_by(run, F.struct(island, run)).alias(still_open),
+
+    def counted(part):
+        """Failures so far in the segment, and those before its last reset."""
+        sums = part.withColumn(failed_so_far, F.sum(fail).over(so_far))
+        before = F.when(F.col(reset), F.col(failed_so_far) - F.col(fail))
+        return sums.withColumn(at_reset, F.coalesce(F.max(before).over(so_far), F.lit(0)))
+
+    narrow = rows.select(job, seg, real, ts, tie, fail, reset)
+    ends = counted(narrow).groupBy(job, seg).agg(
+        F.max(F.col(reset).cast("int")).alias(had_reset),
+        (F.max(failed_so_far) - F.max(at_reset)).alias(still_open),
     )
-    across = Window.partitionBy(job).orderBy(seg)
+    across = Window.partitionBy(job).orderBy(seg)  # a row per segment
     stretch = Window.partitionBy(job, era).orderBy(seg)
-    carries = (
+    lead_in = (
         ends.withColumn(era, F.sum(had_reset).over(across))
         .withColumn(upto, F.sum(still_open).over(stretch))
-        .withColumn(carry, F.coalesce(F.lag(upto).over(across), F.lit(0)))
-        .select(job, seg, carry)
+        .select(
+            job, seg, F.lag(upto).over(across).alias(fail), F.lit(False).alias(reset),
+            F.lit(0).alias(real),
+        )
+        .filter(F.col(fail) > 0)
     )
-    carried = F.when(F.col(island) == 0, F.coalesce(carry, F.lit(0))).otherwise(F.lit(0))
-    streak = F.col(run) + carried
-    # Windows, summary and join all use the hash of (job, segment); the summary's own pass
-    # carries the few columns it needs.
-    return (
-        local.join(carries, [job, seg], "left")
-        .withColumn("streak", streak.cast("bigint"))
-        .withColumn("disabled", (F.col(fail) == 1) & (F.col("streak") >= max_failures))
-        .select(*runs.columns, "streak", "disabled")
+    led = counted(rows.unionByName(lead_in, allowMissingColumns=True)).filter(F.col(real) == 1)
+    streak = F.col(failed_so_far) - F.col(at_reset)
+    return led.withColumn("streak", streak).select(
+        *runs.columns, "streak", ((F.col(fail) == 1) & (streak >= max_failures)).alias("disabled")
     )
 
 

@@ -80,7 +80,7 @@ def test_adjacent_violations_across_segments(spark, seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_streak_across_segments(spark, seed):
-    rows = [r for r in history(seed) if r[0] is not None]
+    rows = history(seed)
     df = spark.createDataFrame(rows, "job string, ts timestamp_ntz, id int, st string, v int")
     want = {}
     for g in grouped(rows).values():
@@ -92,3 +92,38 @@ def test_streak_across_segments(spark, seed):
         df, 4, job="job", ts="ts", tie="id", status="st", failed="F", resets=("S", "K")
     )
     assert {r.id: (r.streak, r.disabled) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("hot", ["day", "moment", "nulls"])
+def test_one_hot_day_or_moment_spreads_over_many_segments(spark, hot):
+    """90 % of a log in one job and day, or at the very same time: segments stay even, and a
+    streak over them all is counted on."""
+    day = datetime(2024, 3, 1)
+    step = timedelta(seconds=0 if hot == "moment" else 1)
+    rows = [("a", day + step * i, i, "F", i) for i in range(9_000)]
+    rows += [("b", day + timedelta(hours=i - 500), 10_000 + i, "F", i) for i in range(1_000)]
+    if hot == "nulls":
+        rows += [(None, None, 20_000 + i, "F", i) for i in range(5_000)]
+    df = spark.createDataFrame(rows, "job string, ts timestamp_ntz, id int, st string, v int")
+    cut = ordering.with_segments(df, ["ts", "id"], "seg", 20)
+    sizes = [r["count"] for r in cut.groupBy("seg").count().collect()]
+    assert max(sizes) <= 1.3 * len(rows) / 20 and len(sizes) >= 18
+    edges = cut.filter("ts IS NOT NULL").groupBy("seg").agg(F.min(F.struct("ts", "id")), F.max(F.struct("ts", "id")))
+    edges = [tuple(r)[1:] for r in edges.orderBy("seg").collect()]
+    assert all(b < c for (_, b), (c, _) in zip(edges, edges[1:]))
+    got = failure_streak(
+        df, 4, job="job", ts="ts", tie="id", status="st", failed="F", resets=("S",)
+    )
+    top = {r.job: r.top for r in got.groupBy("job").agg(F.max("streak").alias("top")).collect()}
+    assert top == {"a": 9_000, "b": 1_000, **({None: 5_000} if hot == "nulls" else {})}
+
+
+def test_segments_of_other_orders(spark):
+    empty = spark.createDataFrame([], "d date, n long, x double")
+    assert ordering.with_segments(empty, ["d"], "seg").collect() == []
+    numbers = spark.range(1000).select("id", F.expr("date '2024-01-01'").alias("d"))
+    for order in (["id"], ["d", "id"]):
+        cut = ordering.with_segments(numbers, order, "seg", 10).groupBy("seg").count().collect()
+        assert len(cut) >= 10 and max(r["count"] for r in cut) <= 120
+    with pytest.raises(ValueError):
+        ordering.with_segments(empty, ["x"], "seg")
