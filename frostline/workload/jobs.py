@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from frostline.plans import archive as ar
 from frostline.plans import maintain as mt
+from frostline.plans import profiles
 from frostline.plans.runs import RunLog
 from frostline.session import scratch_path
 from frostline.sources import files
@@ -465,6 +466,42 @@ def archive_stream_moved(spark, sf):
     return both[0].unionByName(both[1])
 
 
+KEPT = ("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) "
+    "AS max_value, CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) - count({c}) AS BIGINT) "
+    "AS null_rows, TRUE AS distinct_near, TRUE AS median_near FROM orders WHERE NOT "
+    f"coalesce({OLD}, FALSE)".replace("{c}", c)
+    for c in KEPT
+))
+def profile_merged(spark, sf):
+    """Profiles kept per part over two appends and a move; estimates held against exact figures."""
+    root = scratch_path(spark, "profiled")
+    orders, job = table(spark, sf, "orders"), _job(root)
+    source = Store(spark, job.source)
+    for half in (0, 1):
+        source.append(orders.filter(F.pmod("o_orderkey", F.lit(2)) == half))
+        profiles.refresh_profile(spark, source, KEPT)
+    ar.archive_move(spark, job)
+    profiles.refresh_profile(spark, source, KEPT)
+    found, rows = profiles.merged_profile(spark, source, KEPT), source.read()
+    checks = []
+    for r in found.collect():  # a row per column
+        c = r["column_name"]
+        near = F.abs(F.count_distinct(c) - F.lit(r["distinct_rows"])) <= 0.05 * F.count_distinct(c)
+        median = F.lit(True)
+        if r["quantiles"] is not None:
+            q = F.lit(r["quantiles"][0]).cast(orders.schema[c].dataType)
+            share = 0.03 * F.count(c)
+            half = F.count(c) / 2
+            median = (F.count_if(F.col(c) < q) <= half + share) & (F.count_if(F.col(c) <= q) >= half - share)
+        checks.append(F.struct(F.lit(c).alias("column_name"), near.alias("distinct_near"), median.alias("median_near")))
+    held = rows.agg(F.array(*checks).alias("_c")).select(F.inline("_c"))
+    return found.join(F.broadcast(held), "column_name").drop("distinct_rows", "quantiles")
+
+
 def _drained(stream, root):
     """Everything a query emits until its source is worked off."""
     (
