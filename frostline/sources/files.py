@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The formats of a file.
-FORMATS = ("native", "unicode", "char")
+FORMATS = ("native", "unicode", "char", "lines")
+# How a line break within a text, and the escape itself, are written in the format of lines; in
+# the order in which they are read back.
+ESCAPES = (("\\n", "\n"), ("\\r", "\r"), ("\\s", "\\"))
 # Keeps one file small enough for one task, as text with line breaks cannot be split.
 ROWS_PER_FILE = 1_000_000
 
@@ -50,7 +53,11 @@ def _binary(schema: T.StructType) -> list[str]:
 
 
 def export(df: DataFrame, path: str, fmt: str = "unicode") -> None:
-    """Write rows to files: native (parquet), unicode (UTF-16) or char (UTF-8) text."""
+    """Write rows to files: native (parquet), unicode (UTF-16), char (UTF-8) text, or lines.
+
+    Lines are UTF-8 text with every record on one line, breaks within texts escaped, so that many
+    tasks read one file, whatever its size. The other text formats keep breaks as they are.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"format is one of {FORMATS}")
     if fmt == "native":
@@ -58,16 +65,36 @@ def export(df: DataFrame, path: str, fmt: str = "unicode") -> None:
         return
     for name in _binary(df.schema):
         df = df.withColumn(name, F.base64(name))
+    if fmt == "lines":
+        df.select(*[_one_line(f) for f in df.schema]).write.options(**_text_options(fmt)).csv(path)
+        return
     writer = df.write.options(**_text_options(fmt))
     writer.option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
 
 
+def _one_line(f: T.StructField):
+    """A text with its breaks escaped; other columns as they are."""
+    value = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, T.StringType):
+        for escaped, plain in reversed(ESCAPES):  # the escape itself goes first
+            value = F.replace(value, F.lit(plain), F.lit(escaped))
+    return value.alias(f.name)
+
+
+def _with_breaks(value):
+    for escaped, plain in ESCAPES:
+        value = F.replace(value, F.lit(escaped), F.lit(plain))
+    return value
+
+
 def load(
-    spark: SparkSession, path: str, schema: T.StructType, fmt="unicode", max_errors: int | None = 0
+    spark: SparkSession, path: str, schema: T.StructType, fmt="unicode",
+    max_errors: int | None = 0, rejects: str | None = None,
 ) -> DataFrame:
     """Read files back; more rows that do not parse than tolerated fail the load.
 
-    None tolerates any number. ``rejected`` returns the rows that are left out.
+    None tolerates any number. ``rejected`` returns the rows that are left out; with a folder for
+    ``rejects`` they are also written there as text, before the load may fail.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format is one of {FORMATS}")
@@ -75,6 +102,9 @@ def load(
         return spark.read.schema(schema).parquet(path)
     binary = _binary(schema)
     rows, text = _parsed(spark, path, schema, fmt)
+    if rejects is not None:
+        bad = rows.filter(_is_bad(schema)).select(F.col(BAD_ROW).alias("raw"))
+        bad.write.text(rejects)
     if max_errors is not None:
         errors = rows.agg(F.count_if(_is_bad(schema))).first()[0]
         if errors > max_errors:
@@ -83,7 +113,8 @@ def load(
     for f in text:
         if isinstance(f.dataType, T.StringType):
             value = F.col(f.name)
-            good = good.withColumn(f.name, F.when(value == EMPTY, F.lit("")).otherwise(value))
+            text_ = _with_breaks(value) if fmt == "lines" and f.name not in binary else value
+            good = good.withColumn(f.name, F.when(value == EMPTY, F.lit("")).otherwise(text_))
     for name in binary:
         good = good.withColumn(name, F.unbase64(name))
     return good.select(*schema.names)
@@ -116,7 +147,7 @@ def _parsed(spark, path, schema, fmt) -> tuple[DataFrame, T.StructType]:
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_ROW)
         .option("columnPruning", "false")  # every column is parsed, whatever is read later
-        .option("multiLine", "true")
+        .option("multiLine", str(fmt != "lines").lower())
         .option("emptyValue", EMPTY)
         .csv(path)
     )

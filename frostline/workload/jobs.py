@@ -84,6 +84,15 @@ def export_and_load_char(spark, sf):
     return files.load(spark, path, events.schema, "char")
 
 
+@query("SELECT * FROM documents")
+def export_and_load_lines(spark, sf):
+    """Texts with their line breaks, one record a line, so that files can be split."""
+    documents = table(spark, sf, "documents")
+    path = scratch_path(spark, "export")
+    files.export(documents, path, "lines")
+    return files.load(spark, path, documents.schema, "lines")
+
+
 @query("SELECT event_id % 10 = 0 AS was_rejected, CAST(count(*) AS BIGINT) AS rows FROM events "
        "GROUP BY 1")
 def load_with_rejects(spark, sf):

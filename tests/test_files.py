@@ -2,6 +2,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frostline.sources import files, jdbc
@@ -68,3 +69,35 @@ def test_bad_rows_count_whatever_is_read(spark, tmp_path):
     good = files.load(spark, str(tmp_path / "in.csv"), schema, "char", max_errors=None)
     assert good.select("a").count() == 1
     assert files.rejected(spark, str(tmp_path / "in.csv"), schema, "char").count() == 2
+
+
+def test_one_file_of_lines_loads_in_many_tasks(spark, tmp_path):
+    """Breaks, escapes and quotes come back; a large file is split, its records never are."""
+    texts = ["a\nb", "a\r\nb\\", "\\n", "\\s\\", "tab\t\"q\"\n", "", None, "\n"]
+    df = spark.range(4000).select(
+        F.col("id").alias("i"),
+        F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 8 + 1).cast("int")).alias("s"),
+        F.repeat(F.lit("x\n"), 50).alias("long"),
+    )
+    path = str(tmp_path / "out")
+    files.export(df.coalesce(1), path, "lines")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        back = files.load(spark, path, df.schema, "lines")
+        assert back.select(F.spark_partition_id()).distinct().count() > 3
+        assert back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_rejects_are_kept_though_the_load_fails(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("1\ta\nx\tb\n2\tc\n")
+    schema = spark.createDataFrame([], "i int, s string").schema
+    for fmt in ("char", "lines"):
+        rejects = str(tmp_path / f"rejects-{fmt}")
+        with pytest.raises(files.TooManyBadRows):
+            files.load(spark, str(tmp_path / "in.csv"), schema, fmt, 0, rejects)
+        assert [r.value for r in spark.read.text(rejects).collect()] == ["x\tb"]
+        again = files.load(spark, str(tmp_path / "in.csv"), schema, fmt, 1, f"{rejects}-2")
+        assert sorted(r.i for r in again.collect()) == [1, 2]
